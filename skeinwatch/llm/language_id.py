@@ -132,9 +132,9 @@ def distances(texts: list[str | None], profiles: dict[str, list[int]], top: int
     return langs, total, held
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str], top: int = TOP) -> DataFrame:
-    """The named columns plus lang_pred and score (1: every n-gram in place, 0: none known)."""
-    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
+def predict(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str], top: int = TOP, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The named columns plus the predicted language and its score (1: every n-gram in place, 0: none known)."""
+    schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
     n = len(columns)
     at = columns.index("text") if "text" in columns else n
 
@@ -156,7 +156,8 @@ def recognised(docs: DataFrame, min_score: float = 0.1, top: int = TOP, per_lang
     """docs without those whose language isn't recognised: `und`, or a score under min_score."""
     usable = F.col("doc_id").isNotNull() & ~held_out()
     profiles = learn(training_rows(docs.select("doc_id", "lang", "text"), usable, per_lang), top)
-    return predict(docs, profiles, docs.columns, top).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    judged = predict(docs, profiles, docs.columns, top, ("__lang", "__score"))
+    return judged.where((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*docs.columns)
 
 
 def held_out() -> Column:

@@ -109,8 +109,10 @@ def block_epochs(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 def mixed(docs: DataFrame, repetition: float | None = REPETITION, entropy: float | None = None, budget: float | None = None, seed: int = 17, block_tokens: int = BLOCK_TOKENS, length: Column | None = None) -> DataFrame:
     """docs, a row for each epoch that takes it, with n_tokens, weight, epoch, block and position.
 
-    Ordered by position (0..1), every source is spread evenly over the mix, epoch after epoch.
+    Ordered by position (0..1), every source is spread evenly over the mix, epoch after epoch. Columns of docs with these
+    names are replaced.
     """
+    docs = docs.drop("n_tokens", "weight", "epochs", "blocks", "block", "epoch", "place", "position", "tokens", "target")
     sized = docs.withColumn("n_tokens", length if length is not None else n_tokens())
     slim = written(sized.select("doc_id", "source", "n_tokens"), "sizes")
     totals = written(source_totals(slim), "totals")

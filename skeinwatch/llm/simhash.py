@@ -10,7 +10,8 @@ errors; the last leaves 1 error in every segment. So two fingerprints meet on a
 gives its plain indices and the other gives plain x fuzzy and fuzzy x plain for each pair, and fuzzy x fuzzy for the
 first pair. The join on these keys keeps a pair only if its real distance is at most 3: no link is lost or invented.
 
-Null and empty texts have no words and fingerprint zero. Repeated rows share a fingerprint, and so a component.
+Null and empty texts have no words and fingerprint zero. Repeated rows share a fingerprint, and so a component. Rows
+without doc_id are linked like others but never name a component; one of such rows alone has none.
 """
 
 from __future__ import annotations
