@@ -65,7 +65,8 @@ def _histograms(pairs: DataFrame) -> DataFrame:
                 r, rv = unpacked(rids, rdata, dim)
                 s = _scores(qv, rv)
                 lo_, width_ = _i64(lo)[:, None], _i64(width)[:, None]
-                at = np.where(s < lo_, -1, np.minimum((s - np.minimum(s, lo_)) // width_, BINS))
+                over = (s.view(np.uint64) - lo_.view(np.uint64)) // width_.view(np.uint64)  # exact for s >= lo, however far
+                at = np.where(s < lo_, -1, np.minimum(over, BINS).astype(np.int64))
                 at[q[:, None] == r[None, :]] = -1
                 row, col = np.nonzero(at >= 0)
                 hist = np.bincount(row * (BINS + 1) + at[row, col], minlength=len(q) * (BINS + 1))
@@ -159,9 +160,12 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float
             out = []
             for dim, n, ids, data, far in zip(*(batch.column(x).to_pylist() for x in ("dim", "n", "ids", "data", "far")), strict=True):
                 _, v = unpacked(ids, data, dim)
-                reach = np.minimum(np.sqrt((v * v).sum(axis=1)) * far * (1 + 1e-9) + 2, 2.0**61).astype(np.int64)
-                width = np.maximum(1, -(-(2 * reach + 1) // BINS))
-                out.append((int.from_bytes(ids[:8], "little", signed=True), dim, n, ids, data, (-reach).tobytes(), width.tobytes(), np.full(n, k, np.int64).tobytes(), True))
+                reach = np.sqrt((v * v).sum(axis=1)) * far * (1 + 1e-9) + 2
+                wide = reach >= 2.0**61  # such queries start from all longs
+                reach = np.where(wide, 0, reach).astype(np.int64)
+                lo = np.where(wide, -(2**63) + 1, -reach)
+                width = np.where(wide, 2**64 // BINS, np.maximum(1, -(-(2 * reach + 1) // BINS)))
+                out.append((0, dim, n, ids, data, lo.tobytes(), width.tobytes(), np.full(n, k, np.int64).tobytes(), True))
             names = [x.split()[0] for x in _STATE.split(", ")] + ["open"]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)

@@ -23,7 +23,6 @@ from skeinwatch.llm.common import word_count, written
 BLOCK_TOKENS = 10_000
 REPETITION = 2.0
 _GRID, _ROUNDS = 16, 8
-_SLICES = 256
 
 
 def n_tokens() -> Column:
@@ -92,7 +91,7 @@ def block_epochs(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     blocks = sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
     held = blocks.join(plan.select(F.col("source").alias("__s"), "tokens", "target"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     held = held.withColumn("__full", F.floor(F.col("target") / F.col("tokens") + 1e-12).cast("int")).withColumn("__rest", F.col("target") - F.col("__full") * F.col("tokens"))
-    held = written(held.withColumn("__o", _order(F.col("__full"), seed)).withColumn("__slice", F.pmod(F.shiftrightunsigned("__o", 40), F.lit(_SLICES)).cast("int")), "blocks")
+    held = written(held.withColumn("__o", _order(F.col("__full"), seed)).withColumn("__slice", F.shiftrightunsigned("__o", 56).cast("int")), "blocks")
     whole = held.where("__full > 0").select("source", "block", F.explode(F.sequence(F.lit(0), F.col("__full") - 1)).alias("epoch"))
     slices = held.groupBy("source", "__slice").agg(F.sum("size").alias("__size"), F.first("__rest").alias("__rest"))
     upto = F.sum("__size").over(Window.partitionBy("source").orderBy("__slice"))
@@ -126,4 +125,4 @@ def mixed(docs: DataFrame, repetition: float | None = REPETITION, entropy: float
 
     chosen = block_epochs(dealt(slim), plan, seed).select(F.col("source").alias("__s"), F.col("block").alias("__b"), "epoch", "place")
     out = dealt(sized).join(chosen, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")))
-    return out.withColumn("position", (F.col("epoch") + F.col("place")) / F.col("epochs")).drop("__s", "__b", "place", "blocks", "epochs")
+    return out.withColumn("position", F.least(F.lit(1.0), (F.col("epoch") + F.col("place")) / F.col("epochs"))).drop("__s", "__b", "place", "blocks", "epochs")
