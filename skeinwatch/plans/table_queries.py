@@ -97,6 +97,14 @@ def compact(spark, sf):
     return spark.read.parquet(path).groupBy("service_name").agg(F.count("*").alias("n"))
 
 
+@query("E39_scenarios", "SELECT item_id::VARCHAR AS scenario_id, text AS query FROM benchmark WHERE item_id % 4 = 1")
+def scenarios(spark, sf):
+    path = folder(spark)
+    held = views.table(spark, sf, "benchmark").select(F.concat(F.lit("c"), F.col("item_id") % 4).alias("collection_id"), F.col("item_id").cast("string").alias("scenario_id"), F.col("text").alias("query"))
+    tables.write_scenarios(held, path)
+    return tables.read_scenarios(spark, path, "c1").select("scenario_id", "query")
+
+
 # Streams: a table read as a stream to its end must give what the batch gives.
 
 
@@ -147,3 +155,12 @@ def metric_windows(spark, sf):
 @query("R5_dedup_stream", "SELECT count(*) AS n FROM events")
 def dedup_stream(spark, sf):
     return _streamed(spark, sf, "events", lambda s: streams.dedup_stream(_events(s), ["event_id"], "created_at")).agg(F.count("*").alias("n"))
+
+
+@query("R6_outbox_stream", "SELECT count(*) AS n FROM (SELECT user_id, event_id % 3 AS e FROM events GROUP BY ALL HAVING bool_or(event_type <> 'error') AND NOT bool_or(event_type = 'error'))")
+def outbox_stream(spark, sf):
+    path, source = folder(spark), f"{sf}/events.parquet"
+    log = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source if _is_folder(spark, source) else f"{sf}/events.parque*")
+    events = log.select(F.col("user_id").alias("trace_id"), (F.col("event_id") % 3).alias("entity_id"), F.col("ts").cast("timestamp").alias("start_time"), F.when(F.col("event_type") == "error", "ack").otherwise("candidate").alias("event"))
+    streams.pending_dispatch_stream(events, path, f"{path}/check").awaitTermination()
+    return spark.read.parquet(f"{path}/pending").agg(F.count("*").alias("n"))

@@ -221,3 +221,21 @@ def compacted(df: DataFrame, columns: tuple[str, ...] = ("start_time", "service_
 def compact(df: DataFrame, path: str, columns: tuple[str, ...] = ("start_time", "service_name"), files: int | None = None, max_rows: int = 5_000_000) -> None:
     compacted(df, columns, files).write.mode("overwrite").option("maxRecordsPerFile", max_rows).option("compression", "zstd").parquet(path)
 
+
+SCENARIO = "collection_id string, scenario_id string, query string, expected string, tags array<string>, tasks string"
+
+
+def write_scenarios(df: DataFrame, path: str) -> None:
+    """Append scenarios, a folder a collection."""
+    df.write.mode("append").partitionBy("collection_id").option("compression", "zstd").parquet(path)
+
+
+def read_scenarios(spark: SparkSession, path: str, collection_id: str | None = None, form: str = "parquet") -> DataFrame:
+    """Scenarios of a store (parquet), or of a JSON list (json) or JSON lines (jsonl) file."""
+    if form == "parquet":
+        held = spark.read.parquet(path)
+    elif form in ("json", "jsonl"):
+        held = spark.read.schema(SCENARIO).option("multiLine", form == "json").json(path)
+    else:
+        raise ValueError("form must be parquet, json or jsonl")
+    return held if collection_id is None else held.where(F.col("collection_id") == collection_id)

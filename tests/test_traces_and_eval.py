@@ -170,3 +170,11 @@ def test_outbox_stream_is_safe_to_repeat(spark, tmp_path):
         source = spark.readStream.schema(log).parquet(str(tmp_path / "log"))
         streams.pending_dispatch_stream(source, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r["trace_id"] for r in spark.read.parquet(str(tmp_path / "out" / "pending")).collect()] == ["u"]
+
+
+def test_scenarios_from_files(spark, tmp_path):
+    rows = [{"collection_id": "c", "scenario_id": "1", "query": "q"}, {"collection_id": "d", "scenario_id": "2", "query": "r"}]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    for form in ("json", "jsonl"):
+        assert [r["query"] for r in tables.read_scenarios(spark, str(tmp_path / f"a.{form}"), "d", form).collect()] == ["r"]
