@@ -7,6 +7,8 @@ in long form; what reaches the driver is a row a feature.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,49 +66,73 @@ def width_edges(df: DataFrame, columns: list[str], rule: str = "doane", manual:
     return sized.select("feature", F.when(F.col("k") >= 2, edges).otherwise(bad).alias("edges"))
 
 
-def quantile_edges(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
-    """feature, edges: the inner n-quantiles with linear interpolation (R-7)."""
+def quantile_edges(df: DataFrame, columns: list[str], n: int = 10, approx: bool = False) -> DataFrame:
+    """feature, edges: the inner n-quantiles with linear interpolation (R-7).
+
+    Exact quantiles gather a feature's different values in one task; approx takes the nearest values of a sketch instead.
+    """
     if n < 2:
         raise ValueError("at least 2 bins are needed")
     held = long_form(df, columns).where(finite(F.col("value")))
-    return held.groupBy("feature").agg(F.percentile("value", F.array(*(F.lit(i / n) for i in range(1, n)))).alias("edges"))
+    at = F.array(*(F.lit(i / n) for i in range(1, n)))
+    return held.groupBy("feature").agg((F.percentile_approx("value", at, 100_000) if approx else F.percentile("value", at)).alias("edges"))
+
+
+def bin_of(value: Column, edges: list[float]) -> Column:
+    """1 + the number of edges below the value, null for values that aren't finite; compiled code up to 64 edges."""
+    below = reduce(Column.__add__, ((value > e).cast("int") for e in edges), F.lit(0)) if len(edges) <= 64 else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: value > e))
+    return F.when(finite(value), below + 1).cast("int")
 
 
-def bin_of(value: Column, edges: Column) -> Column:
-    """1 + the number of edges below the value."""
-    return (F.size(F.filter(edges, lambda e: value > e)) + 1).cast("int")
+def _counted(df: DataFrame, ids: dict[str, Column], keys: list[str] = ()) -> DataFrame:
+    """keys, feature, id, count of one id column a feature, all in one pass."""
+    return df.select(*keys, *(c.alias(f) for f, c in ids.items())).unpivot(list(keys), list(ids), "feature", "id").where(F.col("id").isNotNull()).groupBy(*keys, "feature", "id").agg(F.count("*").alias("count"))
 
 
-def psi_profile(df: DataFrame, columns: list[str], rule: str = "quantile", n: int = 10, categorical: list[str] = ()) -> DataFrame:
-    """feature, id, lower, upper, proportion. Categorical columns hold codes, and a code is its bin's id."""
+def psi_profile(df: DataFrame, columns: list[str], rule: str = "quantile", n: int = 10, categorical: list[str] = (), approx: bool = False) -> DataFrame:
+    """feature, id, lower, upper, proportion. Categorical columns hold codes, and a code is its bin's id.
+
+    The edges, a row a feature, are found first.
+    """
     numeric = [c for c in columns if c not in categorical]
-    parts = []
+    ids = {c: F.when(finite(F.col(c).cast("double")), F.col(c).cast("int")) for c in categorical}
+    rows = []
     if numeric:
-        edges = quantile_edges(df, numeric, n) if rule == "quantile" else width_edges(df, numeric, rule, n)
-        edges = edges.withColumn("edges", F.array_distinct("edges"))
-        held = long_form(df, numeric).where(finite(F.col("value"))).join(edges, "feature")
-        counts = held.groupBy("feature", bin_of(F.col("value"), F.col("edges")).alias("id")).agg(F.count("*").alias("m"))
-        ends = F.concat(F.array(F.lit(float("-inf"))), F.col("edges"), F.array(F.lit(float("inf"))))
-        grid = edges.select("feature", ends.alias("e"), F.explode(F.sequence(F.lit(1), F.size("edges") + 1)).alias("id"))
-        grid = grid.select("feature", "id", F.element_at("e", F.col("id")).alias("lower"), F.element_at("e", F.col("id") + 1).alias("upper"))
-        parts.append(grid.join(counts, ["feature", "id"], "left"))
+        found = quantile_edges(df, numeric, n, approx) if rule == "quantile" else width_edges(df, numeric, rule, n)
+        for r in found.collect():
+            edges = sorted(set(r["edges"]))
+            ids[r["feature"]] = bin_of(F.col(r["feature"]).cast("double"), edges)
+            ends = [float("-inf"), *edges, float("inf")]
+            rows += [(r["feature"], i, ends[i - 1], ends[i]) for i in range(1, len(edges) + 2)]
+    counts = _counted(df, ids)
+    grid = df.sparkSession.createDataFrame(rows, "feature string, id int, lower double, upper double").join(counts.where(~F.col("feature").isin(list(categorical))), ["feature", "id"], "left")
     if categorical:
-        held = long_form(df, list(categorical)).where(finite(F.col("value")))
-        counts = held.groupBy("feature", F.col("value").cast("int").alias("id")).agg(F.count("*").alias("m"))
-        parts.append(counts.select("feature", "id", F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), "m"))
-    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    whole = F.sum(F.coalesce("m", F.lit(0))).over(Window.partitionBy("feature"))
-    return every.select("feature", "id", "lower", "upper", (F.coalesce("m", F.lit(0)) / whole).alias("proportion"))
+        none = F.lit(None).cast("double")
+        grid = grid.unionByName(counts.where(F.col("feature").isin(list(categorical))).select("feature", "id", none.alias("lower"), none.alias("upper"), "count"))
+    m = F.coalesce("count", F.lit(0))
+    return grid.select("feature", "id", "lower", "upper", (m / F.sum(m).over(Window.partitionBy("feature"))).alias("proportion"))
+
+
+def fixed_profile(profile: DataFrame) -> DataFrame:
+    """A profile as a local table: it has a row a bin, and is computed once."""
+    return profile.sparkSession.createDataFrame(profile.select("feature", "id", "lower", "upper", "proportion").collect(), "feature string, id int, lower double, upper double, proportion double")
 
 
 def psi_bin_counts(df: DataFrame, profile: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """keys, feature, id, count: how many finite values fall in each profile bin; every bin of a key has a row."""
-    held = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(list(keys), columns, "feature", "value").where(finite(F.col("value")))
-    bins = profile.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("id", "lower", "upper"))).alias("bins"))
-    inside = lambda b: F.when(b["upper"].isNull(), F.col("value") == b["id"]).otherwise((F.col("value") > b["lower"]) & (F.col("value") <= b["upper"]))
-    placed = held.join(bins, "feature").withColumn("id", F.element_at(F.filter("bins", inside), 1)["id"])
-    counts = placed.groupBy(*keys, "feature", "id").agg(F.count("*").alias("count"))
-    seen = counts.select(*keys, "feature").distinct().join(profile.select("feature", "id"), "feature")
+    bins: dict[str, list] = {}
+    for r in profile.where(F.col("feature").isin(list(columns))).select("feature", "id", "upper").orderBy("feature", "id").collect():
+        bins.setdefault(r["feature"], []).append(r)
+    ids = {}
+    for feature, rows in bins.items():
+        value = F.col(feature).cast("double")
+        if rows[0]["upper"] is None:
+            ids[feature] = F.when(finite(value) & value.isin([r["id"] for r in rows]), value.cast("int"))
+        else:
+            ids[feature] = bin_of(value, [r["upper"] for r in rows[:-1]])
+    counts = _counted(df, ids, list(keys))
+    grid = df.sparkSession.createDataFrame([(f, r["id"]) for f, rows in bins.items() for r in rows], "feature string, id int")
+    seen = counts.select(*keys, "feature").distinct().join(grid, "feature")
     return seen.join(counts, [*keys, "feature", "id"], "left").select(*keys, "feature", "id", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
@@ -138,16 +164,16 @@ def psi_drift(df: DataFrame, profile: DataFrame, columns: list[str], strict_deno
 
     strict_denominator: shares are of all rows, values that aren't finite included.
     """
+    profile = fixed_profile(profile)
     known = {r["feature"] for r in profile.select("feature").distinct().collect()}
     if missing := sorted(set(columns) - known):
         raise ValueError(f"not in the profile: {missing}")
-    counts = psi_bin_counts(df, profile, columns)
-    shares = bin_proportions(counts, ["feature"])
+    shares = bin_proportions(psi_bin_counts(df, profile, columns), ["feature"])
     if strict_denominator:
         n = df.count()
         shares = shares.withColumn("observed", F.col("count") / F.lit(n))
-    aligned = align_bins(profile, shares).join(counts.groupBy("feature").agg(F.sum("count").alias("n")), "feature")
-    return aligned.groupBy("feature").agg(F.sum(psi_term(F.col("proportion"), F.col("observed"))).alias("psi"), F.first("n").alias("n"), F.count("*").alias("bins"))
+    aligned = shares.join(profile.select("feature", "id", "proportion"), ["feature", "id"])
+    return aligned.groupBy("feature").agg(F.sum(psi_term(F.col("proportion"), F.col("observed"))).alias("psi"), F.sum("count").alias("n"), F.count("*").alias("bins"))
 
 
 def psi_distributions(facts: DataFrame, profile: DataFrame, since=None, per_bin: int = 10) -> DataFrame:
