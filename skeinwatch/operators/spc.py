@@ -7,8 +7,6 @@ partitions instead.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,32 +103,47 @@ def _series() -> Window:
     return Window.partitionBy("feature").orderBy("seq")
 
 
+def _steps(drift: DataFrame) -> DataFrame:
+    """drift with the turn and the direction from the sample before."""
+    before = F.lag("zone").over(_series())
+    return drift.withColumn("__turn", F.when(F.col("zone") != before, 1).otherwise(0)).withColumn("__step", F.signum(F.col("zone") - before))
+
+
+def _run(test: Column, n: int) -> Column:
+    """Whether the test holds for each of the last n samples."""
+    return F.sum(F.when(test, 1).otherwise(0)).over(_series().rowsBetween(-(n - 1), 0)) == n
+
+
+def _consecutive(n: int, zone: int) -> Column:
+    return (F.abs("zone") == zone) & (_run(F.col("zone") >= zone, n) | _run(F.col("zone") <= -zone, n))
+
+
+def _alternating(n: int, zone: int) -> Column:
+    turns = _run(F.col("__turn") == 1, n - 1) if n > 1 else F.lit(True)
+    return (F.abs("zone") == zone) & _run(F.abs("zone") >= zone, n) & turns
+
+
+def _trend(n: int) -> Column:
+    return _run(F.col("__step") == 1, n - 1) | _run(F.col("__step") == -1, n - 1)
+
+
+def _hits(drift: DataFrame, hit: Column) -> DataFrame:
+    return _steps(drift).withColumn("__hit", hit).where("__hit").drop("__hit", "__turn", "__step")
+
+
 def consecutive_hits(drift: DataFrame, n: int, zone: int) -> DataFrame:
     """Rows exactly at +-zone whose last n zones (itself included) are all at it or beyond, on one side."""
-    last = _series().rowsBetween(-(n - 1), 0)
-    up, down = (F.sum(F.when(t, 1).otherwise(0)).over(last) for t in (F.col("zone") >= zone, F.col("zone") <= -zone))
-    held = drift.withColumn("__up", up).withColumn("__down", down)
-    return held.where((F.abs("zone") == zone) & ((F.col("__up") >= n) | (F.col("__down") >= n))).drop("__up", "__down")
+    return _hits(drift, _consecutive(n, zone))
 
 
 def alternating_hits(drift: DataFrame, n: int, zone: int) -> DataFrame:
     """Rows exactly at +-zone whose last n zones are all at it or beyond, each different from the one before."""
-    past = F.sum(F.when(F.abs("zone") >= zone, 1).otherwise(0)).over(_series().rowsBetween(-(n - 1), 0))
-    turned = drift.withColumn("__past", past).withColumn("__turn", F.when(F.col("zone") != F.lag("zone").over(_series()), 1).otherwise(0))
-    if n > 1:
-        turned = turned.withColumn("__turns", F.sum("__turn").over(_series().rowsBetween(-(n - 2), 0)))
-    else:
-        turned = turned.withColumn("__turns", F.lit(0))
-    return turned.where((F.abs("zone") == zone) & (F.col("__past") == n) & (F.col("__turns") == n - 1)).drop("__past", "__turn", "__turns")
+    return _hits(drift, _alternating(n, zone))
 
 
 def trend_hits(drift: DataFrame, n: int = TREND) -> DataFrame:
     """Rows that end a run of n samples whose steps all go up or all go down."""
-    step = F.signum(F.col("zone") - F.lag("zone").over(_series()))
-    run = _series().rowsBetween(-(n - 2), 0)
-    held = drift.withColumn("__step", step)
-    up, down = (F.sum(F.when(F.col("__step") == s, 1).otherwise(0)).over(run) for s in (1, -1))
-    return held.withColumn("__up", up).withColumn("__down", down).where((F.col("__up") >= n - 1) | (F.col("__down") >= n - 1)).drop("__step", "__up", "__down")
+    return _hits(drift, _trend(n))
 
 
 def parse_rule(rule: str) -> list[int]:
@@ -142,15 +155,17 @@ def parse_rule(rule: str) -> list[int]:
 
 def spc_rules(drift: DataFrame, rule: str = RULE, zones: tuple[int, ...] = (1, 2, 3, 4), trend: bool = True) -> DataFrame:
     """feature, zone, kind: the distinct alerts of each feature. Zone 4 is out of bounds; a trend has zone 0."""
-    parts, found = parse_rule(rule), []
+    parts, tests = parse_rule(rule), []
+    alert = lambda hit, zone, kind: F.when(hit, F.struct(F.lit(zone).alias("zone"), F.lit(kind).alias("kind")))
     for zone in zones:
-        for n, kind, hits in ((parts[2 * zone - 2], "consecutive", consecutive_hits), (parts[2 * zone - 1], "alternating", alternating_hits)):
+        for n, kind, hit in ((parts[2 * zone - 2], "consecutive", _consecutive), (parts[2 * zone - 1], "alternating", _alternating)):
             if n > 0:
-                found.append(hits(drift, n, zone).select("feature", F.lit(zone).alias("zone"), F.lit("out_of_bounds" if zone == 4 else kind).alias("kind")))
+                tests.append(alert(hit(n, zone), zone, "out_of_bounds" if zone == 4 else kind))
     if trend:
-        found.append(trend_hits(drift).select("feature", F.lit(0).alias("zone"), F.lit("trend").alias("kind")))
-    none = drift.where("false").select("feature", F.lit(0).alias("zone"), F.lit("").alias("kind"))
-    return reduce(DataFrame.unionByName, found, none).distinct()
+        tests.append(alert(_trend(TREND), 0, "trend"))
+    none = F.lit(None).cast("struct<zone:int,kind:string>")
+    found = _steps(drift).select("feature", F.array_compact(F.array(none, *tests)).alias("__alerts"))  # all windows share one sort
+    return found.select("feature", F.inline("__alerts")).distinct()
 
 
 def spc_alerts(samples: DataFrame, profile: DataFrame, rule: str = RULE, zones: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:

@@ -234,7 +234,23 @@ def alternating(spark, sf):
     return spc.alternating_hits(spc.spc_drift(series, prof), 4, 1).select("seq", "zone")
 
 
-@query("D28_D30_spc_alerts")
+def _rule_sql(zone: int, n: int, alternating: bool) -> str:
+    kind = "out_of_bounds" if zone == 4 else ("alternating" if alternating else "consecutive")
+    last = f"OVER (ORDER BY seq ROWS {n - 1} PRECEDING)"
+    if alternating:
+        turns = f"count(*) FILTER (turn) OVER (ORDER BY seq ROWS {n - 2} PRECEDING) = {n - 1}" if n > 1 else "true"
+        hit = f"count(*) FILTER (abs(zone) >= {zone}) {last} = {n} AND {turns}"
+    else:
+        hit = f"count(*) FILTER (zone >= {zone}) {last} >= {n} OR count(*) FILTER (zone <= -{zone}) {last} >= {n}"
+    return f"SELECT {zone} AS zone, '{kind}' AS kind FROM (SELECT zone, {hit} AS hit FROM t) WHERE abs(zone) = {zone} AND hit"
+
+
+_RULES_SQL = " UNION ".join(_rule_sql(i // 2 + 1, n, bool(i % 2)) for i, n in enumerate(spc.parse_rule(spc.RULE)))
+_TREND_SQL = "SELECT 0 AS zone, 'trend' AS kind FROM (SELECT count(*) FILTER (d = 1) OVER w AS up, count(*) FILTER (d = -1) OVER w AS down FROM t WINDOW w AS (ORDER BY seq ROWS 5 PRECEDING)) WHERE up >= 6 OR down >= 6"
+
+
+@query("D28_D30_spc_alerts", f"""{_DRIFT}, t AS (SELECT seq, zone, zone <> lag(zone) OVER (ORDER BY seq) AS turn, sign(zone - lag(zone) OVER (ORDER BY seq)) AS d FROM drift)
+SELECT 'value' AS feature, zone, kind FROM ({_RULES_SQL} UNION {_TREND_SQL})""")
 def spc_alerts(spark, sf):
     _, prof, series = _spc(spark, sf)
     return spc.spc_alerts(series, prof)
@@ -357,7 +373,12 @@ def route_metrics(spark, sf):
     return rounded(metrics.route_metrics(views.routes(spark, sf), 1440).withColumn("n500", F.coalesce(F.col("status_codes")[500], F.lit(0))).drop("status_codes"))
 
 
-@query("D37_route_metrics_over_time")
+_HOUR = "time_bucket(INTERVAL 60 MINUTE, created_at, TIMESTAMP '1970-01-01')"
+_STORED = _NEAREST.replace("round(", "(").replace(", 6)", ")")
+
+
+@query("D37_route_metrics_over_time", f"""{with_views("metric", "routes")}, hourly AS (SELECT {_HOUR} AS created_at, route_name, count(*) FILTER (status_code < 400) AS request_count, count(*) FILTER (status_code >= 400) AS error_count, coalesce(sum(latency) FILTER (status_code >= 400), 0) AS error_latency, {_STORED} FROM routes GROUP BY route_name, {_HOUR})
+SELECT route_name, {stamp(_DAY, "bucket")}, {", ".join(f"round(avg({p}), 6) AS {p}" for p in ("p5", "p25", "p50", "p95", "p99"))}, sum(request_count)::BIGINT AS request_count, sum(error_count)::BIGINT AS error_count, round(sum(error_latency), 6) AS error_latency FROM hourly GROUP BY route_name, {_DAY}""")
 def route_metrics_over_time(spark, sf):
     stored = metrics.route_metrics(views.routes(spark, sf), 60).withColumnRenamed("bucket", "created_at")
     held = metrics.route_metrics_over_time(stored, 1440)

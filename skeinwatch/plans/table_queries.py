@@ -127,7 +127,10 @@ def _events(stream):
     return stream.select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("metric"), "value", "event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("R1_R2_trace_sessions")
+@query("T1_R1_R2_trace_sessions", f"""WITH e AS (SELECT user_id AS trace_id, event_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY trace_id ORDER BY ts, event_id) AS g FROM e),
+x AS (SELECT trace_id, min(ts) AS start_time, max(ts) AS last, count(*) AS span_count, count(*) FILTER (event_type = 'error') AS error_count FROM s GROUP BY trace_id, g)
+SELECT trace_id, {stamp("start_time")}, {stamp("last + INTERVAL 1 SECOND", "end_time")}, span_count, error_count FROM x WHERE last + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def trace_sessions(spark, sf):
     def shape(stream):
         e = _events(stream)
@@ -137,12 +140,13 @@ def trace_sessions(spark, sf):
         )
         return streams.trace_sessions(spans, "1 hour", "2 hours")
 
-    return _streamed(spark, sf, "events", shape)
+    return rounded(_streamed(spark, sf, "events", shape).select("trace_id", "start_time", "end_time", "span_count", "error_count"))
 
 
-@query("R3_spc_samples_stream")
+@query("R3_spc_samples_stream", """WITH r AS (SELECT event_type AS feature, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events)
+SELECT feature, n // 25 AS seq, round(avg(value), 6) AS value FROM r WHERE n // 25 < c // 25 GROUP BY feature, n // 25""")
 def spc_samples_stream(spark, sf):
-    return _streamed(spark, sf, "events", lambda s: streams.spc_samples_stream(_events(s).withColumnRenamed("metric", "feature"), 25))
+    return rounded(_streamed(spark, sf, "events", lambda s: streams.spc_samples_stream(_events(s).withColumnRenamed("metric", "feature"), 25)))
 
 
 @query("R4_metric_windows", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS b, event_type AS metric, count(*) AS n FROM events GROUP BY ALL), e AS (SELECT max(ts) AS m FROM events)

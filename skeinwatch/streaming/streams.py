@@ -35,17 +35,19 @@ def route_late(rows: DataFrame, watermark, ts: str = "start_time") -> tuple[Data
 
 
 def spc_samples_stream(df: DataFrame, n: int) -> DataFrame:
-    """feature, seq, value: the mean of each n values of a feature as they come, what is left over carried on."""
+    """feature, seq, value: the mean of each n values of a feature in order of time, what is left over carried on.
+
+    Values are ordered within a micro-batch; those of a later one come after.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, held, total = state.get if state.exists else (0, 0, 0.0)
         out = []
-        for batch in batches:
-            for value in batch.sort_values("created_at", kind="stable")["value"]:
-                held, total = held + 1, total + value
-                if held == n:
-                    out.append((key[0], seq, total / n))
-                    seq, held, total = seq + 1, 0, 0.0
+        for value in pd.concat(list(batches)).sort_values(["created_at", "value"])["value"]:
+            held, total = held + 1, total + value
+            if held == n:
+                out.append((key[0], seq, total / n))
+                seq, held, total = seq + 1, 0, 0.0
         state.update((seq, held, total))
         yield pd.DataFrame(out, columns=["feature", "seq", "value"])
 
