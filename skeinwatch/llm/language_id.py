@@ -81,9 +81,12 @@ def ranked_grams(texts: list[str | None], top: int | None):
 def training_rows(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """At most about per_lang labelled rows of each language, drawn by a hash of doc_id (the documented bound)."""
     labelled = docs.where(usable & F.col("lang").isNotNull())
-    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count("*")).alias("__share"))
+    counts = labelled.groupBy("lang").count().collect()  # a row a language
+    if not counts:
+        return labelled.select("lang", "text")
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1_000_000)) / 1e6
-    return labelled.join(share, "lang").where(draw < F.col("__share")).where(F.col("text").isNotNull()).select("lang", "text")
+    return labelled.where((draw < share[F.col("lang")]) & F.col("text").isNotNull()).select("lang", "text")
 
 
 def learn(rows: DataFrame, top: int = TOP) -> dict[str, list[int]]:
