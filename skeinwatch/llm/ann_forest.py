@@ -30,7 +30,7 @@ from skeinwatch.llm.vectors import matrix, nonzero, whole
 
 SAMPLE = 20_000
 TREES = 8
-LEAVES = 64  # a tree, at most; the sample leaves at least 16 vectors in each
+LEAVES, LEAF_MEAN = 64, 1024  # a tree has the larger of LEAVES and rows / LEAF_MEAN leaves, with 16 vectors of the sample in each at least
 LEAF_ROWS = 4096
 PROBES = 256  # queries scored together against one leaf
 RECALL = 0.97
@@ -148,7 +148,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
     plain = np.array([r["v"] for r in drawn.orderBy("__h").limit(sample_rows).select("v").collect()])
     plain = plain if len(plain) else np.array([r["v"] for r in points.orderBy("rep").limit(1).collect()])
     lifted = _lifted(plain, longest * (1 + 1e-12))
-    forest = Forest(lifted, trees)
+    forest = Forest(lifted, trees, max(LEAVES, n // LEAF_MEAN))
     take = calibrated(forest, lifted, plain, k, recall)
 
     def route(batches):
