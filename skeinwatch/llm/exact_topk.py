@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from skeinwatch.llm.vectors import packed, unpacked, whole
 BINS = 256
 ROWS = 4096  # of a block of rows
 QUERIES = 1024  # of a block of queries
+FAN = 64  # histograms of a query block that are summed in one task
 HELD = 64 << 20  # bytes of histograms that a task holds before it passes them on
 _STATE = "qb long, dim int, n int, ids binary, data binary, lo binary, width binary, need binary"
 
@@ -55,9 +57,12 @@ def _columns(batch: pa.RecordBatch):
 
 
 def _histograms(pairs: DataFrame) -> DataFrame:
-    """qb, hist: the summed counts (queries x (BINS + 1), the last for scores above the range), some rows a query block."""
+    """qb, hist: the summed counts (queries x (BINS + 1), the last for scores above the range), at most FAN rows a query block."""
 
     def work(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() % FAN
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for dim, rids, rdata, qb, qids, qdata, lo, width, _ in _columns(batch):
@@ -72,15 +77,18 @@ def _histograms(pairs: DataFrame) -> DataFrame:
                 hist = np.bincount(row * (BINS + 1) + at[row, col], minlength=len(q) * (BINS + 1))
                 held[qb] = held[qb] + hist if qb in held else hist
                 if sum(x.nbytes for x in held.values()) > HELD:
-                    yield emit(held)
+                    yield emit(held, part)
                     held = {}
         if held:
-            yield emit(held)
+            yield emit(held, part)
+
+    def emit(held, part):
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in held.values()], pa.binary())], names=["qb", "part", "hist"])
 
-    def emit(held):
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.astype(np.int64).tobytes() for x in held.values()], pa.binary())], names=["qb", "hist"])
+    def add(key, rows):
+        return pd.DataFrame({"qb": [key[0]], "hist": [sum(map(_i64, rows["hist"])).tobytes()]})
 
-    return pairs.mapInArrow(work, "qb long, hist binary")
+    return pairs.mapInArrow(work, "qb long, part int, hist binary").groupBy("qb", "part").applyInPandas(add, "qb long, hist binary")
 
 
 def _refined(states: DataFrame, hists: DataFrame) -> DataFrame:
