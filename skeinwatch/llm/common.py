@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -30,6 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BITS = 1 << 23
+
+
+def maybe_among(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df with `__maybe`: false only where its key is surely not among those of `keys`.
+
+    One bit a hash value, 1 MB in all however many keys there are, so that most rows of a large table needn't be shuffled
+    to a join with few keys. Nulls are maybe among them only if keys hold a null.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITS)) + 1
+    bits = keys.select(F.bitmap_bucket_number(place(key)).alias("__b"), F.bitmap_bit_position(place(key)).alias("__p")).groupBy("__b").agg(F.bitmap_construct_agg("__p").alias("__bits"))
+    at = F.bitmap_bit_position(place(df[key])).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(__bits, __at div 8 + 1, 1)")), 16, 10).cast("int")
+    found = df.withColumn("__at", at).join(F.broadcast(bits), F.bitmap_bucket_number(place(df[key])) == F.col("__b"), "left")
+    return found.withColumn("__maybe", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, __at % 8)")) != 0, F.lit(False))).drop("__at", "__b", "__bits")
+
+
 def word_count(text: Column) -> Column:
     """Words (runs of non-space characters) of a text; null and blank texts have none."""
     trimmed = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))

@@ -23,7 +23,7 @@ from skeinwatch.llm.common import utf8_slices
 
 TOP = 300
 TRAIN_PER_LANG = 2000
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 _CHAR, _DOC = 17, 12  # bits of a letter's index and of a text's index within a slice
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwatch.llm.common import written
+from skeinwatch.llm.common import maybe_among, written
 from skeinwatch.llm.components import connected_components
 
 SEED = 42
@@ -240,7 +240,8 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
     banded = banded.join(shared, ["band", "key"]).select("rep", "band", "key", F.explode(ranges).alias("__range"))
     pairs = written(near.unionByName(_leaders(classes.select("fp", "rep"), ["fp"])).unionByName(_leaders(banded, ["band", "key", "__range"])).where("a < b").distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_shingle_sets(docs.join(asked, "doc_id", "left_semi").select("doc_id", "text"), size).dropDuplicates(["rep"]), "sets")
+    likely = maybe_among(docs.select("doc_id", "text"), asked, "doc_id").where("__maybe").drop("__maybe")
+    sets = written(_shingle_sets(likely.join(asked, "doc_id", "left_semi"), size).dropDuplicates(["rep"]), "sets")
     met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     alike = met.where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -250,6 +251,12 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
 
 
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with the smallest doc_id of each group of near duplicates; rows without doc_id stay."""
+    """docs with the smallest doc_id of each group of near duplicates.
+
+    Documents are known by doc_id: rows without one stay, and rows that repeat a doc_id stay or go together. Null and
+    empty texts are one group.
+    """
     gone = written(near_duplicate_groups(docs, size, similarity).where("doc_id <> group_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    marked = maybe_among(docs, gone, "doc_id")
+    likely = marked.where("__maybe").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return marked.where("not __maybe").select(*docs.columns).unionByName(likely)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skeinwatch.llm import chat, components, mixing, packing, url_filter
+from skeinwatch.llm.common import maybe_among
 
 
 def test_bounds_are_optimal():
@@ -179,3 +180,13 @@ def test_pipeline_stages(spark, sf):
 def test_pipeline_stages_on_no_documents(spark, sf, stage):
     empty = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     assert corpus_pipeline.STAGES[stage][1](spark, empty, sf).count() == 0
+
+
+def test_key_bitmap_misses_no_key(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4990, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    keys = df.where("doc_id % 7 = 0").select("doc_id")
+    marked = maybe_among(df, keys, "doc_id")
+    assert marked.count() == 5000 and marked.columns == ["doc_id", "text", "__maybe"]
+    assert marked.where("doc_id % 7 = 0 and not __maybe").count() == 0
+    assert marked.where("__maybe").count() < keys.count() + 20
+    assert maybe_among(df, keys.where("false"), "doc_id").where("__maybe").count() == 0
