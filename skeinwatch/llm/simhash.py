@@ -219,13 +219,102 @@ def _leaders(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(F.least("rep", "end").alias("a"), F.greatest("rep", "end").alias("b")).distinct()
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """src, dst: the pairs a, b whose whole shingle sets have the Jaccard similarity."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    likely = maybe_among(docs.select("doc_id", "text"), asked, "doc_id").where("__maybe").drop("__maybe")
+    sets = written(_shingle_sets(likely.join(asked, "doc_id", "left_semi"), size).dropDuplicates(["rep"]), "sets")
+    met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return met.where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+# All pairs at a similarity by prefix filter: with the shingles of all sets in one order, two sets of Jaccard similarity t
+# share a shingle among the first n - ceil(2t / (1 + t) n) + 1 of the smaller and the first n - ceil(tn) + 1 of the other.
+# Any order is exact. Shingles that are frequent in a bounded sample come last, so that few sets meet on a template.
+
+SAMPLE_DOCS, FREQUENT = 4_000, 200_000
+#: Bits of a set's parity map. Two maps differ in no more bits than their sets in shingles.
+PARITY = 2048
+
+
+def _frequent(docs: DataFrame, reps: DataFrame, n_reps: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and sample counts of the shingles met most often in a hash sample of representatives."""
+    slots = max(1, n_reps // SAMPLE_DOCS)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) == 0).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    counts = _shingle_sets(chosen, size).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
+    got = counts.orderBy(F.desc("m"), "shingle").limit(FREQUENT).toArrow()
+    shingle, m = got.column("shingle").to_numpy(), got.column("m").to_numpy()
+    at = np.argsort(shingle)
+    return shingle[at], m[at]
+
+
+def _prefixes(docs: DataFrame, size: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """rep, n, held (prefix as the smaller set), prefix (the first shingles of each document, rare ones first), parity."""
+
+    def work(batches):
+        known, counts = frequent
+        for batch in batches:
+            n, held, prefixes, parity = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                own = np.unique(shingle_hashes(text, size).view(np.int64))
+                often = np.zeros(len(own), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    often = np.where(known[at] == own, counts[at], 0)
+                least = lambda share: len(own) - math.ceil(share * len(own) - 1e-9) + 1  # noqa: B023, E731
+                n.append(len(own))
+                held.append(min(len(own), least(2 * similarity / (1 + similarity))))
+                parity.append(np.packbits(np.bincount(own & (PARITY - 1), minlength=PARITY).astype(np.uint8) & 1).view(np.int64))
+                prefixes.append(own[np.lexsort((own, often))][: least(similarity)])
+            offsets = np.cumsum([0, *map(len, prefixes)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (PARITY // 64), pa.int32()), pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(held, pa.int32()), lists, maps], names=["rep", "n", "held", "prefix", "parity"])
+
+    schema = docs.select(F.col("doc_id").alias("rep")).schema.add("n", "integer").add("held", "integer").add("prefix", T.ArrayType(T.LongType())).add("parity", T.ArrayType(T.LongType()))
+    return docs.select(F.col("doc_id").alias("rep"), "text").mapInArrow(work, schema)
+
+
+def _prefix_pairs(docs: DataFrame, of: DataFrame, size: int, similarity: float) -> DataFrame:
+    """a < b: every two representatives of different components that can have the similarity.
+
+    of: rep, component. On each shingle the rows of all components but its largest meet all rows; two rows of one
+    component need not meet, so a large group that is linked already costs what it has rows.
+    """
+    frequent = _frequent(docs, of, of.count(), size)
+    made = written(_prefixes(docs.where(F.col("doc_id").isNotNull()), size, similarity, frequent).join(of, "rep"), "prefixes")
+    rows = made.select("rep", "component", "n", "held", F.posexplode("prefix").alias("pos", "shingle"))
+    each = rows.groupBy("shingle", "component").agg(F.count("*").alias("__m"))
+    main = each.groupBy("shingle").agg(F.count("*").alias("__k"), F.max_by("component", F.struct("__m", "component")).alias("main")).where("__k > 1").drop("__k")
+    main = written(main, "shared")
+    rows = written(maybe_among(rows, main, "shingle").where("__maybe").drop("__maybe").join(main, "shingle"), "meeting")
+    a, b = rows.where("component <> main").alias("a"), rows.alias("b")
+    col = lambda side, name: F.col(f"{side}.{name}")
+
+    def fits(s: str, t: str):
+        """s is the smaller set (or as large), its row is in the shorter prefix, and what is left can overlap enough."""
+        left = F.least(col(s, "n") - col(s, "pos"), col(t, "n") - col(t, "pos"))
+        enough = left + 1e-6 >= F.lit(similarity / (1 + similarity)) * (col(s, "n") + col(t, "n"))
+        return (col(s, "n") <= col(t, "n")) & (col(s, "pos") < col(s, "held")) & (col(s, "n") + 1e-6 >= F.lit(similarity) * col(t, "n")) & enough
+
+    met = a.join(b, (col("a", "shingle") == col("b", "shingle")) & (col("a", "component") != col("b", "component")) & (fits("a", "b") | fits("b", "a")))
+    pairs = met.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
+    maps = lambda side: made.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}"))
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
+    alike = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-6
+    return pairs.join(maps("a"), "a").join(maps("b"), "b").where(alike).select("a", "b").distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, group_id (the smallest doc_id of its group): documents linked by shingle-set similarity.
 
-    Documents of equal shingle sets are one class; its smallest doc_id stands for it. Candidates are classes whose
-    fingerprints are within 3 bits, and classes that share a sample fingerprint, each beside the first and last of its
-    group and size range (sizes within the similarity share one of two ranges). Every candidate pair is verified by
-    exact Jaccard similarity of the whole shingle sets. Rows without doc_id take no part.
+    Documents of equal shingle sets are one class; its smallest doc_id stands for it. First links are sought cheaply:
+    classes whose fingerprints are within 3 bits, and classes that share a sample fingerprint, each beside the first and
+    last of its group and size range (sizes within the similarity share one of two ranges). Then all pairs of classes
+    that these links leave in different components meet by prefix filter, and those whose parity maps prove them unlike are
+    left out, so no link between components is lost. Every
+    candidate pair is verified by exact Jaccard similarity of the whole shingle sets. Rows without doc_id take no part.
     """
     made = written(_sketches(docs.where(F.col("doc_id").isNotNull()), size), "sketches")
     classes = written(made.groupBy("x", "y", "n").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
@@ -239,13 +328,11 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("__m")).where("__m > 1").drop("__m")
     banded = banded.join(shared, ["band", "key"]).select("rep", "band", "key", F.explode(ranges).alias("__range"))
     pairs = written(near.unionByName(_leaders(classes.select("fp", "rep"), ["fp"])).unionByName(_leaders(banded, ["band", "key", "__range"])).where("a < b").distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    likely = maybe_among(docs.select("doc_id", "text"), asked, "doc_id").where("__maybe").drop("__maybe")
-    sets = written(_shingle_sets(likely.join(asked, "doc_id", "left_semi"), size).dropDuplicates(["rep"]), "sets")
-    met = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = met.where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = connected_components(alike)
+    first = written(_verified(pairs, docs, size, similarity), "links")
+    components = connected_components(first)
+    of = classes.select("rep").distinct().join(components.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    rest = written(_prefix_pairs(docs, written(of, "components"), size, similarity), "pairs")
+    groups = connected_components(first.unionByName(_verified(rest, docs, size, similarity)))
     of = classes.select("x", "y", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("x", "y", "n", F.coalesce("component", "rep").alias("group_id"))
     return made.select("doc_id", "x", "y", "n").join(of, ["x", "y", "n"]).select("doc_id", "group_id")
 

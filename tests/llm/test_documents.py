@@ -198,6 +198,35 @@ def test_near_duplicates_are_found_and_others_left(spark):
     assert kept == expected and len(expected) < 45
 
 
+def changed(words, at, tag):
+    return [f"{tag}{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_near_duplicates_match_brute_force_on_star_chain_and_template(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    hub = [f"h{i}" for i in range(400)]
+    star = [changed(hub, set(rng.choice(80, 6, replace=False) * 5), f"s{k}_") for k in range(40)]
+    texts += star[:20] + [hub] + star[20:]
+    link = [f"c{i}" for i in range(200)]
+    for k in range(12):
+        texts.append(link := changed(link, {16 * k + 3, 16 * k + 9}, f"l{k}_"))
+    family = [f"f{i}" for i in range(400)]
+    family = [changed(family, set(rng.choice(80, 11, replace=False) * 5), f"t{k}_") for k in range(40)]
+    family[23] = changed(family[11], {7, 57, 107, 157, 207, 257}, "twin")
+    texts += family
+    texts = [" ".join(t) for t in texts]
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    assert len(set(label[:41])) == 1 and len(set(label[41:53])) == 1 and 30 < len(set(label[53:])) < 40
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_trigram_queries():
     query = secrets.trigram_query("(foo|bars)x?[0-9]+")
     assert query == [{frozenset({"foo"}), frozenset({"bar", "ars"})}]
