@@ -6,6 +6,8 @@ status_message, attributes map, events, entity_ids and queue_ids where extracted
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -118,16 +120,36 @@ def span_tree(spans: DataFrame, max_spans: int = MAX_SPANS) -> DataFrame:
     return held.mapInArrow(walk, schema)
 
 
-def span_depths(spans: DataFrame, max_depth: int = 20) -> DataFrame:
-    """trace_id, span_id, depth by level-wise joins on the parent: no grouped Python, for traces of any size."""
-    known = spans.where("parent_span_id is null").select("trace_id", "span_id", F.lit(0).alias("depth"))
-    links = spans.where("parent_span_id is not null").select("trace_id", "span_id", "parent_span_id")
-    level, out = known, known
-    for depth in range(1, max_depth + 1):
-        above = level.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"))
-        level = links.join(above, (F.col("trace_id") == F.col("__t")) & (F.col("parent_span_id") == F.col("__s"))).select("trace_id", "span_id", F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in spark.checkpoint.dir (a temporary folder where that is unset), so that rounds don't recompute."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def span_depths(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, depth by joins alone: no grouped Python, for traces of any size and depth.
+
+    Each round doubles the reach of every span's ancestor pointer, so a chain of n spans takes log2 n rounds. Spans that no
+    root leads to have depth 0. Rows that repeat a span id are placed as the first of them (roots first, then by time).
+    """
+    first = F.min(F.struct(F.col("parent_span_id").isNotNull(), "start_time", "parent_span_id"))
+    nodes = _written(spans.groupBy("trace_id", "span_id").agg(first["parent_span_id"].alias("parent"), F.count("*").alias("copies")), "spans")
+    above = nodes.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"))
+    held = nodes.join(above, (F.col("trace_id") == F.col("__t")) & (F.col("parent") == F.col("__s")), "left")
+    rooted = F.when(F.col("parent").isNull(), True).when(F.col("__s").isNull(), False)
+    state = _written(held.select("trace_id", "span_id", "copies", F.col("__s").alias("up"), F.when(F.col("__s").isNull(), 0).otherwise(1).alias("depth"), rooted.alias("rooted")), "depths")
+    left = None
+    while (now := state.where("up is not null").count()) and now != left:  # what no round settles hangs on a cycle
+        left = now
+        above = state.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"), F.col("up").alias("__up"), F.col("depth").alias("__d"), F.col("rooted").alias("__r"))
+        met = state.where("up is not null").join(above, (F.col("trace_id") == F.col("__t")) & (F.col("up") == F.col("__s")))
+        # Pointers on a cycle never end, so their distances are kept from overflowing.
+        moved = met.select("trace_id", "span_id", "copies", F.col("__up").alias("up"), F.least(F.col("depth").cast("long") + F.col("__d"), F.lit(2**31 - 1)).cast("int").alias("depth"), F.col("__r").alias("rooted"))
+        state = _written(state.where("up is null").unionByName(moved), "depths")
+    depth = F.when(F.col("up").isNull() & F.col("rooted"), F.col("depth")).otherwise(0)
+    return state.select("trace_id", "span_id", depth.alias("depth"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__c")).drop("__c")
 
 
 def get_spans(spans: DataFrame, trace_ids: list | None = None, service: str | None = None, start=None, end=None) -> DataFrame:

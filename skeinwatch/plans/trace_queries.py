@@ -95,7 +95,7 @@ def span_tree(spark, sf):
 
 @query("T3_span_depths", f"{_SPANS.replace('WITH ', 'WITH RECURSIVE ', 1)}{_WALK} SELECT trace_id, span_id, depth FROM tree")
 def span_depths(spark, sf):
-    return traces.span_depths(views.spans(spark, sf), 4)
+    return traces.span_depths(views.spans(spark, sf))
 
 
 @query("T4_get_spans", f"{_SPANS} SELECT trace_id, span_id FROM spans WHERE trace_id IN (1, 7, 32, 100, 1000) OR FALSE")

@@ -31,6 +31,13 @@ def test_span_tree_with_orphans_and_without_root(spark):
         traces.span_tree(df, 3).collect()
 
 
+def test_span_depths_reach_every_span(spark):
+    rows = [("t", f"c{i:03}", f"c{i - 1:03}" if i else None, i, 1) for i in range(70)] + [("t", "x", "gone", 0, 1), ("t", "y", "x", 1, 1)]
+    rows += [("u", "p", "q", 1, 1), ("u", "q", "p", 0, 1), ("u", "r", "p", 2, 1)]
+    got = {(r["trace_id"], r["span_id"]): r["depth"] for r in traces.span_depths(spans_of(spark, rows)).collect()}
+    assert got == {(t, s): int(s[1:]) if s[0] == "c" else 0 for t, s, *_ in rows}
+
+
 def test_summaries_and_late_parts_agree(spark):
     df = spans_of(spark, [("t", "a", None, 0, 1), ("t", "b", "a", 1, 2), ("t", "c", "a", 5, 1)])
     whole = traces.trace_summaries(df).first()
