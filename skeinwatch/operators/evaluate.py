@@ -366,7 +366,8 @@ def trace_values(spans: DataFrame, asked: dict[str, tuple]) -> DataFrame:
     return spans.groupBy("trace_id").agg(*aggs)
 
 
-# Tool calls and responses: tool_calls array<struct<name, arguments variant, result variant>>, response columns.
+# Tool calls and responses: tool_calls array<struct<name, arguments variant, result variant>>; responses: content, model, finish_reason,
+# input_tokens, output_tokens, raw variant.
 
 
 def partial_match(actual: Column, wanted: dict) -> Column:
@@ -406,3 +407,34 @@ def tool_argument(name: str, path: str) -> Column:
 def tool_result(name: str) -> Column:
     call = F.element_at(F.filter("tool_calls", lambda c: c["name"] == name), 1)
     return F.when(tool_call_count(name) > 0, F.to_json(call["result"]))
+
+
+def response_content() -> Column:
+    """The text of the response; null where it is empty."""
+    return F.nullif("content", F.lit(""))
+
+
+def response_model() -> Column:
+    return F.col("model")
+
+
+def response_finish_reason() -> Column:
+    return F.col("finish_reason")
+
+
+def response_input_tokens() -> Column:
+    return F.col("input_tokens").cast("long")
+
+
+def response_output_tokens() -> Column:
+    return F.col("output_tokens").cast("long")
+
+
+def response_total_tokens() -> Column:
+    """Input and output tokens; null where either is unknown."""
+    return response_input_tokens() + response_output_tokens()
+
+
+def response_field(path: str) -> Column:
+    """What is at the path of the raw response, as JSON; null where there is nothing."""
+    return F.to_json(F.try_variant_get("raw", json_path(path), "variant"))

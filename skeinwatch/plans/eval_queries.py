@@ -144,6 +144,24 @@ def tool_calls(spark, sf):
     )
 
 
+def _responses(spark, sf):
+    """A conversation's turns as model responses."""
+    c = views.table(spark, sf, "conversations")
+    model, reason = F.concat(F.lit("model"), F.col("conv_id") % 3), F.when(F.col("turn") % 4 == 3, "length").otherwise("stop")
+    raw = F.struct(F.array(F.struct(reason.alias("finish_reason"), F.struct("role", F.col("text").alias("content")).alias("message"))).alias("choices"))
+    return c.select("conv_id", "turn", F.col("text").alias("content"), model.alias("model"), reason.alias("finish_reason"), F.size(F.split("text", " ")).alias("input_tokens"), F.length("text").alias("output_tokens"), F.parse_json(F.to_json(raw)).alias("raw"))
+
+
+@query("E28_response_assertions", """SELECT conv_id, turn, nullif(text, '') AS content, 'model' || (conv_id % 3) AS model, CASE WHEN turn % 4 = 3 THEN 'length' ELSE 'stop' END AS finish_reason, len(string_split(text, ' '))::BIGINT AS input_tokens, length(text)::BIGINT AS output_tokens,
+  (len(string_split(text, ' ')) + length(text))::BIGINT AS total_tokens, '"' || role || '"' AS field FROM conversations""")
+def response_assertions(spark, sf):
+    e = evaluate
+    return _responses(spark, sf).select(
+        "conv_id", "turn", e.response_content().alias("content"), e.response_model().alias("model"), e.response_finish_reason().alias("finish_reason"), e.response_input_tokens().alias("input_tokens"),
+        e.response_output_tokens().alias("output_tokens"), e.response_total_tokens().alias("total_tokens"), e.response_field("choices[0].message.role").alias("field"),
+    )
+
+
 @query("E29_judge_scores", "SELECT d.doc_id AS record_id, coalesce(l.quality >= 1, false) AS passed FROM documents d LEFT JOIN labels l USING (doc_id)")
 def judge_scores(spark, sf):
     scores = views.table(spark, sf, "labels").select(F.col("doc_id").alias("record_id"), F.lit("judge").alias("task_id"), F.col("quality").cast("double").alias("score"))

@@ -112,6 +112,14 @@ def test_paths_templates_items_and_gates(spark):
             scalars.json_path(path)
 
 
+def test_response_assertions(spark):
+    rows = [("hi", "m", "stop", 3, 4, '{"choices":[{"message":{"role":"assistant"}}]}'), ("", None, None, None, 4, "{}")]
+    df = spark.createDataFrame(rows, "content string, model string, finish_reason string, input_tokens int, output_tokens int, raw string").withColumn("raw", F.parse_json("raw"))
+    e = evaluate
+    got = df.select(e.response_content(), e.response_model(), e.response_finish_reason(), e.response_input_tokens(), e.response_output_tokens(), e.response_total_tokens(), e.response_field("choices[0].message.role")).collect()
+    assert [tuple(r) for r in got] == [("hi", "m", "stop", 3, 4, 7, '"assistant"'), (None, None, None, None, 4, None, None)]
+
+
 def test_comparison_flags(spark):
     base = spark.createDataFrame([("r", "a", True), ("r", "b", True), ("s", "a", False), ("only", "a", True)], "record_id string, task_id string, passed boolean")
     cand = spark.createDataFrame([("r", "a", False), ("r", "c", True), ("s", "a", True)], "record_id string, task_id string, passed boolean")
