@@ -65,6 +65,29 @@ def _add(name, tasks):
 for _name, _tasks in TASKS.items():
     _add(_name, [(t, p) for t, p in _tasks if t.id != "each"])
 
+#: The tasks on words again, over whole texts.
+WHOLE: dict[str, list[tuple[Task, str]]] = {
+    "E5_E13_whole_lengths": [
+        (Task("words5", "has_length_equal", 5, "words"), "len(words) = 5"), (Task("few", "has_length_less_than", 100, "words"), "len(words) < 100"), (Task("some", "has_length_greater_than_or_equal", 1, "words"), "len(words) >= 1"), (Task("many", "has_length_greater_than", 500, "words"), "len(words) > 500"),
+    ],
+    "E6_E7_E8_whole_strings": [(Task("member", "contains", "the", "words"), "list_contains(words, 'the')"), (Task("no_member", "not_contains", "the", "words"), "NOT list_contains(words, 'the')")],
+    "E12_whole_collections": [
+        (Task("any", "contains_any", ["the", "de"], "words"), "list_has_any(words, ['the', 'de'])"), (Task("all", "contains_all", ["the", "of"], "words"), "list_has_all(words, ['the', 'of'])"), (Task("no", "contains_none", ["the", "de"], "words"), "NOT list_has_any(words, ['the', 'de'])"),
+        (Task("unique", "has_unique_items", None, "words"), "len(list_distinct(words)) = len(words)"),
+    ],
+    "E14_E16_whole_letters": [(Task("each_short", "starts_with", "T", "words"), "len(list_filter(words, lambda w: NOT starts_with(w, 'T'))) = 0")],
+}
+
+
+def _add_whole(name, tasks):
+    @query(name, with_views("whole_recs") + " " + " UNION ALL ".join(f"SELECT record_id, '{t.id}' AS task_id, coalesce({p}, false) AS passed FROM whole_recs" for t, p in tasks))
+    def run(spark, sf):
+        return evaluate.evaluate(views.records(spark, sf, whole=True), [t for t, _ in tasks]).select("record_id", "task_id", "passed")
+
+
+for _name, _tasks in WHOLE.items():
+    _add_whole(_name, _tasks)
+
 GATED = [Task("en", "equals", "en", "lang", condition=True), Task("long", "greater_than", 800, "n_chars", depends_on=("en",)), Task("good", "equals", 1, "quality"), Task("len2", "has_length_equal", 2, "en", depends_on=("en",))]
 
 

@@ -113,10 +113,11 @@ def edges(spark, sf_dir):
     )
 
 
-def records(spark, sf_dir):
-    """record_id, context (variant): documents and their labels as JSON."""
+def records(spark, sf_dir, whole: bool = False):
+    """record_id, context (variant): documents and their labels as JSON, with all words of the text if whole, else five."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    words = F.slice(F.split(F.regexp_replace("text", "\n", " "), " "), 1, 5)
+    words = F.split(F.regexp_replace("text", "\n", " "), " ")
+    words = words if whole else F.slice(words, 1, 5)
     body = F.struct("lang", "source", "n_chars", "quality", F.struct(F.col("doc_id").alias("id"), (F.col("doc_id") % 7 == 0).alias("flag")).alias("meta"), words.alias("words"))
     return d.select(F.col("doc_id").alias("record_id"), F.parse_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("context"), "lang", "source")
 
@@ -145,6 +146,7 @@ SQL = {
     "edges": """edges AS (SELECT 'n' || c_nationkey AS source_service, 'n' || s_nationkey AS destination_service, '/orders/{id}/items/{id}' AS endpoint, l_quantity AS latency_ms, l_returnflag = 'R' AS error, o_orderdate AS created_at
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey)""",
     "recs": "recs AS (SELECT d.doc_id AS record_id, d.lang, d.source, d.n_chars, l.quality, d.doc_id % 7 = 0 AS flag, string_split(replace(d.text, chr(10), ' '), ' ')[1:5] AS words FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)",
+    "whole_recs": "whole_recs AS (SELECT doc_id AS record_id, string_split(replace(text, chr(10), ' '), ' ') AS words FROM documents)",
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skeinwatch.functions import scalars, timeutil
 from skeinwatch.operators import compare, evaluate, genai, traces
 from skeinwatch.operators.evaluate import Task
+from skeinwatch.plans import registry
 from skeinwatch.sources import tables
 from skeinwatch.streaming import streams
 
@@ -120,6 +121,21 @@ def test_response_assertions(spark):
     assert [tuple(r) for r in got] == [("hi", "m", "stop", 3, 4, 7, '"assistant"'), (None, None, None, None, 4, None, None)]
 
 
+def test_assertions_see_whole_texts(spark, tmp_path):
+    texts = ["a b c d e the", "a b c d e f of\nthe", "a b c d e a", "T T T T T x", "a b c d e"]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["E5_E13_whole_lengths", "E6_E7_E8_whole_strings", "E12_whole_collections", "E14_E16_whole_letters"]
+    got = {(r["task_id"], r["record_id"]) for n in names for r in registry.QUERIES[n](spark, str(tmp_path)).where("passed").collect()}
+    words = [t.replace("\n", " ").split(" ") for t in texts]
+    tests = {
+        "words5": lambda w: len(w) == 5, "few": lambda w: len(w) < 100, "some": lambda w: len(w) >= 1, "many": lambda w: len(w) > 500, "member": lambda w: "the" in w, "no_member": lambda w: "the" not in w,
+        "any": lambda w: "the" in w or "de" in w, "all": lambda w: {"the", "of"} <= set(w), "no": lambda w: not {"the", "de"} & set(w), "unique": lambda w: len(set(w)) == len(w), "each_short": lambda w: all(x.startswith("T") for x in w),
+    }
+    assert got == {(k, i) for k, f in tests.items() for i, w in enumerate(words) if f(w)}
+
+
 def test_comparison_flags(spark):
     base = spark.createDataFrame([("r", "a", True), ("r", "b", True), ("s", "a", False), ("only", "a", True)], "record_id string, task_id string, passed boolean")
     cand = spark.createDataFrame([("r", "a", False), ("r", "c", True), ("s", "a", True)], "record_id string, task_id string, passed boolean")
