@@ -8,7 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Limits and patterns that results must agree on.
 MAX_PATH, MAX_SEGMENTS, MAX_ENDPOINT = 512, 32, 256
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+INTEGER = r"^\d+$"
+TRACEPARENT = r"(?i)^[0-9a-f]{2}-([0-9a-f]{32})-[0-9a-f]{16}-[0-9a-f]{2}$"
+
+
+def anchored(pattern: str) -> str:
+    """A pattern whose final `$` is the very end of the text (Java's lets a line feed follow), with Unicode digits."""
+    return "(?dU)" + (pattern[:-1] + r"\z" if pattern.endswith("$") else pattern)
 
 
 def finite(x: Column) -> Column:
@@ -67,14 +76,17 @@ def json_path(path: str) -> str:
 
 def normalize_endpoint(path: Column) -> Column:
     """UUID or all-digit path segments become {id}; at most 256 characters."""
-    uuid = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    parts = F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(uuid) | s.rlike(r"^[0-9]+$"), F.lit("{id}")).otherwise(s))
+    parts = F.transform(
+        F.split(path, "/"),
+        lambda s: F.when(s.rlike(anchored(UUID)) | s.rlike(anchored(INTEGER)), F.lit("{id}")).otherwise(s),
+    )
     return F.substring(F.array_join(parts, "/"), 1, MAX_ENDPOINT)
 
 
 def traceparent_trace_id(header: Column) -> Column:
-    """The trace id of a W3C traceparent header, or null."""
-    found = F.regexp_extract(header, r"^[0-9a-f]{2}-([0-9a-f]{32})-[0-9a-f]{16}-[0-9a-f]{2}", 1)
+    """The trace id of a W3C traceparent header, in either case, blanks around it allowed; null for anything else."""
+    bare = F.regexp_replace(header, r"(?U)^\s+|\s+\z", "")
+    found = F.regexp_extract(bare, anchored(TRACEPARENT), 1)
     return F.when(found != "", found)
 
 
@@ -87,7 +99,12 @@ def infer_fields(body: Column) -> Column:
     def named(_, v):
         k = F.coalesce(kind(v), F.lit("VOID"))
         return (
-            F.when(k == "BOOLEAN", "boolean").when(k == "STRING", "string").when(k.startswith("ARRAY"), "array").when(k.startswith("OBJECT"), "object").when(k == "VOID", "null").otherwise("number")
+            F.when(k == "BOOLEAN", "boolean")
+            .when(k == "STRING", "string")
+            .when(k.startswith("ARRAY"), "array")
+            .when(k.startswith("OBJECT"), "object")
+            .when(k == "VOID", "null")
+            .otherwise("number")
         )
 
     return F.transform_values(fields, named)

@@ -26,7 +26,13 @@ def time_trunc(ts: Column | str, unit: str) -> Column:
     return F.date_trunc(unit.lower(), ts)
 
 
-def time_filter(df: DataFrame, start: datetime | None, end: datetime | None, ts: str = "start_time", partition: str | None = "partition_date") -> DataFrame:
+def time_filter(
+    df: DataFrame,
+    start: datetime | None,
+    end: datetime | None,
+    ts: str = "start_time",
+    partition: str | None = "partition_date",
+) -> DataFrame:
     """Rows with start <= ts < end. The bounds on the date partition are added, since the scan can't infer them."""
     if start is not None:
         df = df.where(F.col(ts) >= F.lit(start))

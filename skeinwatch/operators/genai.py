@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwatch.functions.timeutil import opt_filter, time_filter, time_trunc
-from skeinwatch.operators.metrics import error_rate, percentiles
+from skeinwatch.operators.metrics import error_rate, with_percentiles
 
 MAX_SPANS, MAX_CONVERSATION = 10_000, 1_000
 AGENT_OPERATIONS = ("invoke_agent", "create_agent")
 _TEXT = {
-    "operation": "gen_ai.operation.name", "provider": "gen_ai.provider.name", "request_model": "gen_ai.request.model", "response_model": "gen_ai.response.model",
-    "conversation_id": "gen_ai.conversation.id", "agent_name": "gen_ai.agent.name", "agent_id": "gen_ai.agent.id", "tool_name": "gen_ai.tool.name", "tool_type": "gen_ai.tool.type", "error_type": "error.type",
+    "operation": "gen_ai.operation.name",
+    "provider": "gen_ai.provider.name",
+    "request_model": "gen_ai.request.model",
+    "response_model": "gen_ai.response.model",
+    "conversation_id": "gen_ai.conversation.id",
+    "agent_name": "gen_ai.agent.name",
+    "agent_id": "gen_ai.agent.id",
+    "tool_name": "gen_ai.tool.name",
+    "tool_type": "gen_ai.tool.type",
+    "error_type": "error.type",
 }
 _NUMBER = {
     "input_tokens": "gen_ai.usage.input_tokens", "output_tokens": "gen_ai.usage.output_tokens",
@@ -38,10 +46,24 @@ def extract_genai(spans: DataFrame) -> DataFrame:
     text = {name: _attribute(key) for name, key in _TEXT.items()}
     number = {name: _attribute(key).try_cast("double").cast("long") for name, key in _NUMBER.items()}
     reasons = _attribute("gen_ai.response.finish_reasons")
-    listed = F.coalesce(F.when(reasons.startswith("["), F.from_json(reasons, "array<string>")), F.when(reasons.isNotNull(), F.array(reasons)))
+    listed = F.coalesce(
+        F.when(reasons.startswith("["), F.from_json(reasons, "array<string>")),
+        F.when(reasons.isNotNull(), F.array(reasons)),
+    )
     scored = F.filter("events", lambda e: (e["name"] == "gen_ai.evaluation.result") & e["attributes"]["gen_ai.evaluation.name"].isNotNull())
-    evaluations = F.to_json(F.transform(scored, lambda e: F.struct(e["attributes"]["gen_ai.evaluation.name"].alias("name"), e["attributes"]["gen_ai.evaluation.score.value"].try_cast("double").alias("score"), e["attributes"]["gen_ai.evaluation.score.label"].alias("label"))))
-    return held.withColumns({**text, **number, "finish_reasons": listed, "evaluations": F.when(F.size(scored) > 0, evaluations)}).drop("attributes", "events")
+    evaluations = F.to_json(
+        F.transform(
+            scored,
+            lambda e: F.struct(
+                e["attributes"]["gen_ai.evaluation.name"].alias("name"),
+                e["attributes"]["gen_ai.evaluation.score.value"].try_cast("double").alias("score"),
+                e["attributes"]["gen_ai.evaluation.score.label"].alias("label"),
+            ),
+        )
+    )
+    return held.withColumns(
+        {**text, **number, "finish_reasons": listed, "evaluations": F.when(F.size(scored) > 0, evaluations)}
+    ).drop("attributes", "events")
 
 
 def model_filter(df: DataFrame, model: str | None) -> DataFrame:
@@ -61,21 +83,42 @@ def _sums() -> list[Column]:
 
 
 def token_metrics(df: DataFrame, unit: str = "hour") -> DataFrame:
-    return df.groupBy(time_trunc("start_time", unit).alias("bucket")).agg(*_sums(), F.count("*").alias("span_count"), error_rate(failed()).alias("error_rate"))
+    return df.groupBy(time_trunc("start_time", unit).alias("bucket")).agg(
+        *_sums(),
+        F.count("*").alias("span_count"),
+        error_rate(failed()).alias("error_rate"),
+    )
 
 
 def operation_breakdown(df: DataFrame) -> DataFrame:
-    return df.groupBy("operation", "provider").agg(F.count("*").alias("span_count"), F.avg("duration_ms").alias("avg_duration_ms"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), error_rate(failed()).alias("error_rate"))
+    return df.groupBy("operation", "provider").agg(
+        F.count("*").alias("span_count"),
+        F.avg("duration_ms").alias("avg_duration_ms"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+        error_rate(failed()).alias("error_rate"),
+    )
 
 
 def model_usage(df: DataFrame, exact: bool = False) -> DataFrame:
-    model = F.coalesce("response_model", "request_model")
-    return df.where(model.isNotNull()).groupBy(model.alias("model"), "provider").agg(F.count("*").alias("span_count"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), *percentiles("duration_ms", (0.5, 0.95), exact), error_rate(failed()).alias("error_rate"))
+    held = df.withColumn("model", F.coalesce("response_model", "request_model")).where(F.col("model").isNotNull())
+    aggs = [
+        F.count("*").alias("span_count"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+        error_rate(failed()).alias("error_rate"),
+    ]
+    return with_percentiles(held, ["model", "provider"], aggs, "duration_ms", (0.5, 0.95), exact)
 
 
 def agent_activity(df: DataFrame) -> DataFrame:
     held = df.where(F.col("operation").isin(*AGENT_OPERATIONS) | F.col("agent_name").isNotNull())
-    return held.groupBy("agent_name", "agent_id", "conversation_id").agg(F.count("*").alias("span_count"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"), F.max("start_time").alias("last_seen"))
+    return held.groupBy("agent_name", "agent_id", "conversation_id").agg(
+        F.count("*").alias("span_count"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+        F.max("start_time").alias("last_seen"),
+    )
 
 
 def _tools(df: DataFrame) -> DataFrame:
@@ -83,11 +126,19 @@ def _tools(df: DataFrame) -> DataFrame:
 
 
 def tool_activity(df: DataFrame) -> DataFrame:
-    return _tools(df).groupBy("tool_name", "tool_type").agg(F.count("*").alias("call_count"), F.avg("duration_ms").alias("avg_duration_ms"), error_rate(failed()).alias("error_rate"))
+    return _tools(df).groupBy("tool_name", "tool_type").agg(
+        F.count("*").alias("call_count"),
+        F.avg("duration_ms").alias("avg_duration_ms"),
+        error_rate(failed()).alias("error_rate"),
+    )
 
 
 def tool_timeseries(df: DataFrame, unit: str = "hour") -> DataFrame:
-    return _tools(df).groupBy(time_trunc("start_time", unit).alias("bucket"), "tool_name").agg(F.count("*").alias("call_count"), F.avg("duration_ms").alias("avg_duration_ms"), error_rate(failed()).alias("error_rate"))
+    return _tools(df).groupBy(time_trunc("start_time", unit).alias("bucket"), "tool_name").agg(
+        F.count("*").alias("call_count"),
+        F.avg("duration_ms").alias("avg_duration_ms"),
+        error_rate(failed()).alias("error_rate"),
+    )
 
 
 def error_breakdown(df: DataFrame) -> DataFrame:
@@ -102,22 +153,29 @@ def conversation_spans(df: DataFrame, conversation_id: str, limit: int = MAX_CON
     return df.where(F.col("conversation_id") == conversation_id).orderBy("start_time", "span_id").limit(min(limit, MAX_CONVERSATION))
 
 
-def _dashboard(exact: bool) -> list[Column]:
-    return [F.count("*").alias("span_count"), error_rate(failed()).alias("error_rate"), F.avg("duration_ms").alias("avg_duration_ms"), *percentiles("duration_ms", exact=exact), *_sums()]
+def _dashboard() -> list[Column]:
+    return [
+        F.count("*").alias("span_count"),
+        error_rate(failed()).alias("error_rate"),
+        F.avg("duration_ms").alias("avg_duration_ms"),
+        *_sums(),
+    ]
 
 
 def agent_dashboard(df: DataFrame, unit: str = "hour", exact: bool = False) -> DataFrame:
     """A row a bucket, over all its spans (percentiles aren't folded from models')."""
-    return df.groupBy(time_trunc("start_time", unit).alias("bucket")).agg(*_dashboard(exact))
+    return with_percentiles(df.withColumn("bucket", time_trunc("start_time", unit)), ["bucket"], _dashboard(), "duration_ms", exact=exact)
 
 
 def dashboard_summary(df: DataFrame, exact: bool = False) -> DataFrame:
-    return df.agg(*_dashboard(exact))
+    return with_percentiles(df, [], _dashboard(), "duration_ms", exact=exact)
 
 
 def cost_by_model(df: DataFrame, pricing: DataFrame) -> DataFrame:
     """model, tokens and cost; pricing: model, input_price and output_price per million tokens. Unknown models cost null."""
-    used = df.groupBy(F.coalesce("response_model", "request_model").alias("model")).agg(F.count("*").alias("span_count"), *_sums()).where(F.col("model").isNotNull())
+    used = df.groupBy(
+        F.coalesce("response_model", "request_model").alias("model")
+    ).agg(F.count("*").alias("span_count"), *_sums()).where(F.col("model").isNotNull())
     cost = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1_000_000
     return used.join(pricing, "model", "left").withColumn("cost", cost).drop("input_price", "output_price")
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skeinwatch.functions.ranked import nearest_ranks, numbered
 from skeinwatch.functions.scalars import finite
 
 QUANTILES = (0.25, 0.5, 0.75, 0.99)
@@ -23,7 +22,11 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     held = long_form(df, columns).where(F.col("value").isNotNull())
     number = F.when(~F.isnan("value"), F.col("value"))
     return held.groupBy("feature").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"), F.min(number).alias("min"), F.max(number).alias("max"),
+        F.count("*").alias("n"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("stddev"),
+        F.min(number).alias("min"),
+        F.max(number).alias("max"),
         F.count_distinct("value").alias("distinct"), (F.count_distinct("value") / F.count("*")).alias("distinct_fraction"),
     )
 
@@ -34,30 +37,26 @@ def profile_wide(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         x = F.col(c).cast("double")
         number = F.when(~F.isnan(x), x)
-        stats += [F.avg(x).alias(f"{c}_mean"), F.stddev_samp(x).alias(f"{c}_stddev"), F.min(number).alias(f"{c}_min"), F.max(number).alias(f"{c}_max")]
+        stats += [
+            F.avg(x).alias(f"{c}_mean"),
+            F.stddev_samp(x).alias(f"{c}_stddev"),
+            F.min(number).alias(f"{c}_min"),
+            F.max(number).alias(f"{c}_max"),
+        ]
     return df.agg(*stats)
 
 
 def rank_quantiles(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = QUANTILES, approx: bool = False) -> DataFrame:
-    """feature, q, value: quantiles by nearest rank (round(q (n - 1))); none when a cell isn't finite."""
+    """feature, q, value: quantiles by nearest rank (round(q (n - 1))); none of a feature with a cell that isn't finite."""
     held = long_form(df, columns)
     if approx:
         best = F.percentile_approx("value", [float(q) for q in quantiles], 10_000)
-    else:
-        best = None
-    counts = held.groupBy("feature").agg(F.count("value").alias("n"), F.min(finite(F.col("value"))).alias("clean"))
-    if best is not None:
         got = held.groupBy("feature").agg(best.alias("v")).select("feature", F.posexplode("v").alias("i", "value"))
         qs = F.array(*map(F.lit, quantiles))
         return got.select("feature", F.element_at(qs, F.col("i") + 1).alias("q"), "value")
-    clean = [r for r in counts.collect() if r["clean"]]
-    return reduce(DataFrame.unionByName, (_ranked(held, r["feature"], r["n"], quantiles) for r in clean)) if clean else held.where("false").select("feature", F.lit(0.0).alias("q"), "value")
-
-
-def _ranked(held: DataFrame, feature: str, n: int, quantiles) -> DataFrame:
-    share = [F.lit(int(q * (n - 1) + 0.5) / (n - 1) if n > 1 else 0.0) for q in quantiles]
-    got = held.where(F.col("feature") == feature).agg(F.percentile("value", F.array(*share)).alias("v"))
-    return got.select(F.lit(feature).alias("feature"), F.posexplode("v").alias("i", "value")).select("feature", F.element_at(F.array(*map(F.lit, quantiles)), F.col("i") + 1).alias("q"), "value")
+    clean = held.groupBy("feature").agg(F.min(finite(F.col("value"))).alias("__clean")).where("__clean").select("feature")
+    rank = F.floor(F.col("q") * (F.col("__n") - 1) + 0.5)
+    return nearest_ranks(held.where(finite(F.col("value"))), ["feature"], "value", tuple(quantiles), rank).join(clean, "feature")
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
@@ -68,7 +67,12 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
     at = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
     counts = held.join(ends, "feature").groupBy("feature", at.alias("bin")).agg(F.count("*").alias("count"))
     grid = ends.select("feature", "lo", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(counts, ["feature", "bin"], "left").select("feature", "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("left_edge"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    return grid.join(counts, ["feature", "bin"], "left").select(
+        "feature",
+        "bin",
+        (F.col("lo") + F.col("bin") * F.col("w")).alias("left_edge"),
+        F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+    )
 
 
 def profile_string(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,7 +84,9 @@ def profile_string(df: DataFrame, columns: list[str]) -> DataFrame:
     median = sized.withColumn("upto", F.sum("m").over(order)).withColumn("all", F.sum("m").over(Window.partitionBy("feature")))
     median = median.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("feature").agg(F.min("length").alias("median_length"))
     rest = held.groupBy("feature").agg(
-        F.count("*").alias("n"), F.count_distinct("value").alias("distinct"), (F.count_distinct("value") * 100.0 / F.count("*")).alias("distinct_percent"),
+        F.count("*").alias("n"),
+        F.count_distinct("value").alias("distinct"),
+        (F.count_distinct("value") * 100.0 / F.count("*")).alias("distinct_percent"),
         F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.avg(size).alias("mean_length"),
     )
     return rest.join(median, "feature")
@@ -97,20 +103,21 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature_a, feature_b, corr: Pearson's coefficient of every pair, from one aggregation."""
     pairs = [(a, b) for a in columns for b in columns]
     one = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
-    rows = F.array(*(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))
+    named = lambda i, a, b: F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("corr"))
+    rows = F.array(*(named(i, a, b) for i, (a, b) in enumerate(pairs)))
     return one.select(F.inline(rows))
 
 
 def category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, value, code: the distinct values of each column in order, numbered from 0."""
     values = df.select(columns).unpivot([], columns, "feature", "value").where(F.col("value").isNotNull()).distinct()
-    return values.withColumn("code", F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1)
+    return numbered(values, ["value"], "code", ["feature"])
 
 
 def ordinal_encode(df: DataFrame, columns: list[str], codes: DataFrame | None = None) -> DataFrame:
     """df with the named columns as codes; a value that codes don't have gets the number of codes."""
     codes = codes if codes is not None else category_codes(df, columns)
-    sizes = {r["feature"]: r["k"] for r in codes.groupBy("feature").agg(F.count("*").alias("k")).collect()}
+    sizes = {r["feature"]: r["k"] for r in codes.groupBy("feature").agg(F.count("*").alias("k")).collect()}  # a row a feature
     for c in columns:
         own = codes.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("code").alias("__code"))
         df = df.join(own, c, "left").withColumn(c, F.coalesce("__code", F.lit(sizes.get(c, 0))).cast("int")).drop("__code")
@@ -118,9 +125,25 @@ def ordinal_encode(df: DataFrame, columns: list[str], codes: DataFrame | None =
 
 
 def profile(df: DataFrame, numeric: list[str], strings: list[str], bins: int = 20) -> DataFrame:
-    """feature, kind, numeric stats, string stats, histogram: one row a feature."""
-    nums = profile_numeric(df, numeric).select("feature", F.struct("n", "mean", "stddev", "min", "max", "distinct", "distinct_fraction").alias("numeric"))
-    bars = histogram(df, numeric, bins).groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "left_edge", "count"))).alias("histogram"))
-    words = profile_string(df, strings).select("feature", F.struct("n", "distinct", "distinct_percent", "min_length", "max_length", "mean_length", "median_length").alias("string"))
+    """feature, kind, numeric stats, string stats, histogram, correlations (other feature: coefficient): one row a feature.
+
+    Strings take part in the correlations by their ordinal codes.
+    """
+    every = [*numeric, *strings]
+    coded = ordinal_encode(df.select(*every), strings) if strings else df
+    pairs = correlations(coded, every).where("feature_a <> feature_b").groupBy(F.col("feature_a").alias("feature"))
+    pairs = pairs.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature_b", "corr")))).alias("correlations"))
+    nums = profile_numeric(df, numeric).select(
+        "feature",
+        F.struct("n", "mean", "stddev", "min", "max", "distinct", "distinct_fraction").alias("numeric"),
+    )
+    bars = histogram(df, numeric, bins).groupBy("feature").agg(
+        F.array_sort(F.collect_list(F.struct("bin", "left_edge", "count"))).alias("histogram")
+    )
+    words = profile_string(df, strings).select(
+        "feature",
+        F.struct("n", "distinct", "distinct_percent", "min_length", "max_length", "mean_length", "median_length").alias("string"),
+    )
     left = nums.join(bars, "feature", "left").withColumn("kind", F.lit("numeric"))
-    return left.unionByName(words.withColumn("kind", F.lit("string")), allowMissingColumns=True).select("feature", "kind", "numeric", "histogram", "string")
+    rows = left.unionByName(words.withColumn("kind", F.lit("string")), allowMissingColumns=True)
+    return rows.join(pairs, "feature", "left").select("feature", "kind", "numeric", "histogram", "string", "correlations")

@@ -2,7 +2,8 @@
 
 A profile has a row for each feature and bin: feature, id (from 1), lower, upper, proportion; a value x is in the bin with
 lower < x <= upper. Categorical features have bins whose id is the value's code. Everything runs on all features at once
-in long form; what reaches the driver is a row a feature.
+in long form. What reaches the driver is the profile: a row a feature and bin. A profile may have MAX_BINS rows at most
+(a categorical column of more values is an error; it is no category for this index).
 """
 
 from __future__ import annotations
@@ -13,26 +14,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skeinwatch.functions.ranked import exact_quantiles, nearest_ranks
 from skeinwatch.functions.scalars import finite
 from skeinwatch.functions.statistics import chi_square_quantile, normal_quantile
 from skeinwatch.functions.timeutil import time_bin
 from skeinwatch.operators.profile import long_form
 
 EPSILON = 1e-10
+MAX_BINS = 100_000
 RULES = ("manual", "square_root", "sturges", "rice", "doane", "scott", "terrell_scott", "freedman_diaconis")
 
 
 def bin_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, n, lo, hi, g1 (population skewness), sd (population), q1 and q3 (lower rank): what bin-count rules need."""
     held = long_form(df, columns).where(finite(F.col("value")))
-    stats = held.groupBy("feature").agg(
-        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.skewness("value").alias("g1"), F.stddev_pop("value").alias("sd"), F.percentile("value", F.array(F.lit(0.0))).alias("__p"),
-    ).drop("__p")
-    ranks = stats.select("feature", F.floor(0.25 * (F.col("n") - 1)).alias("r1"), F.floor(0.75 * (F.col("n") - 1)).alias("r3"))
-    counts = held.groupBy("feature", "value").agg(F.count("*").alias("m"))
-    upto = counts.withColumn("upto", F.sum("m").over(Window.partitionBy("feature").orderBy("value"))).join(ranks, "feature")
-    quartiles = upto.groupBy("feature").agg(F.min(F.when(F.col("upto") > F.col("r1"), F.col("value"))).alias("q1"), F.min(F.when(F.col("upto") > F.col("r3"), F.col("value"))).alias("q3"))
-    return stats.join(quartiles, "feature")
+    stats = _width_statistics(df, columns).drop("q1", "q3")
+    ranks = nearest_ranks(held, ["feature"], "value", (0.25, 0.75), F.floor(F.col("q") * (F.col("__n") - 1)))
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    return stats.join(ranks.groupBy("feature").agg(at(0.25).alias("q1"), at(0.75).alias("q3")), "feature")
+
+
+def _width_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """bin_statistics without quartiles, which only one rule asks for: one aggregation."""
+    held = long_form(df, columns).where(finite(F.col("value")))
+    return held.groupBy("feature").agg(
+        F.count("*").alias("n"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+        F.skewness("value").alias("g1"),
+        F.stddev_pop("value").alias("sd"),
+        F.lit(None).cast("double").alias("q1"),
+        F.lit(None).cast("double").alias("q3"),
+    )
 
 
 def bin_count(rule: str, manual: int = 10) -> Column:
@@ -59,7 +72,7 @@ def bin_count(rule: str, manual: int = 10) -> Column:
 
 def width_edges(df: DataFrame, columns: list[str], rule: str = "doane", manual: int = 10) -> DataFrame:
     """feature, edges: the inner edges of equal-width bins; fewer than 2 bins is an error."""
-    sized = bin_statistics(df, columns).withColumn("k", bin_count(rule, manual))
+    sized = (bin_statistics if rule == "freedman_diaconis" else _width_statistics)(df, columns).withColumn("k", bin_count(rule, manual))
     bad = F.raise_error(F.lit("equal-width binning needs at least 2 bins"))
     width = (F.col("hi") - F.col("lo")) / F.col("k")
     edges = F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda i: F.col("lo") + i * width)
@@ -67,29 +80,45 @@ def width_edges(df: DataFrame, columns: list[str], rule: str = "doane", manual:
 
 
 def quantile_edges(df: DataFrame, columns: list[str], n: int = 10, approx: bool = False) -> DataFrame:
-    """feature, edges: the inner n-quantiles with linear interpolation (R-7).
-
-    Exact quantiles gather a feature's different values in one task; approx takes the nearest values of a sketch instead.
-    """
+    """feature, edges: the inner n-quantiles with linear interpolation (R-7); approx takes the nearest values of a sketch."""
     if n < 2:
         raise ValueError("at least 2 bins are needed")
     held = long_form(df, columns).where(finite(F.col("value")))
-    at = F.array(*(F.lit(i / n) for i in range(1, n)))
-    return held.groupBy("feature").agg((F.percentile_approx("value", at, 100_000) if approx else F.percentile("value", at)).alias("edges"))
+    at = tuple(i / n for i in range(1, n))
+    if approx:
+        return held.groupBy("feature").agg(F.percentile_approx("value", list(at), 100_000).alias("edges"))
+    found = exact_quantiles(held, ["feature"], "value", at)
+    return found.groupBy("feature").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))), lambda x: x["value"]).alias("edges")
+    )
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:
     """1 + the number of edges below the value, null for values that aren't finite; compiled code up to 64 edges."""
-    below = reduce(Column.__add__, ((value > e).cast("int") for e in edges), F.lit(0)) if len(edges) <= 64 else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: value > e))
+    below = reduce(
+        Column.__add__,
+        ((value > e).cast("int") for e in edges),
+        F.lit(0),
+    ) if len(edges) <= 64 else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: value > e))
     return F.when(finite(value), below + 1).cast("int")
 
 
 def _counted(df: DataFrame, ids: dict[str, Column], keys: list[str] = ()) -> DataFrame:
     """keys, feature, id, count of one id column a feature, all in one pass."""
-    return df.select(*keys, *(c.alias(f) for f, c in ids.items())).unpivot(list(keys), list(ids), "feature", "id").where(F.col("id").isNotNull()).groupBy(*keys, "feature", "id").agg(F.count("*").alias("count"))
-
-
-def psi_profile(df: DataFrame, columns: list[str], rule: str = "quantile", n: int = 10, categorical: list[str] = (), approx: bool = False) -> DataFrame:
+    return df.select(
+        *keys,
+        *(c.alias(f) for f, c in ids.items()),
+    ).unpivot(list(keys), list(ids), "feature", "id").where(F.col("id").isNotNull()).groupBy(*keys, "feature", "id").agg(F.count("*").alias("count"))
+
+
+def psi_profile(
+    df: DataFrame,
+    columns: list[str],
+    rule: str = "quantile",
+    n: int = 10,
+    categorical: list[str] = (),
+    approx: bool = False,
+) -> DataFrame:
     """feature, id, lower, upper, proportion. Categorical columns hold codes, and a code is its bin's id.
 
     The edges, a row a feature, are found first.
@@ -105,23 +134,38 @@ def psi_profile(df: DataFrame, columns: list[str], rule: str = "quantile", n: in
             ends = [float("-inf"), *edges, float("inf")]
             rows += [(r["feature"], i, ends[i - 1], ends[i]) for i in range(1, len(edges) + 2)]
     counts = _counted(df, ids)
-    grid = df.sparkSession.createDataFrame(rows, "feature string, id int, lower double, upper double").join(counts.where(~F.col("feature").isin(list(categorical))), ["feature", "id"], "left")
+    grid = df.sparkSession.createDataFrame(rows, "feature string, id int, lower double, upper double").join(
+        counts.where(~F.col("feature").isin(list(categorical))),
+        ["feature", "id"],
+        "left",
+    )
     if categorical:
         none = F.lit(None).cast("double")
-        grid = grid.unionByName(counts.where(F.col("feature").isin(list(categorical))).select("feature", "id", none.alias("lower"), none.alias("upper"), "count"))
+        grid = grid.unionByName(
+            counts.where(F.col("feature").isin(list(categorical))).select(
+                "feature",
+                "id",
+                none.alias("lower"),
+                none.alias("upper"),
+                "count",
+            )
+        )
     m = F.coalesce("count", F.lit(0))
     return grid.select("feature", "id", "lower", "upper", (m / F.sum(m).over(Window.partitionBy("feature"))).alias("proportion"))
 
 
 def fixed_profile(profile: DataFrame) -> DataFrame:
-    """A profile as a local table: it has a row a bin, and is computed once."""
-    return profile.sparkSession.createDataFrame(profile.select("feature", "id", "lower", "upper", "proportion").collect(), "feature string, id int, lower double, upper double, proportion double")
+    """A profile as a local table: it has a row a bin (MAX_BINS at most), and is computed once."""
+    rows = profile.select("feature", "id", "lower", "upper", "proportion").limit(MAX_BINS + 1).collect()
+    if len(rows) > MAX_BINS:
+        raise ValueError(f"a profile has at most {MAX_BINS} bins")
+    return profile.sparkSession.createDataFrame(rows, "feature string, id int, lower double, upper double, proportion double")
 
 
 def psi_bin_counts(df: DataFrame, profile: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """keys, feature, id, count: how many finite values fall in each profile bin; every bin of a key has a row."""
     bins: dict[str, list] = {}
-    for r in profile.where(F.col("feature").isin(list(columns))).select("feature", "id", "upper").orderBy("feature", "id").collect():
+    for r in fixed_profile(profile.where(F.col("feature").isin(list(columns)))).orderBy("feature", "id").collect():
         bins.setdefault(r["feature"], []).append(r)
     ids = {}
     for feature, rows in bins.items():
@@ -133,7 +177,12 @@ def psi_bin_counts(df: DataFrame, profile: DataFrame, columns: list[str], keys:
     counts = _counted(df, ids, list(keys))
     grid = df.sparkSession.createDataFrame([(f, r["id"]) for f, rows in bins.items() for r in rows], "feature string, id int")
     seen = counts.select(*keys, "feature").distinct().join(grid, "feature")
-    return seen.join(counts, [*keys, "feature", "id"], "left").select(*keys, "feature", "id", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    return seen.join(counts, [*keys, "feature", "id"], "left").select(
+        *keys,
+        "feature",
+        "id",
+        F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+    )
 
 
 def bin_proportions(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,7 +195,11 @@ def align_bins(profile: DataFrame, observed: DataFrame, keys: list[str] = ()) ->
     """Every profile bin beside the share observed, 0 where there is none."""
     groups = observed.select(*keys, "feature").distinct()
     grid = groups.join(profile.select("feature", "id", "proportion"), "feature")
-    return grid.join(observed.select(*keys, "feature", "id", "observed"), [*keys, "feature", "id"], "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
+    return grid.join(
+        observed.select(*keys, "feature", "id", "observed"),
+        [*keys, "feature", "id"],
+        "left",
+    ).withColumn("observed", F.coalesce("observed", F.lit(0.0)))
 
 
 def psi_term(p: Column, q: Column) -> Column:
@@ -173,7 +226,11 @@ def psi_drift(df: DataFrame, profile: DataFrame, columns: list[str], strict_deno
         n = df.count()
         shares = shares.withColumn("observed", F.col("count") / F.lit(n))
     aligned = shares.join(profile.select("feature", "id", "proportion"), ["feature", "id"])
-    return aligned.groupBy("feature").agg(F.sum(psi_term(F.col("proportion"), F.col("observed"))).alias("psi"), F.sum("count").alias("n"), F.count("*").alias("bins"))
+    return aligned.groupBy("feature").agg(
+        F.sum(psi_term(F.col("proportion"), F.col("observed"))).alias("psi"),
+        F.sum("count").alias("n"),
+        F.count("*").alias("bins"),
+    )
 
 
 def psi_distributions(facts: DataFrame, profile: DataFrame, since=None, per_bin: int = 10) -> DataFrame:
@@ -190,14 +247,21 @@ def psi_distributions(facts: DataFrame, profile: DataFrame, since=None, per_bin:
 
 def psi_over_time(facts: DataFrame, profile: DataFrame, minutes: float, min_obs: int = 100) -> DataFrame:
     """feature, bucket (null: overall), psi, total: buckets and the whole interval with more than min_obs observations."""
-    binned = facts.groupBy("feature", time_bin("created_at", minutes).alias("bucket"), F.col("bin_id").alias("id")).agg(F.sum("bin_count").alias("count"))
+    binned = facts.groupBy(
+        "feature",
+        time_bin("created_at", minutes).alias("bucket"),
+        F.col("bin_id").alias("id"),
+    ).agg(F.sum("bin_count").alias("count"))
     overall = binned.groupBy("feature", "id").agg(F.sum("count").alias("count")).withColumn("bucket", F.lit(None).cast("timestamp"))
     shares = bin_proportions(binned.unionByName(overall), ["feature", "bucket"]).where(F.col("total") > min_obs)
     grid = shares.select("feature", "bucket", "total").distinct().join(profile.select("feature", "id", "proportion"), "feature")
     seen = shares.select(F.col("feature").alias("f"), F.col("bucket").alias("b"), F.col("id").alias("i"), "observed")
     on = (F.col("feature") == F.col("f")) & F.col("bucket").eqNullSafe(F.col("b")) & (F.col("id") == F.col("i"))
     aligned = grid.join(seen, on, "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
-    return aligned.groupBy("feature", "bucket").agg(F.sum(psi_term(F.col("proportion"), F.col("observed"))).alias("psi"), F.first("total").alias("total"))
+    return aligned.groupBy("feature", "bucket").agg(
+        F.sum(psi_term(F.col("proportion"), F.col("observed"))).alias("psi"),
+        F.first("total").alias("total"),
+    )
 
 
 def normal_threshold(bins: Column, n: Column, alpha: float = 0.05) -> Column:
@@ -205,18 +269,37 @@ def normal_threshold(bins: Column, n: Column, alpha: float = 0.05) -> Column:
     return (bins - 1) / n + F.lit(normal_quantile(1 - alpha)) * F.sqrt(2 * (bins - 1)) / n
 
 
-def chi_square_threshold(df: DataFrame, bins: str = "bins", n: str = "n", alpha: float = 0.05) -> DataFrame:
-    """df with threshold: the chi-square quantile of bins - 1 degrees over n. One quantile a distinct number of bins."""
-    sizes = [r[0] for r in df.select(bins).distinct().collect()]
-    table = F.create_map(*(x for b in sizes for x in (F.lit(b), F.lit(chi_square_quantile(1 - alpha, b - 1) if b > 1 else 0.0)))) if sizes else F.lit(None)
+def chi_square_threshold(
+    df: DataFrame,
+    bins: str = "bins",
+    n: str = "n",
+    alpha: float = 0.05,
+    profile: DataFrame | None = None,
+) -> DataFrame:
+    """df with threshold: the chi-square quantile of bins - 1 degrees over n. One quantile a distinct number of bins.
+
+    The numbers of bins are read from the profile if it is given (a fixed one costs no job), else by running df.
+    """
+    known = df.select(bins) if profile is None else profile.groupBy("feature").agg(F.count("*").alias(bins)).select(bins)
+    sizes = [r[0] for r in known.distinct().collect()]
+    table = F.create_map(
+        *(x for b in sizes for x in (F.lit(b), F.lit(chi_square_quantile(1 - alpha, b - 1) if b > 1 else 0.0)))
+    ) if sizes else F.lit(None)
     return df.withColumn("threshold", (table[F.col(bins)] if sizes else F.lit(None).cast("double")) / F.col(n))
 
 
-def psi_alerts(drift: DataFrame, method: str = "chi_square", alpha: float = 0.05, fixed: float = 0.25, features: list[str] | None = None) -> DataFrame:
-    """drift (feature, psi, n, bins) with threshold and alert, for the monitored features."""
+def psi_alerts(
+    drift: DataFrame,
+    method: str = "chi_square",
+    alpha: float = 0.05,
+    fixed: float = 0.25,
+    features: list[str] | None = None,
+    profile: DataFrame | None = None,
+) -> DataFrame:
+    """drift (feature, psi, n, bins) with threshold and alert, for the monitored features; profile as of chi_square_threshold."""
     held = drift if features is None else drift.where(F.col("feature").isin(list(features)))
     if method == "chi_square":
-        held = chi_square_threshold(held, alpha=alpha)
+        held = chi_square_threshold(held, alpha=alpha, profile=profile)
     elif method == "normal":
         held = held.withColumn("threshold", normal_threshold(F.col("bins"), F.col("n"), alpha))
     elif method == "fixed":

@@ -1,18 +1,23 @@
 """Statistical process control: ordered chunks, control limits, zones, rules and trends.
 
-Samples are long form: feature, seq (their order), value. Rules are windows over a feature's samples, so one feature is
-one task's sort; profiles and sample means of raw rows, which may be one feature's billions, number rows by range
-partitions instead.
+Samples are long form: feature, seq (their order, numbered without gaps), value. Rules are windows over a feature's
+samples in blocks of seq, each with the last rows of the block before, so that a feature of billions of samples is no
+single task's sort; profiles and sample means of raw rows number rows by range partitions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skeinwatch.functions.ranked import numbered as numbered
+
 RULE = "8 16 4 8 2 4 1 1"
 TREND = 7
+BLOCK = 100_000  # samples of a feature that one window takes
 
 
 def sample_size(rows: int) -> int:
@@ -23,20 +28,6 @@ def sample_size(rows: int) -> int:
     return 100_000
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    """df with its rows numbered from 0 in the given order, without sorting all rows in one task.
-
-    Rows are range-partitioned and sorted, and each partition is offset by the sizes of those before it. df is cached, so
-    that both passes see the same partitions.
-    """
-    held = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).cache()
-    sizes = held.groupBy("__part").agg(F.count("*").alias("__rows"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    offsets = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return held.withColumn("__n", local).join(offsets, "__part").withColumn(name, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
-
-
 def chunk_id(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """df with chunk: rows in order, n to a chunk."""
     return numbered(df, order).withColumn("chunk", F.floor(F.col("seq") / n).cast("long"))
@@ -47,7 +38,9 @@ def chunk_means(df: DataFrame, columns: list[str], n: int, order: list[str]) ->
     chunks = chunk_id(df.select(*dict.fromkeys([*order, *columns])), n, order)
     aggs = [a for i, c in enumerate(columns) for a in (F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]
     wide = chunks.groupBy("chunk").agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd")) for i, c in enumerate(columns)))
+    rows = F.array(
+        *(F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd")) for i, c in enumerate(columns))
+    )
     return wide.select("chunk", F.inline(rows)).select("feature", "chunk", "mean", "sd")
 
 
@@ -57,7 +50,13 @@ def spc_profile(df: DataFrame, columns: list[str], order: list[str], n: int | No
     c4 = (4 * n - 4) / (4 * n - 3)
     means = chunk_means(df, columns, n, order)
     held = means.groupBy("feature").agg(F.avg("mean").alias("center"), (F.avg("sd") / c4).alias("__s"))
-    limits = [f for k, name in ((1, "one"), (2, "two"), (3, "three")) for f in ((F.col("center") + k * F.col("__s")).alias(f"{name}_ucl"), (F.col("center") - k * F.col("__s")).alias(f"{name}_lcl"))]
+    limits = [
+        f for k,
+        name in ((1, "one"), (2, "two"), (3, "three")) for f in (
+            (F.col("center") + k * F.col("__s")).alias(f"{name}_ucl"),
+            (F.col("center") - k * F.col("__s")).alias(f"{name}_lcl"),
+        )
+    ]
     return held.select("feature", "center", *limits)
 
 
@@ -67,18 +66,17 @@ def spc_samples(df: DataFrame, columns: list[str], n: int, order: list[str]) ->
 
 
 def spc_zone(value: Column) -> Column:
-    """-4 to 4 by the limits in the row; a value exactly on the third limit or the centre is 0."""
-    c = F.col
-    return (
-        F.when(value > c("three_ucl"), 4).when(value < c("three_lcl"), -4)
-        .when((value < c("three_ucl")) & (value >= c("two_ucl")), 3)
-        .when((value < c("two_ucl")) & (value >= c("one_ucl")), 2)
-        .when((value < c("one_ucl")) & (value > c("center")), 1)
-        .when((value > c("three_lcl")) & (value <= c("two_lcl")), -3)
-        .when((value > c("two_lcl")) & (value <= c("one_lcl")), -2)
-        .when((value > c("one_lcl")) & (value < c("center")), -1)
-        .otherwise(0)
-    )
+    """The side of the centre (1 or -1) times one more than the limits reached on that side.
+
+    A value exactly on the centre or on a third limit is 0, and so is one that isn't a number or has no limits.
+    """
+    side = F.signum(value - F.col("center"))
+    reached = [
+        F.when(side > 0, value >= F.col(f"{k}_ucl")).otherwise(value <= F.col(f"{k}_lcl")).cast("int") for k in ("one", "two", "three")
+    ]
+    outermost = (value == F.col("three_ucl")) | (value == F.col("three_lcl"))
+    zone = F.when(outermost | F.isnan(value), 0).otherwise(side * (1 + reduce(Column.__add__, reached)))
+    return F.coalesce(zone, F.lit(0)).cast("int")
 
 
 def spc_drift(samples: DataFrame, profile: DataFrame) -> DataFrame:
@@ -89,8 +87,8 @@ def spc_drift(samples: DataFrame, profile: DataFrame) -> DataFrame:
 def align_lengths(df: DataFrame, key: str = "feature", order: str = "created_at") -> DataFrame:
     """The newest rows of each key, as many as the shortest key has; seq counts from the newest."""
     shortest = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).first()["n"] or 0
-    newest = Window.partitionBy(key).orderBy(F.desc(order), F.desc("value"))
-    return df.withColumn("seq", F.row_number().over(newest)).where(F.col("seq") <= shortest)
+    newest = numbered(df, [F.desc(order), F.desc("value")], "seq", [key])
+    return newest.withColumn("seq", (F.col("seq") + 1).cast("int")).where(F.col("seq") <= shortest)
 
 
 def spc_recent(df: DataFrame, since, features: list[str]) -> DataFrame:
@@ -100,13 +98,22 @@ def spc_recent(df: DataFrame, since, features: list[str]) -> DataFrame:
 
 
 def _series() -> Window:
-    return Window.partitionBy("feature").orderBy("seq")
+    return Window.partitionBy("feature", "__block").orderBy("seq")
 
 
-def _steps(drift: DataFrame) -> DataFrame:
-    """drift with the turn and the direction from the sample before."""
+def _blocked(drift: DataFrame, reach: int) -> DataFrame:
+    """drift by blocks of seq; the last `reach` rows of a block also lead in the next one, marked by __lead."""
+    size = max(BLOCK, reach)
+    own = F.floor(F.col("seq") / size)
+    both = F.when(F.pmod("seq", F.lit(size)) >= size - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    return drift.withColumn("__block", F.explode(both)).withColumn("__lead", F.col("__block") != own)
+
+
+def _steps(drift: DataFrame, reach: int) -> DataFrame:
+    """drift by blocks with the turn and the direction from the sample before; reach: how far back the tests look."""
     before = F.lag("zone").over(_series())
-    return drift.withColumn("__turn", F.when(F.col("zone") != before, 1).otherwise(0)).withColumn("__step", F.signum(F.col("zone") - before))
+    held = _blocked(drift, reach)
+    return held.withColumn("__turn", F.when(F.col("zone") != before, 1).otherwise(0)).withColumn("__step", F.signum(F.col("zone") - before))
 
 
 def _run(test: Column, n: int) -> Column:
@@ -127,23 +134,29 @@ def _trend(n: int) -> Column:
     return _run(F.col("__step") == 1, n - 1) | _run(F.col("__step") == -1, n - 1)
 
 
-def _hits(drift: DataFrame, hit: Column) -> DataFrame:
-    return _steps(drift).withColumn("__hit", hit).where("__hit").drop("__hit", "__turn", "__step")
+def _hits(drift: DataFrame, hit: Column, reach: int) -> DataFrame:
+    return _steps(drift, reach).withColumn("__hit", hit).where("__hit and not __lead").drop(
+        "__hit",
+        "__turn",
+        "__step",
+        "__block",
+        "__lead",
+    )
 
 
 def consecutive_hits(drift: DataFrame, n: int, zone: int) -> DataFrame:
     """Rows exactly at +-zone whose last n zones (itself included) are all at it or beyond, on one side."""
-    return _hits(drift, _consecutive(n, zone))
+    return _hits(drift, _consecutive(n, zone), n)
 
 
 def alternating_hits(drift: DataFrame, n: int, zone: int) -> DataFrame:
     """Rows exactly at +-zone whose last n zones are all at it or beyond, each different from the one before."""
-    return _hits(drift, _alternating(n, zone))
+    return _hits(drift, _alternating(n, zone), n)
 
 
 def trend_hits(drift: DataFrame, n: int = TREND) -> DataFrame:
     """Rows that end a run of n samples whose steps all go up or all go down."""
-    return _hits(drift, _trend(n))
+    return _hits(drift, _trend(n), n)
 
 
 def parse_rule(rule: str) -> list[int]:
@@ -164,8 +177,8 @@ def spc_rules(drift: DataFrame, rule: str = RULE, zones: tuple[int, ...] = (1, 2
     if trend:
         tests.append(alert(_trend(TREND), 0, "trend"))
     none = F.lit(None).cast("struct<zone:int,kind:string>")
-    found = _steps(drift).select("feature", F.array_compact(F.array(none, *tests)).alias("__alerts"))  # all windows share one sort
-    return found.select("feature", F.inline("__alerts")).distinct()
+    found = _steps(drift, max([TREND, *parts])).select("feature", "__lead", F.array_compact(F.array(none, *tests)).alias("__alerts"))
+    return found.where("not __lead").select("feature", F.inline("__alerts")).distinct()
 
 
 def spc_alerts(samples: DataFrame, profile: DataFrame, rule: str = RULE, zones: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:

@@ -53,7 +53,16 @@ def test_non_finite_values_and_strict_denominator(spark):
 def test_bin_rules(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "x double")
     row = psi.bin_statistics(df, ["x"]).select(*(psi.bin_count(r, 6).alias(r) for r in psi.RULES)).first()
-    assert row.asDict() == {"manual": 6, "square_root": 10, "sturges": 8, "rice": 10, "doane": 8, "scott": 5, "terrell_scott": 6, "freedman_diaconis": 5}
+    assert row.asDict() == {
+        "manual": 6,
+        "square_root": 10,
+        "sturges": 8,
+        "rice": 10,
+        "doane": 8,
+        "scott": 5,
+        "terrell_scott": 6,
+        "freedman_diaconis": 5,
+    }
     with pytest.raises(Exception, match="at least 2 bins"):
         psi.width_edges(df, ["x"], "manual", 1).collect()
 
@@ -87,7 +96,13 @@ def test_string_profile_and_codes(spark):
     row = profile.profile_string(df, ["feature1"]).first()
     assert (row["distinct"], row["min_length"], row["max_length"], row["median_length"]) == (2, 5, 5, 5)
     codes = profile.category_codes(df, ["feature1"])
-    assert sorted(r["feature1"] for r in profile.ordinal_encode(spark.createDataFrame([("new",), ("world",)], "feature1 string"), ["feature1"], codes).collect()) == [1, 2]
+    assert sorted(
+        r["feature1"] for r in profile.ordinal_encode(
+            spark.createDataFrame([("new",), ("world",)], "feature1 string"),
+            ["feature1"],
+            codes,
+        ).collect()
+    ) == [1, 2]
 
 
 def series(spark, zones):
@@ -143,27 +158,60 @@ def test_ordered_numbering_over_partitions(spark):
 
 def test_thresholds(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 5.0), ("d", 5.0)], "metric string, value double")
-    rules = spark.createDataFrame([("a", 4.0, "above", None), ("b", 4.0, "above", 1.5), ("c", 7.0, "below", 1.0), ("d", 5.2, "outside", 0.1)], "metric string, baseline double, kind string, delta double")
+    rules = spark.createDataFrame(
+        [("a", 4.0, "above", None), ("b", 4.0, "above", 1.5), ("c", 7.0, "below", 1.0), ("d", 5.2, "outside", 0.1)],
+        "metric string, baseline double, kind string, delta double",
+    )
     assert {r["metric"]: r["alert"] for r in metrics.threshold_alerts(df, rules).collect()} == {"a": True, "b": False, "c": True, "d": True}
 
 
 def test_route_percentiles_and_codes(spark):
     rows = [(datetime(2024, 1, 1), "r", float(i), 200) for i in range(1, 101)] + [(datetime(2024, 1, 1), "r", 7.0, 500)] * 2
-    row = metrics.route_metrics(spark.createDataFrame(rows, "created_at timestamp, route_name string, latency double, status_code int"), 5).first()
-    assert (row["p5"], row["p50"], row["p99"], row["request_count"], row["error_count"], row["error_latency"]) == (5.0, 50.0, 99.0, 100, 2, 14.0)
+    row = metrics.route_metrics(
+        spark.createDataFrame(rows, "created_at timestamp, route_name string, latency double, status_code int"),
+        5,
+    ).first()
+    assert (
+        row["p5"],
+        row["p50"],
+        row["p99"],
+        row["request_count"],
+        row["error_count"],
+        row["error_latency"],
+    ) == (5.0, 50.0, 99.0, 100, 2, 14.0)
     assert row["status_codes"] == {200: 100, 500: 2}
 
 
-@pytest.mark.parametrize(("text", "low", "high"), [("*", (0, 0, 0), None), ("^1.2.3", (1, 2, 3), (2, 0, 0)), ("^0.2.3", (0, 2, 3), (0, 3, 0)), ("~1.2.3", (1, 2, 3), (1, 3, 0)), ("1.*", (1, 0, 0), (2, 0, 0)), ("1.2.*", (1, 2, 0), (1, 3, 0)), ("1.2.3", (1, 2, 3), (1, 2, 4))])
+@pytest.mark.parametrize(
+    ("text", "low", "high"),
+    [
+        ("*", (0, 0, 0), None),
+        ("^1.2.3", (1, 2, 3), (2, 0, 0)),
+        ("^0.2.3", (0, 2, 3), (0, 3, 0)),
+        ("~1.2.3", (1, 2, 3), (1, 3, 0)),
+        ("1.*", (1, 0, 0), (2, 0, 0)),
+        ("1.2.*", (1, 2, 0), (1, 3, 0)),
+        ("1.2.3", (1, 2, 3), (1, 2, 4)),
+    ],
+)
 def test_version_ranges(text, low, high):
     assert registry.range_bounds(text) == (low, high)
 
 
 def test_sweep_counts_from_each_previous_run(spark):
     day = datetime(2024, 1, 1)
-    profiles = spark.createDataFrame([(1, "custom", True, day, day), (2, "custom", True, datetime(2024, 2, 1), day), (3, "custom", False, day, day)], "entity_id long, drift_type string, active boolean, previous_run timestamp, next_run timestamp")
-    facts = spark.createDataFrame([(e, datetime(2024, 1, 15), "m", 9.0) for e in (1, 2, 3)], "entity_id long, created_at timestamp, metric string, value double")
-    rules = spark.createDataFrame([(e, "m", 5.0, "above", None) for e in (1, 2, 3)], "entity_id long, metric string, baseline double, kind string, delta double")
+    profiles = spark.createDataFrame(
+        [(1, "custom", True, day, day), (2, "custom", True, datetime(2024, 2, 1), day), (3, "custom", False, day, day)],
+        "entity_id long, drift_type string, active boolean, previous_run timestamp, next_run timestamp",
+    )
+    facts = spark.createDataFrame(
+        [(e, datetime(2024, 1, 15), "m", 9.0) for e in (1, 2, 3)],
+        "entity_id long, created_at timestamp, metric string, value double",
+    )
+    rules = spark.createDataFrame(
+        [(e, "m", 5.0, "above", None) for e in (1, 2, 3)],
+        "entity_id long, metric string, baseline double, kind string, delta double",
+    )
     none = spark.createDataFrame([], "entity_id long, created_at timestamp, feature string, bin_id int, bin_count long")
     bins = spark.createDataFrame([], "entity_id long, feature string, id int, proportion double")
     assert [r["entity_id"] for r in registry.run_due_checks(profiles, none, bins, facts, rules, datetime(2024, 3, 1)).collect()] == [1]
