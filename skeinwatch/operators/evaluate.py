@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwatch.functions.scalars import cosine, json_path
+from skeinwatch.functions.scalars import UUID, anchored, cosine, json_path
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,10 @@ class Value:
         self.text = F.when(self.is_string, _get(v, "$", "string"))
         self.number = F.when(self.is_number, _get(v, "$", "double"))
         self.items = F.when(self.is_array, _get(v, "$", "array<variant>"))
-        self.length = F.when(self.is_string, F.char_length(self.text)).when(self.is_array, F.size(self.items)).when(self.is_object, F.size(_get(v, "$", "map<string,variant>")))
+        self.length = F.when(self.is_string, F.char_length(self.text)).when(self.is_array, F.size(self.items)).when(
+            self.is_object,
+            F.size(_get(v, "$", "map<string,variant>")),
+        )
         self.json = F.when(self.is_null, F.lit("null")).otherwise(F.to_json(v))
 
     @property
@@ -72,10 +75,10 @@ def _strings(items: Column) -> Column:
     return F.transform(items, lambda x: F.to_json(x))
 
 
-EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
-URL = r"^https?://[^\s/$.?#].[^\s]*$"
-UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-ISO8601 = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"
+# Patterns that results must agree on.
+EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+URL = r"^https?://[a-zA-Z0-9][a-zA-Z0-9-]*(\.[a-zA-Z0-9][a-zA-Z0-9-]*)*(/.*)?$"
+ISO8601 = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?$"
 
 
 def _word(a: Value, e: Value) -> Column:
@@ -87,13 +90,12 @@ def _within(a: Value, e: Value) -> Column:
     return (a.number >= Value(F.get(e.items, F.lit(0))).number) & (a.number <= Value(F.get(e.items, F.lit(1))).number)
 
 
-def _letters(a: Value) -> Column:
-    return F.regexp_replace(a.text, r"[^\p{L}]", "")
+def _cased(case: str) -> Callable:
+    """All letters are of the case; letters without one (as in Chinese) aren't. Null for a text without letters."""
 
-
-def _cased(fold: Callable) -> Callable:
     def check(a: Value, e: Value) -> Column:
-        return F.when(_letters(a) != "", _letters(a) == fold(_letters(a)))
+        letters = F.regexp_replace(a.text, r"\P{IsAlphabetic}", "")
+        return F.when(letters != "", ~letters.rlike(rf"\P{{{case}}}"))
 
     return check
 
@@ -127,36 +129,69 @@ OPERATORS: dict[str, Callable[[Value, Value], Column]] = {
     "is_null": lambda a, e: a.is_null,
     "is_array": lambda a, e: a.is_array,
     "is_object": lambda a, e: a.is_object,
-    "is_email": lambda a, e: a.text.rlike(EMAIL),
-    "is_url": lambda a, e: a.text.rlike(URL),
-    "is_uuid": lambda a, e: a.text.rlike(UUID),
-    "is_iso8601": lambda a, e: a.text.rlike(ISO8601),
+    "is_email": lambda a, e: a.text.rlike(anchored(EMAIL)),
+    "is_url": lambda a, e: a.text.rlike(anchored(URL)),
+    "is_uuid": lambda a, e: a.text.rlike(anchored(UUID)),
+    "is_iso8601": lambda a, e: a.text.rlike(anchored(ISO8601)),
     "is_json": lambda a, e: F.try_parse_json(a.text).isNotNull(),
     "in_range": _within,
     "not_in_range": lambda a, e: ~_within(a, e),
     "is_positive": lambda a, e: a.number > 0,
     "is_negative": lambda a, e: a.number < 0,
     "is_zero": lambda a, e: a.number == 0,
-    "sequence_matches": lambda a, e: (F.size(a.items) == F.size(e.items)) & F.forall(F.zip_with(a.items, e.items, lambda x, y: same(Value(x), Value(y))), lambda t: t),
+    "sequence_matches": lambda a, e: (F.size(a.items) == F.size(e.items)) & F.forall(
+        F.zip_with(a.items, e.items, lambda x, y: same(Value(x), Value(y))),
+        lambda t: t,
+    ),
     "contains_all": lambda a, e: F.forall(e.items, lambda x: _member(a.items, Value(x))),
     "contains_any": _any_of,
     "contains_none": lambda a, e: ~F.exists(e.items, lambda x: _member(a.items, Value(x))),
     "has_unique_items": lambda a, e: F.size(F.array_distinct(_strings(a.items))) == F.size(a.items),
     "is_empty": lambda a, e: a.is_null | (a.length == 0),
     "is_not_empty": lambda a, e: ~a.is_null & (a.length > 0),
-    "is_alphabetic": lambda a, e: a.text.rlike(r"^\p{L}*$"),
-    "is_alphanumeric": lambda a, e: a.text.rlike(r"^[\p{L}\p{N}]*$"),
-    "is_lowercase": _cased(F.lower),
-    "is_uppercase": _cased(F.upper),
+    "is_alphabetic": lambda a, e: a.text.rlike(r"^\p{IsAlphabetic}*\z"),
+    "is_alphanumeric": lambda a, e: a.text.rlike(r"^[\p{IsAlphabetic}\p{N}]*\z"),
+    "is_lowercase": _cased("IsLowercase"),
+    "is_uppercase": _cased("IsUppercase"),
     "approximately_equals": lambda a, e: F.abs(a.number - Value(F.get(e.items, F.lit(0))).number) <= Value(F.get(e.items, F.lit(1))).number,
 }
 #: Operators that take an array as a whole; any other one, given an array, must hold for each of its items.
 WHOLE_ARRAY = {
-    "equals", "not_equal", "has_length_equal", "has_length_greater_than", "has_length_less_than", "has_length_greater_than_or_equal", "has_length_less_than_or_equal", "contains", "not_contains", "is_numeric", "is_string", "is_boolean",
-    "is_null", "is_array", "is_object", "sequence_matches", "contains_all", "contains_any", "contains_none", "has_unique_items", "is_empty", "is_not_empty",
+    "equals",
+    "not_equal",
+    "has_length_equal",
+    "has_length_greater_than",
+    "has_length_less_than",
+    "has_length_greater_than_or_equal",
+    "has_length_less_than_or_equal",
+    "contains",
+    "not_contains",
+    "is_numeric",
+    "is_string",
+    "is_boolean",
+    "is_null",
+    "is_array",
+    "is_object",
+    "sequence_matches",
+    "contains_all",
+    "contains_any",
+    "contains_none",
+    "has_unique_items",
+    "is_empty",
+    "is_not_empty",
 }
 #: Operators that raise rather than fail on a value they can't judge.
-RAISING = {"is_lowercase", "is_uppercase", "is_alphabetic", "is_alphanumeric", "approximately_equals", "matches_regex", "contains_word", "starts_with", "ends_with"}
+RAISING = {
+    "is_lowercase",
+    "is_uppercase",
+    "is_alphabetic",
+    "is_alphanumeric",
+    "approximately_equals",
+    "matches_regex",
+    "contains_word",
+    "starts_with",
+    "ends_with",
+}
 _TEMPLATE = re.compile(r"^\$\{(.+)\}$")
 
 
@@ -178,7 +213,10 @@ def assertion(context: Column, task: Task) -> Column:
     if task.operator not in WHOLE_ARRAY or task.item_path:
         item = lambda x: F.try_variant_get(x, json_path(task.item_path), "variant") if task.item_path else x
         one = F.when(a.is_array, F.forall(a.items, lambda x: F.coalesce(check(Value(item(x)), e), F.lit(False)))).otherwise(one)
-    error = F.when(one.isNull() & ~a.is_null, F.concat(F.lit(f"{task.operator} can't judge "), a.kind)) if task.operator in RAISING else F.lit(None).cast("string")
+    error = F.when(
+        one.isNull() & ~a.is_null,
+        F.concat(F.lit(f"{task.operator} can't judge "), a.kind),
+    ) if task.operator in RAISING else F.lit(None).cast("string")
     return F.struct(F.coalesce(one, F.lit(False)).alias("passed"), a.json.alias("actual"), e.json.alias("expected"), error.alias("error"))
 
 
@@ -201,7 +239,13 @@ def stages(tasks: list[Task]) -> list[list[Task]]:
     return out
 
 
-def evaluate(records: DataFrame, tasks: list[Task], key: str = "record_id", context: str = "context", judge_scores: DataFrame | None = None) -> DataFrame:
+def evaluate(
+    records: DataFrame,
+    tasks: list[Task],
+    key: str = "record_id",
+    context: str = "context",
+    judge_scores: DataFrame | None = None,
+) -> DataFrame:
     """key, task_id, kind, stage, condition, skipped, passed, actual, expected, error: one row a record and task.
 
     context holds a variant. A dependency's actual value can be used under its id: a task without a path of its own
@@ -219,10 +263,18 @@ def evaluate(records: DataFrame, tasks: list[Task], key: str = "record_id", cont
         for task in stage:
             context_, own = F.col("__context"), task
             if task.kind == "judge":
-                context_, own = F.to_variant_object(F.struct(F.col("__scores")[task.id].alias("score"))), Task(task.id, task.operator, task.expected, "score")
+                context_, own = F.to_variant_object(
+                    F.struct(F.col("__scores")[task.id].alias("score"))
+                ), Task(task.id, task.operator, task.expected, "score")
             elif task.path and (source := task.path.split(".")[0].split("[")[0]) in task.depends_on:
-                context_ = F.parse_json(F.concat(F.lit(json.dumps({source: 0})[:-2]), F.col(columns[source])["result"]["actual"], F.lit("}")))
-            gates = [~F.col(columns[d])["skipped"] & (F.col(columns[d])["result"]["passed"] | F.lit(not by_id[d].condition)) for d in task.depends_on]
+                context_ = F.parse_json(
+                    F.concat(F.lit(json.dumps({source: 0})[:-2]), F.col(columns[source])["result"]["actual"], F.lit("}"))
+                )
+            gates = [
+                ~F.col(columns[d])["skipped"] & (
+                    F.col(columns[d])["result"]["passed"] | F.lit(not by_id[d].condition)
+                ) for d in task.depends_on
+            ]
             skipped = ~reduce(Column.__and__, gates) if gates else F.lit(False)
             columns[task.id] = f"__t{len(columns)}"
             made[columns[task.id]] = F.struct(
@@ -232,7 +284,16 @@ def evaluate(records: DataFrame, tasks: list[Task], key: str = "record_id", cont
     rows = held.select(key, F.explode(F.array(*columns.values())).alias("x"))
     result = F.col("x.result")
     gone = F.col("x.skipped")
-    return rows.select(key, "x.task_id", "x.kind", "x.stage", "x.condition", gone.alias("skipped"), (result["passed"] & ~gone).alias("passed"), *(F.when(~gone, result[c]).alias(c) for c in ("actual", "expected", "error")))
+    return rows.select(
+        key,
+        "x.task_id",
+        "x.kind",
+        "x.stage",
+        "x.condition",
+        gone.alias("skipped"),
+        (result["passed"] & ~gone).alias("passed"),
+        *(F.when(~gone, result[c]).alias(c) for c in ("actual", "expected", "error")),
+    )
 
 
 def workflow_results(rows: DataFrame, key: str = "record_id") -> DataFrame:
@@ -240,7 +301,13 @@ def workflow_results(rows: DataFrame, key: str = "record_id") -> DataFrame:
     counts = ~F.col("condition") & ~F.col("skipped")
     held = rows.groupBy(key).agg(F.count_if(counts).alias("total_tasks"), F.count_if(counts & F.col("passed")).alias("passed_tasks"))
     rate = F.when(F.col("total_tasks") > 0, F.col("passed_tasks") / F.col("total_tasks")).otherwise(0.0)
-    return held.select(key, "total_tasks", "passed_tasks", (F.col("total_tasks") - F.col("passed_tasks")).alias("failed_tasks"), rate.alias("pass_rate"))
+    return held.select(
+        key,
+        "total_tasks",
+        "passed_tasks",
+        (F.col("total_tasks") - F.col("passed_tasks")).alias("failed_tasks"),
+        rate.alias("pass_rate"),
+    )
 
 
 def result_rows(rows: DataFrame, key: str = "record_id") -> DataFrame:
@@ -340,10 +407,15 @@ def trace_values(spans: DataFrame, asked: dict[str, tuple]) -> DataFrame:
         elif kind == "span_attribute":
             value = _scalar_or_list(_ordered(F.col("attributes")[args[1]], span_filter(args[0]) & F.col("attributes")[args[1]].isNotNull()))
         elif kind == "span_duration":
-            value = _scalar_or_list(_ordered(F.floor((F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000), span_filter(args[0])))
+            value = _scalar_or_list(
+                _ordered(F.floor((F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000), span_filter(args[0]))
+            )
         elif kind == "span_aggregation":
             x = F.when(span_filter(args[0]), F.col("attributes")[args[1]].try_cast("double"))
-            value = numbers[args[2]](x) if args[2] in numbers else (F.min_by if args[2] == "first" else F.max_by)(x, F.when(x.isNotNull(), F.col("span_order")))
+            value = numbers[args[2]](x) if args[2] in numbers else (F.min_by if args[2] == "first" else F.max_by)(
+                x,
+                F.when(x.isNotNull(), F.col("span_order")),
+            )
         elif kind == "trace_duration":
             value = F.floor((F.max(F.unix_micros("end_time")) - F.min(F.unix_micros("start_time"))) / 1000)
         elif kind == "trace_span_count":
@@ -380,7 +452,10 @@ def partial_match(actual: Column, wanted: dict) -> Column:
 
 
 def tool_called(name: str, arguments: dict | None = None) -> Column:
-    return F.exists("tool_calls", lambda c: F.coalesce((c["name"] == name) & (partial_match(c["arguments"], arguments) if arguments else F.lit(True)), F.lit(False)))
+    return F.exists(
+        "tool_calls",
+        lambda c: F.coalesce((c["name"] == name) & (partial_match(c["arguments"], arguments) if arguments else F.lit(True)), F.lit(False)),
+    )
 
 
 def tool_not_called(name: str) -> Column:

@@ -13,6 +13,9 @@ def service_graph(edges: DataFrame, service: str | None = None, since=None) -> D
         held = held.where((F.col("source_service") == service) | (F.col("destination_service") == service))
     bad = F.col("error").cast("int")
     return held.groupBy("source_service", "destination_service", "endpoint").agg(
-        F.count("*").alias("calls"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.avg("latency_ms").alias("avg_latency_ms"),
+        F.count("*").alias("calls"),
+        F.min("created_at").alias("first_seen"),
+        F.max("created_at").alias("last_seen"),
+        F.avg("latency_ms").alias("avg_latency_ms"),
         F.sum(bad).alias("errors"), F.round(F.sum(bad) * 100.0 / F.count("*"), 2).alias("error_percent"),
     ).orderBy(F.desc("calls"), "source_service", "destination_service", "endpoint")

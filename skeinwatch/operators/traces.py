@@ -6,8 +6,6 @@ status_message, attributes map, events, entity_ids and queue_ids where extracted
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 import pyarrow as pa
@@ -16,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skeinwatch.functions.scalars import match_attr, match_attributes
+from skeinwatch.functions.ranked import numbered
+from skeinwatch.functions.scalars import anchored, match_attr, match_attributes
+from skeinwatch.functions.shared import written
 from skeinwatch.functions.timeutil import after_cursor, opt_filter, time_filter, time_trunc
-from skeinwatch.operators.metrics import error_rate, first_by, percentiles, union_lists
+from skeinwatch.operators.metrics import error_rate, exact_percentiles, first_by, percentiles, union_lists
 
+# The status of an error, and the form of ids in attributes.
 ERROR = 2
 UUID = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 ENTITY_PREFIX, QUEUE_KEY = "monitor.entity", "monitor.queue.record"
@@ -38,7 +39,8 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(
         F.min_by("service_name", first).alias("service_name"),
         F.coalesce(F.min_by(F.when(root, F.col("span_name")), first), F.lit("")).alias("root_operation"),
-        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
         millis(F.min("start_time"), F.max("end_time")).alias("duration_ms"),
         F.coalesce(F.max(F.when(bad, F.lit(ERROR))), F.min_by("status_code", first)).alias("status_code"),
         F.max_by(F.when(bad, F.col("status_message")), F.when(bad, F.struct("start_time", "span_id"))).alias("status_message"),
@@ -52,9 +54,13 @@ def merge_summaries(parts: DataFrame) -> DataFrame:
     most = [F.col("span_count"), F.col("end_time"), early.alias("early")]
     worst = [F.col("status_code"), F.col("span_count"), early.alias("early")]
     aggs = [
-        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), millis(F.min("start_time"), F.max("end_time")).alias("duration_ms"),
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        millis(F.min("start_time"), F.max("end_time")).alias("duration_ms"),
         F.max("status_code").alias("status_code"), F.sum("span_count").alias("span_count"), F.sum("error_count").alias("error_count"),
-        first_by(F.col("service_name"), most).alias("service_name"), first_by(F.col("root_operation"), most).alias("root_operation"), first_by(F.col("status_message"), worst).alias("status_message"),
+        first_by(F.col("service_name"), most).alias("service_name"),
+        first_by(F.col("root_operation"), most).alias("root_operation"),
+        first_by(F.col("status_message"), worst).alias("status_message"),
     ]
     aggs += [union_lists(c).alias(c) for c in ("entity_ids", "queue_ids") if c in parts.columns]
     return parts.groupBy("trace_id").agg(*aggs)
@@ -66,8 +72,14 @@ def merge_trace_parts(parts: DataFrame) -> DataFrame:
     latest = F.struct(F.when(rooted, 1).otherwise(0), "end_time", "span_count")
     failed = F.struct(F.col("status_code"), F.col("end_time"))
     return parts.groupBy("trace_id").agg(
-        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.sum("span_count").alias("span_count"), F.sum("error_count").alias("error_count"),
-        F.max("status_code").alias("status_code"), F.max_by("service_name", latest).alias("service_name"), F.max_by("root_operation", latest).alias("root_operation"), F.max_by("status_message", failed).alias("status_message"),
+        F.min("start_time").alias("start_time"),
+        F.max("end_time").alias("end_time"),
+        F.sum("span_count").alias("span_count"),
+        F.sum("error_count").alias("error_count"),
+        F.max("status_code").alias("status_code"),
+        F.max_by("service_name", latest).alias("service_name"),
+        F.max_by("root_operation", latest).alias("root_operation"),
+        F.max_by("status_message", failed).alias("status_message"),
     )
 
 
@@ -96,22 +108,45 @@ def span_tree(spans: DataFrame, max_spans: int = MAX_SPANS) -> DataFrame:
     """trace_id, span_id, depth, span_order (depth first, children by start time), path and root_span_id.
 
     Spans that no root leads to come last at depth 0, with a path of themselves; without any root the first span is the
-    root. Ties of start time go to the smaller span id. A trace of over max_spans spans is an error, since one trace is
-    one row's work; many traces share a batch.
+    root. Ties of start time go to the smaller span id. A trace of up to max_spans spans is one row's work, and many traces
+    share a batch; larger traces are placed by joins (joined_tree), so that none is gathered in one task.
     """
+    large = written(spans.groupBy("trace_id").agg(F.count("*").alias("n")).where(F.col("n") > max_spans).select("trace_id"), "large-traces")
+    if large.isEmpty():
+        return _gathered_tree(spans)
+    small = _gathered_tree(spans.join(large, "trace_id", "left_anti"))
+    return small.unionByName(joined_tree(spans.join(large, "trace_id", "left_semi")))
+
+
+def _gathered_tree(spans: DataFrame) -> DataFrame:
     sid = spans.schema["span_id"].dataType
-    schema = T.StructType([spans.schema["trace_id"], T.StructField("span_id", sid), T.StructField("depth", T.IntegerType()), T.StructField("span_order", T.IntegerType()), T.StructField("path", T.ArrayType(sid)), T.StructField("root_span_id", sid)])
+    schema = T.StructType(
+        [
+            spans.schema["trace_id"],
+            T.StructField("span_id", sid),
+            T.StructField("depth", T.IntegerType()),
+            T.StructField("span_order", T.IntegerType()),
+            T.StructField("path", T.ArrayType(sid)),
+            T.StructField("root_span_id", sid),
+        ]
+    )
     rows = F.array_sort(F.collect_list(F.struct("start_time", "span_id", "parent_span_id")))
-    held = spans.groupBy("trace_id").agg(rows.alias("rows")).select("trace_id", F.transform("rows", lambda r: r["span_id"]).alias("ids"), F.transform("rows", lambda r: r["parent_span_id"]).alias("parents"))
+    held = spans.groupBy("trace_id").agg(rows.alias("rows")).select(
+        "trace_id",
+        F.transform("rows", lambda r: r["span_id"]).alias("ids"),
+        F.transform("rows", lambda r: r["parent_span_id"]).alias("parents"),
+    )
 
     def walk(batches):
         for batch in batches:
             out: list[list] = [[] for _ in schema.names]
             for trace, ids, parents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(ids) > max_spans:
-                    raise ValueError(f"trace {trace} has over {max_spans} spans")
                 order, depths, paths, root = _depth_first(ids, parents)
-                for column, values in zip(out, ([trace] * len(ids), [ids[i] for i in order], depths, range(len(ids)), paths, [root] * len(ids)), strict=True):
+                for column, values in zip(
+                    out,
+                    ([trace] * len(ids), [ids[i] for i in order], depths, range(len(ids)), paths, [root] * len(ids)),
+                    strict=True,
+                ):
                     column.extend(values)
             kind = batch.schema.field("ids").type.value_type
             kinds = (batch.schema.field("trace_id").type, kind, pa.int32(), pa.int32(), pa.list_(kind), kind)
@@ -120,12 +155,63 @@ def span_tree(spans: DataFrame, max_spans: int = MAX_SPANS) -> DataFrame:
     return held.mapInArrow(walk, schema)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir (a temporary folder where that is unset), so that rounds don't recompute."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def joined_tree(spans: DataFrame) -> DataFrame:
+    """span_tree by joins alone, for traces of any size: each round doubles how far up every span's path reaches.
+
+    Paths are what the result holds, so a deep trace costs as much as it returns. Rows that repeat a span id share the
+    place of the first of them.
+    """
+    key = F.struct("start_time", "span_id")
+    first = F.min(F.struct(F.col("parent_span_id").isNotNull(), "start_time", "parent_span_id"))
+    nodes = spans.groupBy("trace_id", "span_id").agg(first.alias("f"), F.count("*").alias("copies"))
+    nodes = nodes.select(
+        "trace_id",
+        "span_id",
+        F.col("f")["start_time"].alias("start_time"),
+        F.col("f")["parent_span_id"].alias("parent"),
+        "copies",
+    )
+    nodes = written(nodes, "spans")
+    above = nodes.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"))
+    held = nodes.join(above, (F.col("trace_id") == F.col("__t")) & (F.col("parent") == F.col("__s")), "left")
+    rooted = F.when(F.col("parent").isNull(), True).when(F.col("__s").isNull(), False)
+    kept = ["trace_id", "span_id", "start_time", "copies"]
+    state = written(held.select(*kept, F.col("__s").alias("up"), F.array(key).alias("keys"), rooted.alias("rooted")), "paths")
+    left = None
+    while (now := state.where("up is not null").count()) and now != left:  # what no round settles hangs on a cycle
+        left = now
+        above = state.select(
+            F.col("trace_id").alias("__t"),
+            F.col("span_id").alias("__s"),
+            F.col("up").alias("__up"),
+            F.col("keys").alias("__k"),
+            F.col("rooted").alias("__r"),
+        )
+        met = state.where("up is not null").join(above, (F.col("trace_id") == F.col("__t")) & (F.col("up") == F.col("__s")))
+        moved = met.select(*kept, F.col("__up").alias("up"), F.concat("__k", "keys").alias("keys"), F.col("__r").alias("rooted"))
+        state = written(state.where("up is null").unionByName(moved), "paths")
+    on_path = F.col("up").isNull() & F.coalesce("rooted", F.lit(False))
+    placed = state.select(
+        "trace_id",
+        "copies",
+        "span_id",
+        (~on_path).alias("__off"),
+        F.when(on_path, F.col("keys")).otherwise(F.array(key)).alias("keys"),
+    )
+    roots = placed.groupBy("trace_id").agg(
+        F.min(F.struct("__off", F.element_at("keys", 1).alias("k")))["k"]["span_id"].alias("root_span_id")
+    )
+    rows = placed.withColumn("__c", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("__c", "copies")
+    rows = numbered(rows, ["__off", "keys", "span_id"], "span_order", ["trace_id"]).join(roots, "trace_id")
+    path = F.transform("keys", lambda k: k["span_id"])
+    return rows.select(
+        "trace_id",
+        "span_id",
+        (F.size("keys") - 1).alias("depth"),
+        F.col("span_order").cast("int").alias("span_order"),
+        path.alias("path"),
+        "root_span_id",
+    )
 
 
 def span_depths(spans: DataFrame) -> DataFrame:
@@ -135,21 +221,52 @@ def span_depths(spans: DataFrame) -> DataFrame:
     root leads to have depth 0. Rows that repeat a span id are placed as the first of them (roots first, then by time).
     """
     first = F.min(F.struct(F.col("parent_span_id").isNotNull(), "start_time", "parent_span_id"))
-    nodes = _written(spans.groupBy("trace_id", "span_id").agg(first["parent_span_id"].alias("parent"), F.count("*").alias("copies")), "spans")
+    nodes = written(
+        spans.groupBy("trace_id", "span_id").agg(first["parent_span_id"].alias("parent"), F.count("*").alias("copies")),
+        "spans",
+    )
     above = nodes.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"))
     held = nodes.join(above, (F.col("trace_id") == F.col("__t")) & (F.col("parent") == F.col("__s")), "left")
     rooted = F.when(F.col("parent").isNull(), True).when(F.col("__s").isNull(), False)
-    state = _written(held.select("trace_id", "span_id", "copies", F.col("__s").alias("up"), F.when(F.col("__s").isNull(), 0).otherwise(1).alias("depth"), rooted.alias("rooted")), "depths")
+    state = written(
+        held.select(
+            "trace_id",
+            "span_id",
+            "copies",
+            F.col("__s").alias("up"),
+            F.when(F.col("__s").isNull(), 0).otherwise(1).alias("depth"),
+            rooted.alias("rooted"),
+        ),
+        "depths",
+    )
     left = None
     while (now := state.where("up is not null").count()) and now != left:  # what no round settles hangs on a cycle
         left = now
-        above = state.select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__s"), F.col("up").alias("__up"), F.col("depth").alias("__d"), F.col("rooted").alias("__r"))
+        above = state.select(
+            F.col("trace_id").alias("__t"),
+            F.col("span_id").alias("__s"),
+            F.col("up").alias("__up"),
+            F.col("depth").alias("__d"),
+            F.col("rooted").alias("__r"),
+        )
         met = state.where("up is not null").join(above, (F.col("trace_id") == F.col("__t")) & (F.col("up") == F.col("__s")))
         # Pointers on a cycle never end, so their distances are kept from overflowing.
-        moved = met.select("trace_id", "span_id", "copies", F.col("__up").alias("up"), F.least(F.col("depth").cast("long") + F.col("__d"), F.lit(2**31 - 1)).cast("int").alias("depth"), F.col("__r").alias("rooted"))
-        state = _written(state.where("up is null").unionByName(moved), "depths")
+        moved = met.select(
+            "trace_id",
+            "span_id",
+            "copies",
+            F.col("__up").alias("up"),
+            F.least(F.col("depth").cast("long") + F.col("__d"), F.lit(2**31 - 1)).cast("int").alias("depth"),
+            F.col("__r").alias("rooted"),
+        )
+        state = written(state.where("up is null").unionByName(moved), "depths")
     depth = F.when(F.col("up").isNull() & F.col("rooted"), F.col("depth")).otherwise(0)
-    return state.select("trace_id", "span_id", depth.alias("depth"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__c")).drop("__c")
+    return state.select(
+        "trace_id",
+        "span_id",
+        depth.alias("depth"),
+        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__c"),
+    ).drop("__c")
 
 
 def get_spans(spans: DataFrame, trace_ids: list | None = None, service: str | None = None, start=None, end=None) -> DataFrame:
@@ -179,11 +296,21 @@ def traces_near_attr(summaries: DataFrame, spans: DataFrame, filters: list[tuple
     """Summaries with a matching span of the trace that starts within the slack around the trace's start."""
     hits = spans.where(match_attributes(filters)).select(F.col("trace_id").alias("__t"), F.col("start_time").alias("__s"))
     slack = F.make_dt_interval(mins=F.lit(slack_minutes))
-    near = (F.col("trace_id") == F.col("__t")) & (F.col("__s") >= F.col("start_time") - slack) & (F.col("__s") <= F.col("start_time") + slack)
+    near = (F.col("trace_id") == F.col("__t")) & (
+        F.col("__s") >= F.col("start_time") - slack
+    ) & (F.col("__s") <= F.col("start_time") + slack)
     return summaries.join(hits, near, "left_semi")
 
 
-def trace_filters(summaries: DataFrame, service: str | None = None, has_errors: bool | None = None, status_code: int | None = None, entity: str | None = None, queue: str | None = None, trace_ids: list | None = None) -> DataFrame:
+def trace_filters(
+    summaries: DataFrame,
+    service: str | None = None,
+    has_errors: bool | None = None,
+    status_code: int | None = None,
+    entity: str | None = None,
+    queue: str | None = None,
+    trace_ids: list | None = None,
+) -> DataFrame:
     held = opt_filter(summaries, service_name=service, status_code=status_code)
     if has_errors is not None:
         held = held.where((F.col("error_count") > 0) if has_errors else (F.col("error_count") == 0))
@@ -208,7 +335,15 @@ def spans_of_latest(parts: DataFrame, spans: DataFrame, **filters) -> DataFrame:
     return span_tree(spans.join(newest.select("trace_id"), "trace_id", "left_semi"))
 
 
-def trace_metrics(spans: DataFrame, unit: str = "hour", service: str | None = None, filters: list[tuple[str, str]] = (), entity: str | None = None, summaries: DataFrame | None = None, exact: bool = False) -> DataFrame:
+def trace_metrics(
+    spans: DataFrame,
+    unit: str = "hour",
+    service: str | None = None,
+    filters: list[tuple[str, str]] = (),
+    entity: str | None = None,
+    summaries: DataFrame | None = None,
+    exact: bool = False,
+) -> DataFrame:
     """bucket, trace_count, avg_duration_ms, p50, p95, p99, error_rate of traces.
 
     The service is that of the trace's root span; attribute filters ask for any one span of the trace. Both fold into
@@ -221,14 +356,26 @@ def trace_metrics(spans: DataFrame, unit: str = "hour", service: str | None = No
         keep[0] = F.max(F.when(F.col("parent_span_id").isNull(), F.col("service_name") == service)).alias("__a")
     if filters:
         keep[1] = F.bool_or(match_attributes(list(filters))).alias("__b")
-    per = spans.groupBy("trace_id").agg(F.min("start_time").alias("start"), millis(F.min("start_time"), F.max("end_time")).alias("duration_ms"), F.max((F.col("status_code") == ERROR).cast("int")).alias("bad"), *(k for k in keep if service or filters))
+    per = spans.groupBy("trace_id").agg(
+        F.min("start_time").alias("start"),
+        millis(F.min("start_time"), F.max("end_time")).alias("duration_ms"),
+        F.max((F.col("status_code") == ERROR).cast("int")).alias("bad"),
+        *(k for k in keep if service or filters),
+    )
     per = per.where("__a and __b") if service or filters else per
-    return per.groupBy(time_trunc("start", unit).alias("bucket")).agg(F.count("*").alias("trace_count"), F.avg("duration_ms").alias("avg_duration_ms"), *percentiles("duration_ms", exact=exact), error_rate(F.col("bad")).alias("error_rate"))
+    per = per.withColumn("bucket", time_trunc("start", unit))
+    stats = [F.count("*").alias("trace_count"), F.avg("duration_ms").alias("avg_duration_ms"), error_rate(F.col("bad")).alias("error_rate")]
+    if not exact:
+        return per.groupBy("bucket").agg(*stats, *percentiles("duration_ms"))
+    per = written(per.select("bucket", F.col("duration_ms").cast("double").alias("duration_ms"), "bad"), "traces")
+    return per.groupBy("bucket").agg(*stats).join(exact_percentiles(per, ["bucket"], "duration_ms"), "bucket")
 
 
 def root_service_filter(spans: DataFrame, service: str) -> DataFrame:
     """trace_id of traces whose root span has the service."""
-    return spans.groupBy("trace_id").agg(F.max(F.when(F.col("parent_span_id").isNull(), F.col("service_name"))).alias("root_service")).where(F.col("root_service") == service).select("trace_id")
+    return spans.groupBy("trace_id").agg(
+        F.max(F.when(F.col("parent_span_id").isNull(), F.col("service_name"))).alias("root_service")
+    ).where(F.col("root_service") == service).select("trace_id")
 
 
 def entities_by_tags(tags: DataFrame, filters: list[tuple[str, str]], match_all: bool = True) -> DataFrame:
@@ -238,7 +385,14 @@ def entities_by_tags(tags: DataFrame, filters: list[tuple[str, str]], match_all:
     return found.where(F.col("n") >= (len({k for k, _ in filters}) if match_all else 1)).select("entity_id")
 
 
-def spans_by_tags(spans: DataFrame, links: DataFrame, tags: DataFrame, filters: list[tuple[str, str]], match_all: bool = True, service: str | None = None) -> DataFrame:
+def spans_by_tags(
+    spans: DataFrame,
+    links: DataFrame,
+    tags: DataFrame,
+    filters: list[tuple[str, str]],
+    match_all: bool = True,
+    service: str | None = None,
+) -> DataFrame:
     """Spans of traces linked (trace_id, entity_id) to entities found by tags."""
     traces = links.join(entities_by_tags(tags, filters, match_all), "entity_id", "left_semi").select("trace_id").distinct()
     return opt_filter(spans.join(traces, "trace_id", "left_semi"), service_name=service)
@@ -251,7 +405,9 @@ def traces_by_entity(summaries: DataFrame, links: DataFrame, entity, limit: int
 
 def traces_by_entities(summaries: DataFrame, links: DataFrame, entities: list, match_all: bool = False) -> DataFrame:
     """Summaries of traces linked to any (or all) of the entities, with the sorted list of those matched."""
-    hit = links.where(F.col("entity_id").isin(list(entities))).groupBy("trace_id").agg(F.array_sort(F.collect_set("entity_id")).alias("matched"))
+    hit = links.where(F.col("entity_id").isin(list(entities))).groupBy("trace_id").agg(
+        F.array_sort(F.collect_set("entity_id")).alias("matched")
+    )
     hit = hit.where(F.size("matched") == len(set(entities))) if match_all else hit
     return summaries.join(hit, "trace_id")
 
@@ -261,14 +417,19 @@ def extract_ids(spans: DataFrame, entity_prefix: str = ENTITY_PREFIX, queue_key:
 
     An attribute map that also names a queue record owns its entities. Values that aren't UUIDs are left out.
     """
-    maps = F.concat(F.array("attributes"), F.coalesce(F.transform("events", lambda e: e["attributes"]), F.array().cast("array<map<string,string>>")))
+    maps = F.concat(
+        F.array("attributes"),
+        F.coalesce(F.transform("events", lambda e: e["attributes"]), F.array().cast("array<map<string,string>>")),
+    )
     maps = F.filter(maps, lambda m: m.isNotNull())
-    valid = lambda v: v.rlike(UUID)
+    valid = lambda v: v.rlike(anchored(UUID))
     entities = lambda m: F.filter(F.map_values(F.map_filter(m, lambda k, v: k.startswith(entity_prefix))), valid)
     queues = lambda m: F.filter(F.map_values(F.map_filter(m, lambda k, v: k == queue_key)), valid)
     flat = lambda f, held: F.array_distinct(F.flatten(F.transform(held, f)))
     return spans.withColumns({
-        "entity_ids": flat(entities, maps), "queue_ids": flat(queues, maps), "owned_ids": flat(entities, F.filter(maps, lambda m: F.size(queues(m)) > 0)),
+        "entity_ids": flat(entities, maps),
+        "queue_ids": flat(queues, maps),
+        "owned_ids": flat(entities, F.filter(maps, lambda m: F.size(queues(m)) > 0)),
     })
 
 
@@ -288,7 +449,11 @@ def dispatch_events(traces: DataFrame) -> DataFrame:
 def pending_dispatch(log: DataFrame, since=None, limit: int | None = None) -> DataFrame:
     """trace_id, entity_id, start_time of pairs with a candidate and no ack, newest first."""
     held = log if since is None else log.where(F.col("start_time") >= F.lit(since))
-    pairs = held.groupBy("trace_id", "entity_id").agg(F.min("start_time").alias("start_time"), F.bool_or(F.col("event") == "candidate").alias("c"), F.bool_or(F.col("event") == "ack").alias("a"))
+    pairs = held.groupBy("trace_id", "entity_id").agg(
+        F.min("start_time").alias("start_time"),
+        F.bool_or(F.col("event") == "candidate").alias("c"),
+        F.bool_or(F.col("event") == "ack").alias("a"),
+    )
     found = pairs.where("c and not a").select("trace_id", "entity_id", "start_time")
     return found if limit is None else found.orderBy(F.desc("start_time"), F.desc("trace_id"), F.desc("entity_id")).limit(limit)
 
@@ -297,11 +462,23 @@ def trace_has_entity(links: DataFrame, trace_id, entity) -> bool:
     return not links.where((F.col("trace_id") == trace_id) & (F.col("entity_id") == entity)).limit(1).isEmpty()
 
 
+def traces_have_entities(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """pairs (trace_id, entity_id) with linked: whether the trace belongs to the entity, for all pairs at once."""
+    known = links.select("trace_id", "entity_id").distinct().withColumn("linked", F.lit(True))
+    return pairs.join(known, ["trace_id", "entity_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
+
 def synth_eval_records(pending: DataFrame, profiles: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records to evaluate for pending traces whose entity has a trace profile, less those that exist; and the acks of all."""
     fit = pending.join(profiles.where("has_trace_tasks").select("entity_id"), "entity_id", "left_semi")
     fresh = fit.join(existing.select("trace_id", "entity_id"), ["trace_id", "entity_id"], "left_anti")
-    records = fresh.select(F.concat_ws("-", "trace_id", "entity_id").alias("record_id"), "trace_id", "entity_id", F.col("start_time").alias("created_at"), F.lit("pending").alias("status"))
+    records = fresh.select(
+        F.concat_ws("-", "trace_id", "entity_id").alias("record_id"),
+        "trace_id",
+        "entity_id",
+        F.col("start_time").alias("created_at"),
+        F.lit("pending").alias("status"),
+    )
     return records, fit.select("trace_id", "entity_id", "start_time", F.lit("ack").alias("event"))
 
 

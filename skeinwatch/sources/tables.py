@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwatch.functions.shared import written
+
 RESERVED = ("created_at", "partition_date", "batch_id")
 MAX_DEPTH = 32
 PREVIEW = 1000
@@ -33,7 +35,13 @@ def read_facts(spark: SparkSession, path: str, start: datetime, end: datetime, t
     return held.where((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end))).drop(*_HOURLY)
 
 
-def write_trace_table(df: DataFrame, path: str, ts: str = "start_time", bloom: tuple[str, ...] = ("trace_id",), distinct: int = 20_000) -> None:
+def write_trace_table(
+    df: DataFrame,
+    path: str,
+    ts: str = "start_time",
+    bloom: tuple[str, ...] = ("trace_id",),
+    distinct: int = 20_000,
+) -> None:
     """Append spans, summaries or dispatch rows by date of their start, with bloom filters on the columns looked up.
 
     distinct: about how many different values a file holds of them, which sizes the filters.
@@ -41,7 +49,10 @@ def write_trace_table(df: DataFrame, path: str, ts: str = "start_time", bloom: t
     out = df.withColumn("partition_date", F.to_date(ts)).write.mode("append").partitionBy("partition_date").option("compression", "zstd")
     for column in bloom:
         if column in df.columns:
-            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(distinct))
+            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
+                f"parquet.bloom.filter.expected.ndv#{column}",
+                str(distinct),
+            )
     out.parquet(path)
 
 
@@ -64,7 +75,11 @@ def parse_messages(df: DataFrame, column: str = "value", bad_records: bool = Tru
     held = df.select(text.alias("__text"), envelope["type"].alias("__type"), envelope["record"].alias("__record"))
     out, bad = {}, F.coalesce(~F.col("__type").isin(*RECORDS), F.lit(True)) | F.col("__record").isNull()
     for kind, ddl in RECORDS.items():
-        parsed = F.from_json("__record", ddl + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+        parsed = F.from_json(
+            "__record",
+            ddl + ", _corrupt_record string",
+            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
+        )
         broken = parsed["_corrupt_record"].isNotNull() | parsed["created_at"].isNull() | parsed["entity_id"].isNull()
         own = held.where(F.col("__type") == kind).withColumn("__r", parsed)
         out[kind] = own.where(~broken).select("__r.*").drop("_corrupt_record")
@@ -147,7 +162,9 @@ def parse_dataset(rows: DataFrame, schema: T.StructType, column: str = "value")
         if "enum" in f.metadata:
             bad = bad | (value.isNotNull() & ~value.isin(*json.loads(f.metadata["enum"])))
     bad = F.coalesce(bad, F.lit(True))
-    return held.where(~bad).select(*(F.col("__r")[f.name].alias(f.name) for f in schema.fields)), held.where(bad).select(F.col(column).alias("text"))
+    return held.where(~bad).select(
+        *(F.col("__r")[f.name].alias(f.name) for f in schema.fields)
+    ), held.where(bad).select(F.col(column).alias("text"))
 
 
 def namespace(text: str) -> list[str]:
@@ -157,7 +174,15 @@ def namespace(text: str) -> list[str]:
     return parts
 
 
-def append_dataset(rows: DataFrame, root: str, ns: str, json_schema: dict, column: str = "value", partition_by: tuple[str, ...] = (), expected: str | None = None) -> DataFrame:
+def append_dataset(
+    rows: DataFrame,
+    root: str,
+    ns: str,
+    json_schema: dict,
+    column: str = "value",
+    partition_by: tuple[str, ...] = (),
+    expected: str | None = None,
+) -> DataFrame:
     """Append JSON rows to a dataset; returns the rejected rows. expected: the fingerprint that the table was made with."""
     schema = struct_of(json_schema)
     if taken := set(RESERVED) & set(schema.names):
@@ -174,9 +199,12 @@ def append_dataset(rows: DataFrame, root: str, ns: str, json_schema: dict, colum
 def query(spark: SparkSession, sql: str, max_rows: int = 10_000) -> tuple[DataFrame, bool]:
     """At most max_rows rows of one read-only SELECT over temp views, and whether there are more."""
     body = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";")
-    if ";" in body or not re.match(r"(?i)(select|with)\b", body) or re.search(r"(?i)\b(insert|update|delete|merge|drop|create|alter|truncate|load|refresh|cache|set)\b(?=\s+\w)", body):
+    if ";" in body or not re.match(r"(?i)(select|with)\b", body) or re.search(
+        r"(?i)\b(insert|update|delete|merge|drop|create|alter|truncate|load|refresh|cache|set)\b(?=\s+\w)",
+        body,
+    ):
         raise ValueError("exactly one SELECT is allowed")
-    held = spark.sql(sql.strip().rstrip(";")).limit(max_rows + 1)
+    held = written(spark.sql(sql.strip().rstrip(";")).limit(max_rows + 1), "query")  # max_rows + 1 rows; the statement runs once
     return held.limit(max_rows), held.count() > max_rows
 
 
@@ -189,7 +217,11 @@ def preview(df: DataFrame, n: int = PREVIEW) -> DataFrame:
 
 def entity_ranges(df: DataFrame, cutoff: datetime) -> DataFrame:
     """entity_id, first and last time, rows of what is older than the cutoff."""
-    return df.where(F.col("created_at") < F.lit(cutoff)).groupBy("entity_id").agg(F.min("created_at").alias("begin"), F.max("created_at").alias("end"), F.count("*").alias("rows"))
+    return df.where(F.col("created_at") < F.lit(cutoff)).groupBy("entity_id").agg(
+        F.min("created_at").alias("begin"),
+        F.max("created_at").alias("end"),
+        F.count("*").alias("rows"),
+    )
 
 
 def archive(live: DataFrame, cutoff: datetime) -> tuple[DataFrame, DataFrame]:
@@ -198,6 +230,21 @@ def archive(live: DataFrame, cutoff: datetime) -> tuple[DataFrame, DataFrame]:
     return live.where(old), live.where(~F.coalesce(old, F.lit(False)))
 
 
+def write_archive(live: DataFrame, path: str, cutoff: datetime) -> DataFrame:
+    """Append the live rows from before the cutoff to the archive at path, but those archived before; live marked `archived`.
+
+    live may hold `archived` from an earlier run. Its store keeps or deletes the marked rows as it likes.
+    """
+    done = F.coalesce(F.col("archived"), F.lit(False)) if "archived" in live.columns else F.lit(False)
+    write_facts(archive(live.where(~done).drop("archived"), cutoff)[0], path)
+    return live.withColumn("archived", done | F.coalesce(F.col("created_at") < F.lit(cutoff), F.lit(False)))
+
+
+def union_live_archive(live: DataFrame, archived: DataFrame) -> DataFrame:
+    """Rows of both by column name; a column that one lacks is null there. Nothing is aggregated before the union."""
+    return live.unionByName(archived, allowMissingColumns=True)
+
+
 def read_hybrid(live: DataFrame, archived: DataFrame, start: datetime, end: datetime, cutoff: datetime) -> DataFrame:
     """Rows of [start, end): live ones from the cutoff on, archived ones before it, united before any aggregation."""
     ts = F.col("created_at")
@@ -205,7 +252,7 @@ def read_hybrid(live: DataFrame, archived: DataFrame, start: datetime, end: date
     if cutoff <= start:
         return live.where(inside)
     old = archived.where(inside & (ts < F.lit(cutoff)))
-    return old if end <= cutoff else live.where(inside & (ts >= F.lit(cutoff))).unionByName(old, allowMissingColumns=True)
+    return old if end <= cutoff else union_live_archive(live.where(inside & (ts >= F.lit(cutoff))), old)
 
 
 def expire(df: DataFrame, cutoff: date, column: str = "partition_date") -> DataFrame:
@@ -213,13 +260,34 @@ def expire(df: DataFrame, cutoff: date, column: str = "partition_date") -> DataF
     return df.where(F.col(column) >= F.lit(cutoff))
 
 
+def drop_partitions(spark: SparkSession, path: str, cutoff: date, column: str = "partition_date") -> list[str]:
+    """Delete the date partitions before the cutoff of the Parquet table at path; gives the dates. Files stay unread."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in fs.listStatus(folder):
+        found = re.fullmatch(rf"{column}=(\d{{4}}-\d{{2}}-\d{{2}})", status.getPath().getName())
+        if found and date.fromisoformat(found[1]) < cutoff:
+            fs.delete(status.getPath(), True)
+            gone.append(found[1])
+    return sorted(gone)
+
+
 def compacted(df: DataFrame, columns: tuple[str, ...] = ("start_time", "service_name"), files: int | None = None) -> DataFrame:
     """df clustered by range for a rewrite into larger files."""
     return (df.repartitionByRange(files, *columns) if files else df.repartitionByRange(*columns)).sortWithinPartitions(*columns)
 
 
-def compact(df: DataFrame, path: str, columns: tuple[str, ...] = ("start_time", "service_name"), files: int | None = None, max_rows: int = 5_000_000) -> None:
-    compacted(df, columns, files).write.mode("overwrite").option("maxRecordsPerFile", max_rows).option("compression", "zstd").parquet(path)
+def compact(
+    df: DataFrame,
+    path: str,
+    columns: tuple[str, ...] = ("start_time", "service_name"),
+    files: int | None = None,
+    max_rows: int = 5_000_000,
+) -> None:
+    """Write df clustered to path, which must be new: a table can't be rewritten into the folder that it is read from."""
+    out = compacted(df, columns, files).write.mode("errorifexists")
+    out.option("maxRecordsPerFile", max_rows).option("compression", "zstd").parquet(path)
 
 
 SCENARIO = "collection_id string, scenario_id string, query string, expected string, tags array<string>, tasks string"

@@ -6,13 +6,15 @@ All take and give streaming frames (batch frames work too, where no state is kep
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skeinwatch.operators.traces import ERROR, millis, pending_dispatch
+from skeinwatch.operators.traces import ERROR, millis, trace_summaries
 
 
 def trace_sessions(spans: DataFrame, gap: str = "10 seconds", delay: str = "15 seconds") -> DataFrame:
@@ -22,9 +24,15 @@ def trace_sessions(spans: DataFrame, gap: str = "10 seconds", delay: str = "15 s
     first = F.struct(F.when(root, 0).otherwise(1), "start_time", "span_id")
     held = spans.withWatermark("start_time", delay).groupBy(F.session_window("start_time", gap).alias("__w"), "trace_id")
     return held.agg(
-        F.min_by("service_name", first).alias("service_name"), F.coalesce(F.min_by(F.when(root, F.col("span_name")), first), F.lit("")).alias("root_operation"),
-        F.min("start_time").alias("start"), F.max("end_time").alias("end_time"), millis(F.min("start_time"), F.max("end_time")).alias("duration_ms"),
-        F.max("status_code").alias("status_code"), F.max(F.when(bad, F.col("status_message"))).alias("status_message"), F.count("*").alias("span_count"), F.count_if(bad).alias("error_count"),
+        F.min_by("service_name", first).alias("service_name"),
+        F.coalesce(F.min_by(F.when(root, F.col("span_name")), first), F.lit("")).alias("root_operation"),
+        F.min("start_time").alias("start"),
+        F.max("end_time").alias("end_time"),
+        millis(F.min("start_time"), F.max("end_time")).alias("duration_ms"),
+        F.max("status_code").alias("status_code"),
+        F.max_by(F.when(bad, F.col("status_message")), F.when(bad, F.struct("start_time", "span_id"))).alias("status_message"),
+        F.count("*").alias("span_count"),
+        F.count_if(bad).alias("error_count"),
     ).drop("__w").withColumnRenamed("start", "start_time")
 
 
@@ -34,6 +42,17 @@ def route_late(rows: DataFrame, watermark, ts: str = "start_time") -> tuple[Data
     return rows.where(~late), rows.where(late)
 
 
+def summary_parts(spans: DataFrame, watermark) -> DataFrame:
+    """Partial trace summaries of spans in time and, apart from them, of late spans (late: true); T6 merges them on read."""
+    return reduce(
+        DataFrame.unionByName,
+        (
+            trace_summaries(part).withColumn("late", F.lit(late)) for late,
+            part in zip((False, True), route_late(spans, watermark), strict=True)
+        ),
+    )
+
+
 def spc_samples_stream(df: DataFrame, n: int) -> DataFrame:
     """feature, seq, value: the mean of each n values of a feature in order of time, what is left over carried on.
 
@@ -42,16 +61,25 @@ def spc_samples_stream(df: DataFrame, n: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, held, total = state.get if state.exists else (0, 0, 0.0)
-        out = []
-        for value in pd.concat(list(batches)).sort_values(["created_at", "value"])["value"]:
-            held, total = held + 1, total + value
-            if held == n:
-                out.append((key[0], seq, total / n))
-                seq, held, total = seq + 1, 0, 0.0
+        frame = pd.concat(list(batches)).sort_values(["created_at", "value"])
+        values = frame["value"].to_numpy(dtype=float)
+        full = np.concatenate([[total], values]) if held else values  # what was left over stands as one sum of its rows
+        firsts = np.arange(n - held + 1, len(full) + 1, n) if held else np.arange(n, len(full) + 1, n)
+        sums = np.diff(np.concatenate([[0.0], np.cumsum(full)])[np.concatenate([[0], firsts])])
+        done = int(firsts[-1]) if len(firsts) else 0
+        out = [(key[0], seq + i, float(x) / n) for i, x in enumerate(sums)]
+        held, total = (held + len(values)) % n if len(firsts) else held + len(values), float(full[done:].sum())
+        seq += len(firsts)
         state.update((seq, held, total))
         yield pd.DataFrame(out, columns=["feature", "seq", "value"])
 
-    return df.select("feature", "created_at", "value").groupBy("feature").applyInPandasWithState(step, "feature string, seq long, value double", "seq long, held long, total double", "append", GroupStateTimeout.NoTimeout)
+    return df.select("feature", "created_at", "value").groupBy("feature").applyInPandasWithState(
+        step,
+        "feature string, seq long, value double",
+        "seq long, held long, total double",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def metric_windows(df: DataFrame, window: str = "5 minutes", delay: str = "1 minute") -> DataFrame:
@@ -64,7 +92,11 @@ def psi_count_windows(df: DataFrame, edges: dict[str, list[float]], window: str
     """bucket, feature, bin_id, bin_count of long-form features; edges come from the profile, which is small."""
     arrays = F.create_map(*(x for f, e in edges.items() for x in (F.lit(f), F.array(*map(F.lit, e)))))
     bin_id = (F.size(F.filter(arrays[F.col("feature")], lambda e: F.col("value") > e)) + 1).alias("bin_id")
-    held = df.where(F.col("feature").isin(*edges) & ~F.isnan("value")).withWatermark("created_at", delay).groupBy(F.window("created_at", window).alias("w"), "feature", bin_id)
+    held = df.where(F.col("feature").isin(*edges) & ~F.isnan("value")).withWatermark("created_at", delay).groupBy(
+        F.window("created_at", window).alias("w"),
+        "feature",
+        bin_id,
+    )
     return held.agg(F.count("*").alias("bin_count")).select(F.col("w.start").alias("bucket"), "feature", "bin_id", "bin_count")
 
 
@@ -72,8 +104,19 @@ def route_windows(df: DataFrame, window: str = "5 minutes", delay: str = "1 minu
     """bucket, route_name, request and error counts, percentiles of OK latencies by tumbling window."""
     ok = (F.col("status_code") >= 200) & (F.col("status_code") < 400)
     held = df.withWatermark("created_at", delay).groupBy(F.window("created_at", window).alias("w"), "route_name")
-    quantiles = [F.percentile_approx(F.when(ok, F.col("latency")), F.lit(q), F.lit(10_000)).alias(f"p{q * 100:g}") for q in (0.05, 0.25, 0.5, 0.95, 0.99)]
-    return held.agg(F.count_if(ok).alias("request_count"), F.count_if(~ok).alias("error_count"), F.coalesce(F.sum(F.when(~ok, F.col("latency"))), F.lit(0.0)).alias("error_latency"), *quantiles).select(F.col("w.start").alias("bucket"), "*").drop("w")
+    quantiles = [
+        F.percentile_approx(
+            F.when(ok, F.col("latency")),
+            F.lit(q),
+            F.lit(10_000),
+        ).alias(f"p{q * 100:g}") for q in (0.05, 0.25, 0.5, 0.95, 0.99)
+    ]
+    return held.agg(
+        F.count_if(ok).alias("request_count"),
+        F.count_if(~ok).alias("error_count"),
+        F.coalesce(F.sum(F.when(~ok, F.col("latency"))), F.lit(0.0)).alias("error_latency"),
+        *quantiles,
+    ).select(F.col("w.start").alias("bucket"), "*").drop("w")
 
 
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -82,10 +125,22 @@ def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str = "10 minut
 
 
 def pending_dispatch_stream(log: DataFrame, path: str, checkpoint: str):
-    """A query that keeps the pending pairs of a dispatch log under path: the events seen so far, then T12's rule over them."""
+    """A query that keeps each pair's state of a dispatch log; a batch appends only the pairs that it changed, under path."""
+    seen = lambda event: F.bool_or(F.col("event") == event)
+    pairs = log.groupBy("trace_id", "entity_id").agg(
+        F.min("start_time").alias("start_time"),
+        seen("candidate").alias("c"),
+        seen("ack").alias("a"),
+    )
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")  # a retried batch replaces its own folder
-        pending_dispatch(batch.sparkSession.read.parquet(f"{path}/events")).write.mode("overwrite").parquet(f"{path}/pending")
+        batch.write.mode("overwrite").parquet(f"{path}/pairs/batch={batch_id}")  # a retried batch replaces its own folder
+
+    return pairs.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """trace_id, entity_id, start_time of the pairs pending by the newest state that pending_dispatch_stream wrote of each."""
+    newest = F.max_by(F.struct("start_time", "c", "a"), "batch").alias("s")
+    held = spark.read.parquet(f"{path}/pairs").groupBy("trace_id", "entity_id").agg(newest)
+    return held.where("s.c and not s.a").select("trace_id", "entity_id", "s.start_time")
