@@ -6,10 +6,10 @@ many edges is no single task's work beyond what adaptive execution splits. The e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from skeinwatch.llm.common import written
+from skeinwatch.llm.common import scratch, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,20 +26,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("src", F.col("__m").alias("dst"))).distinct()
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and a digest that are observed as they are written."""
+    seen = Observation()
+    digest = F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))
+    held = written(edges.observe(seen, F.count("*").alias("n"), digest.alias("digest")), "edges")
+    return held, (seen.get["n"], seen.get["digest"])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) of every node that has an edge to another one.
 
     edges: src and dst of one orderable type; nulls and loops are left out, repeats and both directions are the same.
     """
-    now = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
-    now = written(now.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
-    state = None
-    for _ in range(max_rounds):
-        n, digest = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if not n or (n, digest) == state:
-            break
-        state = (n, digest)
-        now = written(_small_star(_large_star(now)), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component"))).distinct()
+    with scratch(edges.sparkSession):
+        now = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+        now, state = _counted(now.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+        for _ in range(max_rounds):
+            if not state[0]:
+                break
+            before = state
+            now, state = _counted(_small_star(_large_star(now)))
+            if state == before:
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        own = now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
+        return written(now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(own), "components", keep=True)

@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinwatch.llm.common import utf8_slices
+from skeinwatch.llm.common import sliced, utf8_slices
 
 TOP = 300
 TRAIN_PER_LANG = 2000
+LANGUAGES = 1000
 SLICE_CHARS = 250_000
-_CHAR, _DOC = 17, 12  # bits of a letter's index and of a text's index within a slice
+_CHAR, _DOC = 18, 8  # bits of a letter's index (enough for all of Unicode's letters) and of a text's index within a slice
 
 
 @lru_cache(maxsize=1)
@@ -35,8 +36,7 @@ def _letters() -> np.ndarray:
 def ranked_grams(texts: list[str | None], top: int | None):
     """Text index, n-gram code, rank and count of each text's n-grams, most frequent first.
 
-    A code holds three code points of 21 bits, zero-filled; a word's ends count as the letter U+0020. One slice may
-    have 4095 texts and 131,071 different letters; rarer letters beyond that share one index.
+    A code holds three code points of 21 bits, zero-filled; a word's ends count as the letter U+0020. At most 255 texts.
     """
     cps, owner = [np.array([32], dtype=np.uint32)], [np.zeros(1, dtype=np.int64)]
     for i, text in enumerate(texts):
@@ -53,7 +53,7 @@ def ranked_grams(texts: list[str | None], top: int | None):
     seen[c] = True
     alphabet = np.flatnonzero(seen)
     index = np.zeros(0x110000, dtype=np.int64)
-    index[alphabet] = np.minimum(np.arange(1, len(alphabet) + 1), 2**_CHAR - 1)
+    index[alphabet] = np.arange(1, len(alphabet) + 1)
     x, space = index[c], c == 32
     one = x[~space] << 2 * _CHAR | doc[~space] << 3 * _CHAR
     two_at = (doc[:-1] == doc[1:]) | space[:-1]
@@ -65,7 +65,11 @@ def ranked_grams(texts: list[str | None], top: int | None):
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     grams, counts = keys[first], np.diff(first, append=len(keys))
     of = grams >> 3 * _CHAR
-    order = np.lexsort((-counts, of)) if len(grams) >= 2**27 else np.argsort(of << 51 | np.minimum(2**24 - 1, counts.max(initial=0) - counts) << 27 | np.arange(len(grams)))
+    less = counts.max(initial=0) - counts
+    if len(grams) >= 2**27 or less.max(initial=0) >= 2**24:  # too many or too far apart for one key
+        order = np.lexsort((-counts, of))
+    else:
+        order = np.argsort(of << 51 | less << 27 | np.arange(len(grams)))
     grams, counts, of = grams[order], counts[order], of[order]
     begins = np.flatnonzero(np.diff(of, prepend=-1))
     rank = np.arange(len(of)) - np.repeat(begins, np.diff(begins, append=len(of)))
@@ -78,10 +82,35 @@ def ranked_grams(texts: list[str | None], top: int | None):
     return of, letters[a] << 42 | letters[b] << 21 | letters[d], rank, counts
 
 
+def word_pieces(text: str, size: int):
+    """Runs of about size characters that end where a word does, so that their n-grams together are the text's."""
+    a = 0
+    while a < len(text):
+        b = min(len(text), a + size)
+        while b < len(text) and text[b].isalpha():
+            b += 1
+        yield text[a:b]
+        a = b
+
+
+def ranked_long(text: str, top: int | None):
+    """ranked_grams of one text, in pieces, so that its arrays stay small however long it is."""
+    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for piece in word_pieces(text, SLICE_CHARS):
+        _, more, _, counts = ranked_grams([piece], None)
+        code, at = np.unique(np.concatenate([code, more]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([n, counts]), minlength=len(code)).astype(np.int64)
+    order = np.lexsort((code, -n))[:top]
+    return np.zeros(len(order), np.int64), code[order], np.arange(len(order)), n[order]
+
+
 def training_rows(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
-    """At most about per_lang labelled rows of each language, drawn by a hash of doc_id (the documented bound)."""
+    """At most about per_lang labelled rows of each language, drawn by a hash of doc_id (the documented bound).
+
+    Of more than LANGUAGES labels the most frequent ones are learned.
+    """
     labelled = docs.where(usable & F.col("lang").isNotNull())
-    counts = labelled.groupBy("lang").count().collect()  # a row a language
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()  # a row a language
     if not counts:
         return labelled.select("lang", "text")
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))))
@@ -93,13 +122,16 @@ def learn(rows: DataFrame, top: int = TOP) -> dict[str, list[int]]:
     """Each language's top n-gram codes, most frequent first. What reaches the driver is top codes a language."""
 
     def count(batches):
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
                 own = [t for l, t in zip(langs, texts, strict=True) if l == lang]
                 for a, b in utf8_slices(own, SLICE_CHARS):
-                    _, code, _, n = ranked_grams([" ".join(t for t in own[a:b] if t)], None)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+                    _, code, _, n = ranked_long(" ".join(t for t in own[a:b] if t), None)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(n, pa.int64())],
+                        names=["lang", "gram", "n"],
+                    )
 
     counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -122,7 +154,8 @@ def distances(texts: list[str | None], profiles: dict[str, list[int]], top: int
     for lo, hi in utf8_slices(texts, SLICE_CHARS):
         for a in range(lo, hi, step):
             b = min(hi, a + step)
-            of, code, rank, _ = ranked_grams(texts[a:b], top)
+            long = b - a == 1 and texts[a] is not None and len(texts[a]) > SLICE_CHARS
+            of, code, rank, _ = ranked_long(texts[a], top) if long else ranked_grams(texts[a:b], top)
             if not len(of):
                 continue
             at = np.searchsorted(vocabulary, code)
@@ -135,14 +168,20 @@ def distances(texts: list[str | None], profiles: dict[str, list[int]], top: int
     return langs, total, held
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str], top: int = TOP, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(
+    docs: DataFrame,
+    profiles: dict[str, list[int]],
+    columns: list[str],
+    top: int = TOP,
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
     """The named columns plus the predicted language and its score (1: every n-gram in place, 0: none known)."""
     schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
     n = len(columns)
     at = columns.index("text") if "text" in columns else n
 
     def judge(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             if profiles:
@@ -150,7 +189,10 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], columns: list[str],
                 best = total.argmin(axis=1)
                 score = np.where(held > 0, 1 - total[np.arange(len(texts)), best] / np.maximum(1, held * top), 0.0).clip(0, 1)
                 pred = [langs[j] if h else "und" for j, h in zip(best, held, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n], pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                names=schema.names,
+            )
 
     return docs.select(*columns, *([F.col("text").alias("__text")] if at == n else [])).mapInArrow(judge, schema)
 

@@ -23,10 +23,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwatch.llm.common import sliced
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("first", "majority", "split")
-SECTION = T.ArrayType(T.StructType([T.StructField("section", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n_tokens", T.DoubleType())]))
+SECTION = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("section", T.IntegerType()),
+            T.StructField("start", T.IntegerType()),
+            T.StructField("end", T.IntegerType()),
+            T.StructField("n_tokens", T.DoubleType()),
+        ]
+    )
+)
 
 
 @lru_cache(maxsize=2)
@@ -83,7 +94,14 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule:
     return count, len(crossing)
 
 
-def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", sections: Column | None = None, rule: str = "first", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    sections: Column | None = None,
+    rule: str = "first",
+    vocabulary: str = VOCABULARY,
+) -> DataFrame:
     """key, n_tokens, n_crossing, n_outside and, for each section in order, its span and tokens.
 
     sections: array<struct<start:int,end:int>> of code points; without it, the text's lines.
@@ -95,13 +113,16 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", secti
     inner = pa.list_(pa.struct([("section", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.float64())]))
 
     def count(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             totals, crossed, outside, sizes, rows = [], [], [], [0], []
             spans = batch.column(2).to_pylist() if given else None
             for i, text_ in enumerate(batch.column(1).to_pylist()):
                 text_ = text_ or ""
                 starts, ends = token_spans(text_, vocabulary) if text_ else (np.zeros(0, np.int64),) * 2
-                own = np.array(sorted((s["start"], s["end"]) for s in spans[i] or () if s and s["end"] > s["start"]), dtype=np.int64).reshape(-1, 2) if given else line_spans(text_)
+                own = np.array(
+                    sorted((s["start"], s["end"]) for s in spans[i] or () if s and s["end"] > s["start"]),
+                    dtype=np.int64,
+                ).reshape(-1, 2) if given else line_spans(text_)
                 if (own[1:, 0] < own[:-1, 1]).any():
                     raise ValueError("sections overlap")
                 got, n = attribute(starts, ends, own, rule)
@@ -113,7 +134,10 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", secti
             flat = np.concatenate(rows) if rows else np.zeros((0, 4))
             parts = [pa.array(flat[:, j].astype(kind)) for j, kind in enumerate((np.int32, np.int32, np.int32, np.float64))]
             nested = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(inner.value_type)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(crossed, pa.int64()), pa.array(outside, pa.float64()), nested], names=schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(totals, pa.int64()), pa.array(crossed, pa.int64()), pa.array(outside, pa.float64()), nested],
+                names=schema.names,
+            )
 
     columns = [F.col(key), F.col(text).alias("__text")] + ([sections.alias("__sections")] if given else [])
     return docs.select(*columns).mapInArrow(count, schema)
