@@ -58,7 +58,13 @@ FROM docs d LEFT JOIN listed l ON d.doc_id IS NOT DISTINCT FROM l.doc_id
 """
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RULES = (("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/de/", "block"), ("com", "/fr/", "allow"), ("org", "/", "allow"))
+_RULES = (
+    ("example.org", "/en/1", "block"),
+    ("example.org", "/es/", "block"),
+    ("com", "/de/", "block"),
+    ("com", "/fr/", "allow"),
+    ("org", "/", "allow"),
+)
 
 
 def _host(url: str) -> str:
@@ -70,13 +76,18 @@ def _path(url: str) -> str:
 
 
 def _case(host: str, path: str, what: int) -> str:
-    fits = " ".join(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, v)[what]}'" for h, p, v in _RULES)
+    fits = " ".join(
+        f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, v)[what]}'" for h,
+        p,
+        v in _RULES
+    )
     return f"CASE {fits} END"
 
 
 def _node(url: str) -> str:
     query = f"array_to_string(list_filter(string_split(coalesce(regexp_extract({url}, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), ''), '&'), lambda p: NOT starts_with(p, 'utm_') AND p <> ''), '&')"
-    return f"CASE WHEN {_host(url)} <> '' THEN regexp_replace({_host(url)}, '^www\\.', '') || regexp_replace({_path(url)}, '/$', '') || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"
+    return f"""CASE WHEN {_host(url)} <> '' THEN regexp_replace({_host(url)}, '^www\\.', '') || regexp_replace({_path(url)}, '/$', '') || CASE
+  WHEN {query} <> '' THEN '?' || {query} ELSE '' END END"""
 
 
 _ABSOLUTE = """CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
@@ -85,6 +96,10 @@ _ABSOLUTE = """CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^[A-Za-z
   ELSE regexp_extract(url, '(?s)^.*?://[^/?#]*(?:[^?#]*/)?', 0)
     || CASE WHEN ends_with(regexp_extract(url, '(?s)^.*?://[^/?#]*(?:[^?#]*/)?', 0), '/') THEN '' ELSE '/' END || link END"""
 
+def _judged(url: str) -> str:
+    return f"{_node(url)} AS node, {_case(_host(url), _path(url), 1)} AS v"
+
+
 _OP7 = f"""
 WITH RECURSIVE tags AS (
   SELECT url, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0) AS c,
@@ -97,18 +112,17 @@ WITH RECURSIVE tags AS (
 edges AS (SELECT {_node("url")} AS a, {_node("target")} AS b FROM ends),
 two_way AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM two_way UNION SELECT r.node, e.b FROM reach r JOIN two_way e ON r.other = e.a),
-seen AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, {_node("url")} AS node FROM pages),
-ruled AS (SELECT *, {_case("host", "path", 0)} AS rule, {_case("host", "path", 1)} AS own FROM seen),
 verdicts AS (
-  SELECT node, own AS v FROM ruled WHERE node IS NOT NULL AND own IS NOT NULL
-  UNION ALL SELECT node, {_case(_host("'x://' || node || '/'"), _path("'x://' || node || '/'"), 1)} FROM (SELECT DISTINCT node FROM reach)
+  SELECT {_judged("url")} FROM pages UNION ALL SELECT {_judged("target")} FROM ends
 ), classes AS (
   SELECT r.node, bool_or(v.v = 'allow') AS allowed, bool_or(v.v = 'block') AS blocked
   FROM reach r JOIN verdicts v ON v.node = r.other WHERE v.v IS NOT NULL GROUP BY r.node
-)
-SELECT page_id, host, path, rule, coalesce(own, CASE WHEN blocked AND NOT coalesce(allowed, FALSE) THEN 'block' ELSE 'allow' END) AS verdict,
-       CASE WHEN rule IS NOT NULL THEN 'rule' WHEN blocked AND NOT coalesce(allowed, FALSE) THEN 'alias' ELSE 'default' END AS reason
-FROM ruled LEFT JOIN classes c ON ruled.node = c.node
+), aliased AS (SELECT node FROM classes WHERE blocked AND NOT allowed),
+seen AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, {_node("url")} AS node FROM pages),
+ruled AS (SELECT *, {_case("host", "path", 0)} AS rule, {_case("host", "path", 1)} AS own FROM seen)
+SELECT page_id, host, path, rule, CASE WHEN own IS NOT NULL THEN own WHEN a.node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IS NOT NULL THEN 'rule' WHEN a.node IS NOT NULL THEN 'alias' ELSE 'default' END AS reason
+FROM ruled LEFT JOIN aliased a ON ruled.node = a.node
 """
 
 _TAILS = r"(\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>)"

@@ -6,7 +6,8 @@ A URL's own rule always stands.
 
 Edges come from each page's `<link rel=canonical>` and `<meta http-equiv=refresh>`, and from a table of redirects
 (src, dst) if there is one. A URL's node is its form without scheme, fragment, `www.`, `utm_` parameters and final slash,
-its host in lower case. Null URLs and URLs without `://` have an empty host and path, fit no rule and are allowed.
+its host in lower case; rules judge the URLs themselves, never their nodes. Null URLs and URLs without `://` have an empty
+host and path, fit no rule and are allowed. Repeated rows are judged each. Of rules of equal length an allow wins.
 """
 
 from __future__ import annotations
@@ -62,7 +63,10 @@ def node_of(url: Column) -> Column:
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     query = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.startswith("utm_") & (p != "")), "&")
     host = F.regexp_replace(host_of(url), r"^www\.", "")
-    return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), r"/$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
+    return F.when(
+        host != "",
+        F.concat(host, F.regexp_replace(path_of(url), r"/$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))),
+    )
 
 
 def absolute(link: Column, base: Column) -> Column:
@@ -78,41 +82,52 @@ def absolute(link: Column, base: Column) -> Column:
     )
 
 
-def page_edges(pages: DataFrame) -> DataFrame:
-    """src, dst nodes of the canonical links and immediate redirects that pages declare."""
+def page_links(pages: DataFrame) -> DataFrame:
+    """src, dst URLs of the canonical links and immediate redirects that pages declare."""
     canonical = F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
     refresh = F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
     links = F.array(
         F.regexp_extract(canonical, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
         F.regexp_extract(refresh, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
     )
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(links).alias("link")).where(F.col("link") != "")
-    return found.select(node_of(F.col("url")).alias("src"), node_of(absolute(F.col("link"), F.col("url"))).alias("dst")).where("src is not null and dst is not null and src <> dst")
+    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(links).alias("link"))
+    return found.where(F.col("link") != "").select(F.col("url").alias("src"), absolute(F.col("link"), F.col("url")).alias("dst"))
+
+
+def _verdicts() -> list[Column]:
+    return [F.max(F.coalesce(F.col("v") == v, F.lit(False))).alias(name) for v, name in (("allow", "allowed"), ("block", "blocked"))]
 
 
 def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, and reason: rule, alias or default."""
     url = F.col("url")
-    host, path = host_of(url), path_of(url)
-    seen = pages.select("page_id", host.alias("host"), path.alias("path"), node_of(url).alias("node")).withColumn("__r", rule_of(F.col("host"), F.col("path"), rules))
-    edges = page_edges(pages)
+    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
+    seen = seen.withColumn("__r", rule_of(F.col("host"), F.col("path"), rules))
+    links = page_links(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")))
-    edges = written(edges.where("src is not null and dst is not null").distinct(), "url-edges")
-    classes = written(connected_components(edges), "url-classes")
-    # The targets of edges are judged too: a redirect may lead to a blocked URL that isn't a page here.
-    as_url = F.concat(F.lit("x://"), F.col("node"), F.lit("/"))
-    aliases = classes.select("node", "component", rule_of(host_of(as_url), path_of(as_url), rules)["verdict"].alias("v"))
-    own = seen.where(F.col("node").isNotNull() & F.col("__r").isNotNull()).groupBy("node").agg(F.max(F.col("__r")["verdict"] == "allow").alias("a"), F.max(F.col("__r")["verdict"] == "block").alias("b"))
-    told = aliases.join(own, "node", "left").groupBy("component").agg(
-        F.max(F.coalesce(F.col("v") == "allow", F.lit(False)) | F.coalesce("a", F.lit(False))).alias("allowed"),
-        F.max(F.coalesce(F.col("v") == "block", F.lit(False)) | F.coalesce("b", F.lit(False))).alias("blocked"),
-    )
-    spread = classes.join(told.where("blocked and not allowed"), "component").select("node").distinct().withColumn("__alias", F.lit(True))
+        links = links.unionByName(redirects.select("src", "dst"))
+
+    def end(name: str) -> Column:
+        own = F.col(name)
+        return F.struct(node_of(own).alias("node"), rule_of(host_of(own), path_of(own), rules)["verdict"].alias("v"))
+
+    ends = links.select(end("src").alias("a"), end("dst").alias("b")).where("a.node is not null and b.node is not null")
+    ends = written(ends.distinct(), "url-links")
+    edges = ends.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).where("src <> dst")
+    classes = connected_components(edges)
+    # Every URL of a class is judged as it stands: pages, and ends of links that needn't be pages here.
+    ruled = seen.where("node is not null and __r is not null").select("node", F.col("__r")["verdict"].alias("v"))
+    named = ends.select(F.inline(F.array("a", "b"))).where("v is not null").unionByName(ruled)
+    own = named.groupBy("node").agg(*_verdicts())
+    told = classes.join(own, "node").groupBy("component").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
+    spread = classes.join(told.where("blocked and not allowed"), "component").select("node").withColumn("__alias", F.lit(True))
     judged = seen.join(spread, "node", "left")
     rule, verdict = F.col("__r")["rule"], F.col("__r")["verdict"]
     return judged.select(
-        "page_id", "host", "path", rule.alias("rule"),
+        "page_id",
+        "host",
+        "path",
+        rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("__alias"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         F.when(rule.isNotNull(), F.lit("rule")).when(F.col("__alias"), F.lit("alias")).otherwise(F.lit("default")).alias("reason"),
     )

@@ -57,7 +57,10 @@ def reference_exponent(tokens, limit):
 
 def test_mixing_keeps_all_and_meets_the_limit(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, "big" if i % 3 else f"s{i % 4}" if i % 12 else None, " ".join(["w"] * int(n)), "x") for i, n in enumerate(rng.integers(0, 50, 2000))]
+    rows = [
+        (i, "big" if i % 3 else f"s{i % 4}" if i % 12 else None, " ".join(["w"] * int(n)), "x") for i,
+        n in enumerate(rng.integers(0, 50, 2000))
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, epoch string")
     tokens = Counter()
     for _, s, t, _ in rows:
@@ -99,8 +102,21 @@ def page(url, canonical=None, refresh=None):
 
 def test_url_rules_and_aliases(spark):
     urls = [
-        page("http://A.example.org/es/1"), page("http://example.org/en/123?x"), page("http://x.com/fr/a"), page("https://y.com/de/b#t"), page("ftp://z.net/a", canonical="https://y.com/de/b"), page("http://z.net/a/"), page("http://q.net/p", refresh="/home"), page("http://q.net/home", canonical="http://z.net/a"),
-        (None, None), page("no scheme"), page("http://org"), page("http://notorg/x"), page("http://k.net/1", canonical="http://y.com/de/c"), page("http://k.net/2", canonical="http://k.net/1"), page("http://o.org/", canonical="http://k.net/1"),
+        page("http://A.example.org/es/1"),
+        page("http://example.org/en/123?x"),
+        page("http://x.com/fr/a"),
+        page("https://y.com/de/b#t"),
+        page("ftp://z.net/a", canonical="https://y.com/de/b"),
+        page("http://z.net/a/"),
+        page("http://q.net/p", refresh="/home"),
+        page("http://q.net/home", canonical="http://z.net/a"),
+        (None, None),
+        page("no scheme"),
+        page("http://org"),
+        page("http://notorg/x"),
+        page("http://k.net/1", canonical="http://y.com/de/c"),
+        page("http://k.net/2", canonical="http://k.net/1"),
+        page("http://o.org/", canonical="http://k.net/1"),
     ]
     df = spark.createDataFrame([(i, *u, "v") for i, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
     got = {r["page_id"]: r for r in url_filter.judge_urls(df).collect()}
@@ -110,12 +126,48 @@ def test_url_rules_and_aliases(spark):
     assert got[8]["host"] == got[8]["path"] == got[9]["host"] == "" and got[8]["verdict"] == "allow"
     assert got[10]["rule"] is None and got[11]["rule"] is None
     assert [got[i]["verdict"] for i in (12, 13, 14)] == ["allow"] * 3  # the class holds an allowed URL
+
+
+def test_aliases_are_judged_by_their_own_urls(spark):
+    urls = [
+        page("http://y.com/de", canonical="http://z.net/a"),
+        page("http://z.net/a"),
+        page("http://k.net/1", refresh="http://w.com/de"),
+        page("http://k.net/2", canonical="http://w.com/de/"),
+        page("http://m.net/x"),
+        page("http://m.net/x"),
+        page("http://long.net/" + "p" * 100_000, canonical="http://y.com/de/q"), page("http://both.net/a", canonical="http://both.net/a"),
+    ]
+    df = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(df).collect()}
+    assert (got[0]["rule"], got[0]["path"], got[0]["verdict"]) == (None, "/de", "allow") and got[1]["verdict"] == "allow"
+    assert got[2]["verdict"] == "block"  # w.com/de and w.com/de/ are one node, and the latter is blocked by a rule
+    assert got[3]["verdict"] == got[6]["verdict"] == "block" and got[7]["verdict"] == "allow"
+    assert url_filter.judge_urls(df.unionByName(df)).count() == 2 * len(urls)
+    rules = (
+        url_filter.UrlRule("block", "a.b.net", "/x"),
+        url_filter.UrlRule("allow", "b.net", "/x/yz"),
+        url_filter.UrlRule("allow", "a.b.net", "/z"),
+        url_filter.UrlRule("block", "a.b.net", "/z"),
+    )
+    some = spark.createDataFrame(
+        [(0, "http://a.b.net/x/yzq", None), (1, "http://a.b.net/zz", None)],
+        "page_id long, url string, html string",
+    )
+    assert [r["verdict"] for r in url_filter.judge_urls(some, rules).orderBy("page_id").collect()] == ["allow", "allow"]
+    moved = spark.createDataFrame([("http://c.net/1", "http://d.com/de/1")], "src string, dst string")
+    one = spark.createDataFrame([(0, "http://c.net/1", None)], "page_id long, url string, html string")
+    assert url_filter.judge_urls(one, redirects=moved).first()["verdict"] == "block"
+    assert url_filter.judge_urls(one.where("false")).count() == 0
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
 def test_components_match_union_find(spark):
     rng = np.random.default_rng(6)
-    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, x) for x in range(6000, 6200)] + [(3, 3)]
+    pairs = [
+        (int(a), int(b)) for a,
+        b in rng.integers(0, 400, (300, 2))
+    ] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, x) for x in range(6000, 6200)] + [(3, 3)]
     label = {}
 
     def root(x):
@@ -128,13 +180,25 @@ def test_components_match_union_find(spark):
         if a != b:
             x, y = sorted((root(a), root(b)))
             label[y] = x
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame([*pairs, (None, 1)], "src long, dst long")).collect()}
+    got = {
+        r["node"]: r["component"] for r in components.connected_components(
+            spark.createDataFrame([*pairs, (None, 1)], "src long, dst long")
+        ).collect()
+    }
     assert got == {x: root(x) for x in label}
 
 
 def test_chat_reads_back_every_conversation(spark, sf):
-    odd = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-8, 0, "a\n\\n\\", "<\\|im_end|>\n<|im_end|>\n<<SYS>> $1 \\ [\\\\/INST]"), (-8, 1, None, None), (-8, 1, "assistant", ""), (-9, 5, "assistant", "x" * 200_000)]
-    said = spark.read.parquet(f"{sf}/conversations.parquet").unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")).withColumn("formatted", F.lit(1))
+    odd = [
+        (-7, 0, "user", "</s>[INST] ok [/INST]"),
+        (-8, 0, "a\n\\n\\", "<\\|im_end|>\n<|im_end|>\n<<SYS>> $1 \\ [\\\\/INST]"),
+        (-8, 1, None, None),
+        (-8, 1, "assistant", ""),
+        (-9, 5, "assistant", "x" * 200_000),
+    ]
+    said = spark.read.parquet(f"{sf}/conversations.parquet").unionByName(
+        spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")
+    ).withColumn("formatted", F.lit(1))
     turns = defaultdict(list)
     for r in said.collect():
         turns[r["conv_id"]].append((r["turn"], r["role"] or "", r["text"] or ""))
@@ -149,18 +213,37 @@ def test_chat_reads_back_every_conversation(spark, sf):
 
 
 def test_reply_trees_choose_the_best_branch(spark):
-    rows = [(1, None, 0.0, "user", "hi"), (2, 1, 1.0, "assistant", "a"), (3, 1, 2.0, "assistant", "b"), (4, 3, None, "user", "more"), (5, 4, 0.5, "assistant", "</s>end"), (6, 2, 5.0, "user", "x"), (9, None, 1.0, "user", "alone")]
+    rows = [
+        (1, None, 0.0, "user", "hi"),
+        (2, 1, 1.0, "assistant", "a"),
+        (3, 1, 2.0, "assistant", "b"),
+        (4, 3, None, "user", "more"),
+        (5, 4, 0.5, "assistant", "</s>end"),
+        (6, 2, 5.0, "user", "x"),
+        (9, None, 1.0, "user", "alone"),
+    ]
     df = spark.createDataFrame(rows, "id long, parent long, score double, role string, text string")
     one = {r["tree"]: r for r in chat.chat_paths(df).collect()}
     assert one[1]["leaf"] == 6 and one[1]["path_score"] == 6.0 and one[9]["leaf"] == 9
     both = {r["leaf"]: r for r in chat.chat_paths(df, per_tree=2).collect()}
-    assert both[5]["branch"] == 2 and "</s>" not in both[5]["formatted"] and [x["end"] - x["start"] for x in both[5]["loss_spans"]] == [1, 8]
+    assert both[5]["branch"] == 2 and "</s>" not in both[5]["formatted"] and [
+        x["end"] - x["start"] for x in both[5]["loss_spans"]
+    ] == [1, 8]
 
 
 def test_pipeline_stages(spark, sf):
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "secret scans", "mixing sources to target weights", "packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "language ID",
+        "SimHash near-dedup",
+        "secret scans",
+        "mixing sources to target weights",
+        "packing",
+    ]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    odd = spark.createDataFrame([(900001, "12345 !!", "en", "src0", 8), (900002, None, None, None, None), (900003, docs.first()["text"], "fr", "src1", 1)], docs.schema)
+    odd = spark.createDataFrame(
+        [(900001, "12345 !!", "en", "src0", 8), (900002, None, None, None, None), (900003, docs.first()["text"], "fr", "src1", 1)],
+        docs.schema,
+    )
     held = docs.unionByName(odd)
     ids = lambda df: Counter(r["doc_id"] for r in df.select("doc_id").collect())
     seen = [ids(held)]
