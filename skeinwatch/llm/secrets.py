@@ -21,6 +21,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwatch.llm.common import cuts, folded, maybe_among, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -67,7 +69,10 @@ def _walk(items) -> tuple[list, set[str] | None]:
         if kind is op.LITERAL:
             strings = {chr(value).lower()}
         elif kind is op.IN and value[0][0] is not op.NEGATE:
-            chars = {chr(c).lower() for k, v in value if k in (op.LITERAL, op.RANGE) for c in ([v] if k is op.LITERAL else range(v[0], min(v[1], v[0] + 99) + 1))}
+            chars = {
+                chr(c).lower() for k,
+                v in value if k in (op.LITERAL, op.RANGE) for c in ([v] if k is op.LITERAL else range(v[0], min(v[1], v[0] + 99) + 1))
+            }
             strings = chars if len(chars) <= _CLASS and all(k in (op.LITERAL, op.RANGE) for k, _ in value) else None
         elif kind is op.SUBPATTERN:
             inner, strings = _walk(value[-1])
@@ -109,7 +114,9 @@ def trigrams_of(rules: tuple[Rule, ...]) -> list[str]:
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index: trigram and doc_id, for the trigrams asked for, over lower-cased whole texts."""
     lowered = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("__low"))
-    found = F.array_compact(F.array(*(F.when(F.col("__low").contains(t), F.lit(t)) for t in trigrams))) if trigrams else F.array().cast("array<string>")
+    found = F.array_compact(
+        F.array(*(F.when(F.col("__low").contains(t), F.lit(t)) for t in trigrams))
+    ) if trigrams else F.array().cast("array<string>")
     return lowered.select("doc_id", F.explode(found).alias("trigram"))
 
 
@@ -119,7 +126,13 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     words = range(max(1, -(-len(known) // 62)))
     place = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     held = index.select("doc_id", place[F.col("trigram")].alias("__i"))
-    masks = held.groupBy("doc_id").agg(*(F.bit_or(F.when(F.floor(F.col("__i") / 62) == w, F.expr("shiftleft(1L, __i % 62)")).otherwise(F.lit(0).cast("long"))).alias(f"__w{w}") for w in words))
+    masks = held.groupBy("doc_id").agg(
+        *(
+            F.bit_or(
+                F.when(F.floor(F.col("__i") / 62) == w, F.expr("shiftleft(1L, __i % 62)")).otherwise(F.lit(0).cast("long"))
+            ).alias(f"__w{w}") for w in words
+        )
+    )
 
     def has(needs: frozenset[str]) -> Column:
         masks_ = [sum(1 << known[t] % 62 for t in needs if known[t] // 62 == w) for w in words]
@@ -132,44 +145,57 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return masks.select("doc_id", F.array_compact(F.array(*asked)).alias("__rules")).where(F.size("__rules") > 0)
 
 
+_SPAN = "struct<start:int,kind:int,end:int,name:string>"
+
+
 def match_spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, kind, end, name>> of one rule's matches; kind is the rule's place in the listing."""
     regex = F.lit(rule.regex)
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    span = lambda start, size: F.struct(start.cast("int").alias("start"), F.lit(order).alias("kind"), (start + size).cast("int").alias("end"), F.lit(rule.kind).alias("name"))
-    rows = F.arrays_zip(
-        F.transform(F.split(text, rule.regex), F.length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length).alias("size"),
-        F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), F.length).alias("held"),
-    )
-    rows = F.filter(rows, lambda x: x["size"].isNotNull())
-
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        return F.struct((start + x["size"]).alias("at"), F.when(x["held"] >= rule.least, F.concat(acc["out"], F.array(span(start, x["size"])))).otherwise(acc["out"]).alias("out"))
+    empty = F.array().cast(f"array<{_SPAN}>")
+    hits = F.regexp_extract_all(text, regex, F.lit(0))
+    rows = [F.transform(F.split(text, rule.regex), F.length).alias("gap"), F.transform(hits, F.length).alias("size")]
+    if rule.group:
+        rows.append(F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), F.length).alias("held"))
+    rows = F.filter(F.arrays_zip(*rows), lambda x: x["size"].isNotNull())
+
+    def step(at, x):
+        start, end = at + x["gap"], at + x["gap"] + x["size"]
+        span = F.struct(
+            start.cast("int").alias("start"),
+            F.lit(order).alias("kind"),
+            end.cast("int").alias("end"),
+            F.lit(rule.kind).alias("name"),
+        )
+        return end, F.when(x["held" if rule.group else "size"] >= rule.least, F.array(span)).otherwise(empty)
+
+    return F.when(text.rlike(rule.regex), folded(rows, F.lit(0), step, _SPAN)).otherwise(empty)
 
-    def chunk(acc, part):  # spans are gathered in chunks, so that appending stays cheap in a text of very many matches
-        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
-        return F.element_at(F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out"))), 1)
 
-    parts = F.transform(F.array(rows), lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r), F.lit(1)), F.lit(512)), lambda i: F.slice(r, i, 512)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,end:int,name:string>>>").alias("out"))
-    spans = F.aggregate(F.element_at(parts, 1), start, chunk, lambda acc: F.flatten(acc["out"]))
-    return F.when(text.rlike(rule.regex), spans).otherwise(empty)
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with `__spans`: every verified match of every rule, by start, then by the rules' order.
 
+    Only texts whose doc_id may be among the candidates (by a bitmap of bounded size) are shuffled to the join with them.
+    """
+    found = written(candidates(postings(docs, trigrams_of(rules)), rules).withColumnRenamed("doc_id", "__doc_id"), "candidates")
+    marked = maybe_among(docs, found.select(F.col("__doc_id").alias("doc_id")), "doc_id")
+    likely = marked.where("__maybe").drop("__maybe")
+    joined = likely.join(found, likely["doc_id"].eqNullSafe(found["__doc_id"]), "left").drop("__doc_id")
+    rest = marked.where("not __maybe").drop("__maybe").withColumn("__rules", F.lit(None).cast("array<int>"))
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with `__spans`: every verified match of every rule, by start, then by the rules' order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    index = postings(docs, trigrams_of(rules))
-    found = candidates(index, rules).withColumnRenamed("doc_id", "__doc_id")
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__doc_id"]), "left").drop("__doc_id")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,name:string>>")
-    spans = []
-    for i, rule in enumerate(rules):
-        own = match_spans(text, rule, i)
-        spans.append(F.when(F.coalesce(F.array_contains("__rules", i), F.lit(False)), own).otherwise(none) if trigram_query(rule.regex) else own)
-    return joined.withColumn("__spans", F.array_sort(F.concat(*spans))).drop("__rules")
+    none = F.array().cast(f"array<{_SPAN}>")
+    indexed = [i for i, rule in enumerate(rules) if trigram_query(rule.regex)]
+
+    def spans(asked: bool) -> Column:
+        out = []
+        for i, rule in enumerate(rules):
+            if i not in indexed:
+                out.append(match_spans(text, rule, i))
+            elif asked:
+                out.append(F.when(F.coalesce(F.array_contains("__rules", i), F.lit(False)), match_spans(text, rule, i)).otherwise(none))
+        return F.array_sort(F.concat(*out)) if out else none
+
+    return joined.withColumn("__spans", spans(True)).unionByName(rest.withColumn("__spans", spans(False))).drop("__rules")
 
 
 def _listed(spans: Column) -> Column:
@@ -184,25 +210,33 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
         return F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long").alias(f"n_{BASE[i].kind}")
 
     counts = map(number, range(len(BASE)))
-    return scan(docs.select("doc_id", "text"), rules).select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"))
+    return scan(docs.select("doc_id", "text"), rules).select(
+        "doc_id",
+        *counts,
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(spans).alias("spans"),
+    )
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mark (overlapping spans by one) and n_chars brought up to date; null texts stay null."""
     kept = docs.columns
-    hit = scan(docs, rules)
     text = F.col("text")
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def merge(acc, s):
-        joins = (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"])
-        last = F.element_at(acc, -1)
-        wider = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(joins, wider).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    def merge(held, s):
+        """held: the span so far, which overlapping ones widen; one that begins behind it lets it go."""
+        behind = s["start"] >= held["end"]
+        next_ = F.when(behind, pair(s["start"], s["end"])).otherwise(pair(held["start"], F.greatest(held["end"], s["end"])))
+        return next_, F.when(behind & (held["end"] > 0), F.array(held)).otherwise(none)
 
-    merged = F.aggregate("__spans", F.array().cast("array<struct<start:int,end:int>>"), merge)
+    first = pair(F.lit(0), F.lit(0))
+    merged = folded(F.col("__spans"), first, merge, "struct<start:int,end:int>", last=lambda held: F.array(held))
     ends = F.concat(F.array(F.lit(0)), F.transform("__merged", lambda s: s["end"]))
     starts = F.concat(F.transform("__merged", lambda s: s["start"]), F.array(F.length(text)))
-    pieces = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.substring(text, x["a"] + 1, x["b"] - x["a"]))
-    clean = F.when(text.isNotNull() & (F.size("__spans") > 0), F.array_join(pieces, mark)).otherwise(text)
-    done = hit.withColumn("__merged", merged).withColumn("text", clean)
+    gaps = F.arrays_zip(ends.alias("start"), starts.alias("end"))
+    done = scan(docs, rules).withColumn("__hit", text.isNotNull() & (F.size("__spans") > 0))
+    done = done.withColumn("__merged", F.when(F.col("__hit"), merged))
+    done = done.withColumn("text", F.when(F.col("__hit"), F.array_join(cuts(text, gaps), mark)).otherwise(text))
     return (done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in kept else done).select(*kept)
