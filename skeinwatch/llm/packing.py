@@ -4,8 +4,9 @@ The global histogram of sequence lengths goes through dynamic programming that c
 padding. Each sequence is padded to its bucket's bound, and batches of at most token_budget padded tokens form inside
 each bucket.
 
-Lengths are words plus one end token, so null and empty texts are sequences of one token; another length column may be
-given. Documents over max_len are cut into pieces of max_len tokens, none is dropped. The histogram has at most max_len
+Lengths are a vocabulary's tokens (a rank file's path) plus one end token, and each piece then carries the span of text
+that its tokens cover; without a vocabulary they are words plus one, or a given length column. Null and empty texts are
+sequences of one token. Documents over max_len are cut into pieces of max_len tokens, none is dropped. The histogram has at most max_len
 rows, whatever the corpus. Places within a bucket are numbered part by part: parts are hash slices of about part_rows
 rows, and each is offset by the counts of those before it, so that no bucket is sorted in one task. Repeated rows are
 packed each; rows of equal hash and id are ordered by piece.
@@ -14,11 +15,13 @@ packed each; rows of equal hash and id are ordered by piece.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinwatch.llm.common import word_count, written
+from skeinwatch.llm.common import sliced, word_count, written
+from skeinwatch.llm.token_counts import token_spans
 
 MAX_LEN = 2048
 BUCKETS = 8
@@ -69,18 +72,74 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
 
 def pieces(docs: DataFrame, max_len: int, length: Column | None = None) -> DataFrame:
     """doc_id, piece, start, n_tokens: each document cut into runs of max_len tokens."""
-    n = F.greatest(F.coalesce(length, F.lit(0)).cast("long"), F.lit(1).cast("long")) if length is not None else word_count(F.col("text")) + 1
+    n = F.greatest(
+        F.coalesce(length, F.lit(0)).cast("long"),
+        F.lit(1).cast("long"),
+    ) if length is not None else word_count(F.col("text")) + 1
     sized = docs.select("doc_id", n.alias("__n"))
     cut = sized.select("doc_id", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / max_len))).alias("piece"))
     start = F.col("piece") * max_len
-    return cut.select("doc_id", F.col("piece").cast("int").alias("piece"), start.alias("start"), F.least(F.lit(max_len).cast("long"), F.col("__n") - start).cast("int").alias("n_tokens"))
+    return cut.select(
+        "doc_id",
+        F.col("piece").cast("int").alias("piece"),
+        start.alias("start"),
+        F.least(F.lit(max_len).cast("long"), F.col("__n") - start).cast("int").alias("n_tokens"),
+    )
 
 
-def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, length: Column | None = None, part_rows: int = PART_ROWS) -> DataFrame:
-    """doc_id, piece, start, n_tokens, bucket_len, batch, slot: every piece's bucket, batch within it and place in that."""
+def encoded_pieces(docs: DataFrame, max_len: int, vocabulary: str) -> DataFrame:
+    """doc_id, piece, start, n_tokens, text_start, text_end: runs of max_len tokens of the encoded whole text and one end
+    token, with the code points that they cover. A character whose bytes fall into two pieces is in the spans of both."""
+
+    def cut(batches):
+        for batch in sliced(batches):
+            at, columns = [], [[] for _ in range(5)]
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                starts, ends = token_spans(text, vocabulary) if text else (np.zeros(0, np.int64),) * 2
+                n = len(starts)
+                first = np.arange(0, n + 1, max_len)
+                stop = np.minimum(first + max_len, n + 1)
+                a = np.append(starts, ends[-1:] if n else [0])[first]
+                z = np.append(ends, ends[-1:] if n else [0])[np.maximum(np.minimum(stop, n) - 1, 0)]
+                at.append(np.full(len(first), i))
+                for column, values in zip(columns, (np.arange(len(first)), first, stop - first, a, np.maximum(a, z)), strict=True):
+                    column.append(values)
+            flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
+            kinds = (np.int32, np.int64, np.int32, np.int32, np.int32)
+            ids = batch.column(0).take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v.astype(k)) for v, k in zip(flat, kinds, strict=True))], names=names)
+
+    schema = docs.select("doc_id").schema
+    for name, kind in (
+        ("piece", "integer"),
+        ("start", "long"),
+        ("n_tokens", "integer"),
+        ("text_start", "integer"),
+        ("text_end", "integer"),
+    ):
+        schema = schema.add(name, kind)
+    names = schema.names
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+
+
+def pack(
+    docs: DataFrame,
+    max_len: int = MAX_LEN,
+    buckets: int = BUCKETS,
+    token_budget: int = TOKEN_BUDGET,
+    length: Column | None = None,
+    part_rows: int = PART_ROWS,
+    vocabulary: str | None = None,
+) -> DataFrame:
+    """doc_id, piece, start, n_tokens, bucket_len, batch, slot: every piece's bucket, batch within it and place in that.
+
+    With a vocabulary also text_start and text_end, what a reader of the batch cuts from the document's text.
+    """
     if token_budget < max_len:
         raise ValueError("token_budget holds no sequence of max_len")
-    cut = written(pieces(docs, max_len, length), "pieces")
+    cut = encoded_pieces(docs, max_len, vocabulary) if vocabulary else pieces(docs, max_len, length)
+    own = cut.columns
+    cut = written(cut, "pieces")
     histogram = cut.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
     sizes, counts = np.array([r["n_tokens"] for r in histogram], dtype=np.int64), np.array([r["n"] for r in histogram], dtype=np.int64)
     bounds = optimal_bounds(sizes, counts, buckets) or [max_len]
@@ -99,4 +158,5 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_
     seq = F.col("__before") + F.row_number().over(order) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket_len")))
     placed = dealt.join(offsets, ["bucket_len", "__part"]).withColumn("__seq", seq)
-    return placed.select("doc_id", "piece", "start", "n_tokens", "bucket_len", F.floor(F.col("__seq") / room).cast("long").alias("batch"), F.pmod("__seq", room).cast("int").alias("slot"))
+    batch, slot = F.floor(F.col("__seq") / room).cast("long"), F.pmod("__seq", room).cast("int")
+    return placed.select(*own, "bucket_len", batch.alias("batch"), slot.alias("slot"))
