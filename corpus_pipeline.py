@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwatch.llm import language_id, mixing, packing, secrets, simhash
+from skeinwatch.llm import language_id, mixing, packing, secrets, simhash, token_counts
 from skeinwatch.llm.common import table, written
 
 
@@ -32,10 +32,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces in padded batches of optimal length buckets."""
-    return packing.pack(docs)
+    return packing.pack(docs, vocabulary=token_counts.VOCABULARY)
 
 
-STAGES = [("language ID", languages), ("SimHash near-dedup", near_duplicates), ("secret scans", secret_scan), ("mixing sources to target weights", mix), ("packing", pack)]
+STAGES = [
+    ("language ID", languages),
+    ("SimHash near-dedup", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mix),
+    ("packing", pack),
+]
 #: Rank-order profiles, XXH64 fingerprints and the length DP have no SQL form; tests hold stages against brute force.
 ORACLE_SQL = None
 
