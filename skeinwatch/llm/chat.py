@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinwatch.llm.common import written
+from skeinwatch.llm.common import cuts, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: What must not stand inside a text, without its first character: marks of this template and of the [INST] family.
@@ -51,7 +51,14 @@ def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataF
     messages: id, parent (null at a root), score (null counts as 0).
     """
     ids = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    nodes = written(ids.join(ids.select(F.col("id").alias("__p")), F.col("parent") == F.col("__p"), "left").select("id", F.col("__p").alias("up"), "score"), "messages")
+    nodes = written(
+        ids.join(
+            ids.select(F.col("id").alias("__p")),
+            F.col("parent") == F.col("__p"),
+            "left",
+        ).select("id", F.col("__p").alias("up"), "score"),
+        "messages",
+    )
     jump = nodes.select("id", "up")
     leaves = nodes.join(nodes.where("up is not null").select(F.col("up").alias("id")).distinct(), "id", "left_anti")
     reach = written(leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("height")), "reach")
@@ -60,7 +67,13 @@ def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataF
         known = jump.where("up is not null")
         further = reach.join(known, "id").select("leaf", F.col("up").alias("id"), (F.col("height") + step).alias("height"))
         reach = written(reach.unionByName(further), "reach")
-        jump = written(known.alias("a").join(known.select(F.col("id").alias("up"), F.col("up").alias("__next")), "up").select("id", F.col("__next").alias("up")), "jump")
+        jump = written(
+            known.alias("a").join(
+                known.select(F.col("id").alias("up"), F.col("up").alias("__next")),
+                "up",
+            ).select("id", F.col("__next").alias("up")),
+            "jump",
+        )
         step *= 2
         if jump.isEmpty():
             break
@@ -70,26 +83,29 @@ def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataF
     of_leaf = path.groupBy("leaf").agg(F.sum("score").alias("score"), F.max("height").alias("top"), F.max_by("id", "height").alias("tree"))
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
     chosen = of_leaf.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= per_tree)
-    return path.join(chosen.select("leaf", "tree", "top", F.col("__rank").alias("branch"), F.col("score").alias("path_score")), "leaf").select("tree", "leaf", "branch", "path_score", (F.col("top") - F.col("height")).alias("depth"), "id")
+    return path.join(
+        chosen.select("leaf", "tree", "top", F.col("__rank").alias("branch"), F.col("score").alias("path_score")),
+        "leaf",
+    ).select("tree", "leaf", "branch", "path_score", (F.col("top") - F.col("height")).alias("depth"), "id")
 
 
 def formatted(turns: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """keys, formatted, loss_spans (start, end in code points of each assistant text): one row a conversation."""
+    """keys, formatted, loss_spans (start, end in code points of each assistant text): one row a conversation.
+
+    A turn's place is a running sum over its conversation, in the order in which the turns are joined.
+    """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(OPEN), _role_out(role), F.lit("\n"))
-    turn = F.struct(F.col(order).alias("o"), head.alias("head"), escaped(text).alias("body"), (role == LOSS_ROLE).alias("loss"))
-    rows = turns.select(*keys, turn.alias("turn")).groupBy(*keys).agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    rows = turns.select(*keys, F.col(order).alias("o"), head.alias("head"), escaped(text).alias("body"), (role == LOSS_ROLE).alias("loss"))
+    rows = rows.withColumn("size", F.length("head") + F.length("body") + len(CLOSE))
+    end = F.sum("size").over(Window.partitionBy(*keys).orderBy("o", "head", "body").rowsBetween(Window.unboundedPreceding, 0))
+    turn = F.struct("o", "head", "body", "loss", (end - len(CLOSE)).cast("int").alias("end"))
+    rows = rows.select(*keys, turn.alias("turn")).groupBy(*keys).agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
-    sizes = F.transform("turns", lambda t: F.struct(F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"), t["loss"].alias("loss")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc, s):
-        start = acc["at"] + s["head"]
-        end = start + s["body"]
-        spans = F.when(s["loss"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((end + len(CLOSE)).alias("at"), spans.alias("spans"))
-
-    spans = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    spans = F.transform(
+        F.filter("turns", lambda t: t["loss"]),
+        lambda t: F.struct((t["end"] - F.length(t["body"])).alias("start"), t["end"].alias("end")),
+    )
     return rows.select(*keys, whole.alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -97,7 +113,13 @@ def read_back(text: Column) -> Column:
     """array<struct<role, text>> of a formatted conversation."""
     parts = F.split(text, r"<\|im_end\|>\n")
     parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return F.transform(parts, lambda p: F.struct(_role_in(F.regexp_extract(p, r"(?s)^<\|im_start\|>([^\n]*)\n", 1)).alias("role"), unescaped(F.regexp_extract(p, r"(?s)^<\|im_start\|>[^\n]*\n(.*)$", 1)).alias("text")))
+    return F.transform(
+        parts,
+        lambda p: F.struct(
+            _role_in(F.regexp_extract(p, r"(?s)^<\|im_start\|>([^\n]*)\n", 1)).alias("role"),
+            unescaped(F.regexp_extract(p, r"(?s)^<\|im_start\|>[^\n]*\n(.*)$", 1)).alias("text"),
+        ),
+    )
 
 
 def chat_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
@@ -114,7 +136,14 @@ def as_replies(conversations: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("__n", F.row_number().over(order))
     key = lambda n: F.struct("conv_id", n.alias("n"))
-    return rows.select("conv_id", key(F.col("__n")).alias("id"), F.when(F.col("__n") > 1, key(F.col("__n") - 1)).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    return rows.select(
+        "conv_id",
+        key(F.col("__n")).alias("id"),
+        F.when(F.col("__n") > 1, key(F.col("__n") - 1)).alias("parent"),
+        F.lit(0.0).alias("score"),
+        "role",
+        "text",
+    )
 
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
@@ -123,7 +152,14 @@ def chat_digest(conversations: DataFrame) -> DataFrame:
     turns, loss = F.col("__turns"), F.col("__loss")
     read = chats.select(
         F.col("tree")["conv_id"].alias("conv_id"), "formatted", read_back(F.col("formatted")).alias("__turns"),
-        F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "").alias("__loss"),
+        F.array_join(F.transform(cuts(F.col("formatted"), F.col("loss_spans")), unescaped), "").alias("__loss"),
     )
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
