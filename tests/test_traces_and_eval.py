@@ -318,7 +318,7 @@ def test_outbox_stream_is_safe_to_repeat(spark, tmp_path):
         spark.createDataFrame(rows, log).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
         source = spark.readStream.schema(log).parquet(str(tmp_path / "log"))
         streams.pending_dispatch_stream(source, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert [r["trace_id"] for r in spark.read.parquet(str(tmp_path / "out" / "pending")).collect()] == ["u"]
+    assert [r["trace_id"] for r in streams.read_pending(spark, str(tmp_path / "out")).collect()] == ["u"]
 
 
 def test_scenarios_from_files(spark, tmp_path):
