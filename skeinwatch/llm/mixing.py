@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinwatch.llm.common import word_count, written
+from skeinwatch.llm.common import scratch, word_count, written
 
 BLOCK_TOKENS = 10_000
 REPETITION = 2.0
@@ -52,7 +52,12 @@ def _mixes(totals: DataFrame, exponents: list[float]) -> DataFrame:
         F.min(F.col("w") / F.col("p")).alias("lo"),
     )
     entropy = F.log2("z") - F.col("wl") / F.col("z")
-    return sums.select("exponent", entropy.alias("entropy"), (F.col("hi") / F.col("lo")).alias("spread"), (F.col("hi") / F.col("z")).alias("most"))
+    return sums.select(
+        "exponent",
+        entropy.alias("entropy"),
+        (F.col("hi") / F.col("lo")).alias("spread"),
+        (F.col("hi") / F.col("z")).alias("most"),
+    )
 
 
 def solve_exponent(totals: DataFrame, repetition: float | None = None, entropy: float | None = None, budget: float | None = None) -> float:
@@ -124,7 +129,9 @@ def cut_offs(sized: DataFrame, plan: DataFrame, sources: int, seed: int) -> Data
 
     slices = blocks.groupBy("source", "rest", "slice").agg(F.sum("size").alias("size"))
     before = F.sum("size").over(Window.partitionBy("source").orderBy("slice")) - F.col("size")
-    slices = slices.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest")))
+    slices = slices.withColumn("before", before).where(
+        (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest"))
+    )
     edge = slices.select(F.col("source").alias("__s"), F.col("slice").alias("edge"), "before")
     inner = blocks.join(edge, F.col("source").eqNullSafe(F.col("__s")) & (F.col("slice") == F.col("edge"))).drop("__s")
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("o", "block"))
@@ -164,12 +171,13 @@ def planned(
 ) -> tuple[DataFrame, DataFrame, int]:
     """The documents' sizes (doc_id, source, n_tokens), written; the plan with cut-offs, written; its number of sources."""
     size = length if length is not None else n_tokens()
-    slim = written(docs.select("doc_id", "source", size.alias("n_tokens")), "sizes")
-    totals = written(source_totals(slim), "totals")
-    exponent = solve_exponent(totals, repetition, entropy, budget)
-    plan = written(mix_plan(totals, exponent, budget, block_tokens), "plan")
-    sources = plan.count()
-    return slim, written(cut_offs(slim, plan, sources, seed), "cut-offs"), sources
+    with scratch(docs.sparkSession):
+        slim = written(docs.select("doc_id", "source", size.alias("n_tokens")), "sizes", keep=True)
+        totals = written(source_totals(slim), "totals")
+        exponent = solve_exponent(totals, repetition, entropy, budget)
+        plan = written(mix_plan(totals, exponent, budget, block_tokens), "plan")
+        sources = plan.count()
+        return slim, written(cut_offs(slim, plan, sources, seed), "cut-offs", keep=True), sources
 
 
 def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:

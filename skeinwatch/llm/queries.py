@@ -43,11 +43,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary=token_counts.VOCABULARY)
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
 def op10_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +58,17 @@ def op10_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(said.unionByName(planted))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_ann_forest, op4_simhash_golay, op5_exact_topk, op6_secret_scan, op7_url_filter, op8_length_buckets, op9_temperature_mix, op10_chat_paths)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_language_id,
+        op2_token_counts,
+        op3_ann_forest,
+        op4_simhash_golay,
+        op5_exact_topk,
+        op6_secret_scan,
+        op7_url_filter,
+        op8_length_buckets,
+        op9_temperature_mix,
+        op10_chat_paths,
+    )
+}

@@ -254,7 +254,10 @@ def changed(words, at, tag):
     return [f"{tag}{i}" if i in at else w for i, w in enumerate(words)]
 
 
-def test_near_duplicates_match_brute_force_on_star_chain_and_template(spark):
+@pytest.mark.parametrize("heavy", [128, 6])
+def test_near_duplicates_match_brute_force_on_star_chain_and_template(spark, monkeypatch, heavy):
+    monkeypatch.setattr(simhash, "HEAVY", heavy)  # a small one moves the template's shingles to the end of the order
+    monkeypatch.setattr(simhash, "SAMPLE_DOCS", 10)
     rng = np.random.default_rng(4)
     texts = []
     hub = [f"h{i}" for i in range(400)]
