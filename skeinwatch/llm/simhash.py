@@ -420,7 +420,7 @@ def _prefix_pairs(made: DataFrame, docs: DataFrame, sketch: _Sketch) -> DataFram
     rows, main = _meeting(made)
     heavy = written(main.where(F.col("rest") > HEAVY).select("shingle"), "heavy")
     if not heavy.isEmpty():
-        made = _reordered(made, docs, heavy, sketch)
+        made = written(_reordered(made, docs, heavy, sketch), "prefixes")
         rows, main = _meeting(made)
     a, b = rows.join(main, "shingle").where("component <> main").alias("a"), rows.alias("b")
     col = lambda side, name: F.col(f"{side}.{name}")
@@ -497,7 +497,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, similarity: float = 0.
     marked = maybe_among(reps.drop("x", "y", "fp", "bands"), moved, "rep")
     likely = marked.where("__maybe").join(moved, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = marked.where("not __maybe").withColumn("component", F.col("rep")).unionByName(likely).drop("__maybe")
-    candidates = written(_prefix_pairs(parts, docs, sketch), "pairs")
+    candidates = written(_prefix_pairs(written(parts, "prefixes"), docs, sketch), "pairs")
     rest = _verified(candidates, docs, size, similarity)
     side = lambda name, out: of.select(F.col("rep").alias(name), F.col("component").alias(out))
     rest = rest.join(side("src", "__a"), "src").join(side("dst", "__b"), "dst").select(F.col("__a").alias("src"), F.col("__b").alias("dst"))
