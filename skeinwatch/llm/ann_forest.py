@@ -10,30 +10,35 @@ more. For inner products a component is added that brings every indexed vector t
 product is the nearest point. The number of leaves is calibrated on the sample against brute force for a recall target;
 leaves that outgrow LEAF_ROWS are scored in several parts, all of them (no bucket is capped).
 
-Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length
-than the most frequent one. Ties go to the smaller id. Repeated rows (same id and vector) count once.
+Vectors that are null, empty, zero or hold null or non-finite components take no part; queries meet vectors of their own
+length only. The FORESTS most frequent lengths have a forest each; rarer ones are one leaf a length, scored exactly. Ties
+go to the smaller id. Repeated rows (same id and vector) count once.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skeinwatch.llm.common import written
-from skeinwatch.llm.vectors import matrix, nonzero, whole
+from skeinwatch.llm.common import sliced, written
+from skeinwatch.llm.vectors import first_found, gathered, matrix, merged, nonzero, whole
 
 SAMPLE = 20_000
 TREES = 8
 LEAVES, LEAF_MEAN = 64, 1024  # a tree has the larger of LEAVES and rows / LEAF_MEAN leaves, with 16 vectors of the sample in each at least
 LEAF_ROWS = 4096
 PROBES = 256  # queries scored together against one leaf
+HELD = 32 << 20  # bytes of vectors that a task packs by leaf before it passes them on
 RECALL = 0.97
+FORESTS = 8  # lengths of vectors, the most frequent ones, that have a forest
 
 
 class Forest:
@@ -121,7 +126,14 @@ def _lifted(points: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, sample_rows: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def nearest(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 20,
+    trees: int = TREES,
+    sample_rows: int = SAMPLE,
+    recall: float = RECALL,
+) -> DataFrame:
     """query_id, rank, vec_id, score: k rows of largest inner product found for each query, itself left out.
 
     vectors and queries have vec_id and embedding; queries are rows of vectors.
@@ -132,68 +144,164 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TR
     def valid(df):
         e = F.col("embedding")
         v = F.transform(e, lambda x: x.cast("double") + F.lit(0.0))
-        return df.where(F.col("vec_id").isNotNull() & whole(e)).where(nonzero(e)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+        return df.where(F.col("vec_id").isNotNull() & whole(e)).where(nonzero(e)).select(
+            F.col("vec_id").cast("long").alias("vec_id"),
+            v.alias("v"),
+        )
 
-    usual = valid(vectors).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if usual is None:
+    counts = valid(vectors).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(FORESTS + 1).collect()
+    if not counts:
         return spark.createDataFrame([], result)
-    rows = valid(vectors).where(F.size("v") == usual["dim"])
-    points = written(rows.groupBy("v").agg(F.min("vec_id").alias("rep")), "points")
-    copies = rows.distinct().join(points, "v").select("rep", "vec_id")
-    copies = copies.withColumn("__n", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("__n") <= k + 1).select("rep", "vec_id")
-    asked = written(valid(queries).where(F.size("v") == usual["dim"]).distinct().join(points, "v").select("vec_id", "rep"), "asked")
+    common, kind = [r["dim"] for r in counts[:FORESTS]], vectors.schema["embedding"].dataType
+    of = lambda df, test: valid(df.where(test(F.size("embedding"))))
+    tests = [(lambda size, n=n: size == n) for n in common]
+    found = [_nearest(of(vectors, t), of(queries, t), kind, k, trees, sample_rows, recall) for t in tests]
+    if len(counts) > FORESTS:
+        rare = lambda size: ~size.isin(common)
+        found.append(_nearest(of(vectors, rare), of(queries, rare), kind, k))
+    return reduce(DataFrame.unionByName, found)
+
 
+def _fitted(points: DataFrame, k: int, trees: int, sample_rows: int, recall: float) -> tuple[Forest, float, int]:
+    """The forest, the greatest length of a vector, and how many leaves a query takes."""
     n, longest = points.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    drawn = points.select("v", F.xxhash64("rep").alias("__h")).where(F.pmod(F.col("__h"), F.lit(1 << 30)) < F.lit(min(1.0, 1.1 * sample_rows / n) * (1 << 30)))
+    share = F.lit(min(1.0, 1.1 * sample_rows / n) * (1 << 30))
+    drawn = points.select("v", F.xxhash64("rep").alias("__h")).where(F.pmod(F.col("__h"), F.lit(1 << 30)) < share)
     plain = np.array([r["v"] for r in drawn.orderBy("__h").limit(sample_rows).select("v").collect()])
     plain = plain if len(plain) else np.array([r["v"] for r in points.orderBy("rep").limit(1).collect()])
     lifted = _lifted(plain, longest * (1 + 1e-12))
     forest = Forest(lifted, trees, max(LEAVES, n // LEAF_MEAN))
-    take = calibrated(forest, lifted, plain, k, recall)
-
-    def route(batches):
-        for batch in batches:
-            own = _lifted(matrix(batch.column(1)), longest * (1 + 1e-12))
-            leaves = forest.leaf_of(own)
-            at = np.repeat(np.arange(len(own)), leaves.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(leaves.reshape(-1)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["leaf", "rep", "v"])
-
-    def walk(batches):
-        for batch in batches:
-            own = matrix(batch.column(1))
-            found = [forest.nearest_leaves(np.append(q / np.linalg.norm(q), 0.0), take) for q in own]
-            at = np.repeat(np.arange(len(own)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array([y for x in found for y in x], pa.int64()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["leaf", "rep", "v"])
+    return forest, longest, calibrated(forest, lifted, plain, k, recall)
+
+
+def _nearest(
+    rows: DataFrame,
+    queries: DataFrame,
+    kind: T.ArrayType,
+    k: int,
+    trees: int = 0,
+    sample_rows: int = 0,
+    recall: float = 1.0,
+) -> DataFrame:
+    """nearest for ready vectors (vec_id, v): of one length by a forest, or without trees of several, each of them one leaf."""
+    spark = rows.sparkSession
+    points = written(rows.groupBy("v").agg(F.min("vec_id").alias("rep")), "points")
+    copies = rows.distinct().join(points, "v").select("rep", "vec_id")
+    copies = copies.withColumn(
+        "__n",
+        F.row_number().over(Window.partitionBy("rep").orderBy("vec_id")),
+    ).where(F.col("__n") <= k + 1).select("rep", "vec_id")
+    asked = written(queries.distinct().join(points, "v").select("vec_id", "rep"), "asked")
+
+    forest, longest, take = _fitted(points, k, trees, sample_rows, recall) if trees else (None, 0.0, 0)
+    held = np.dtype(np.float32 if kind.elementType.typeName() == "float" else np.float64)  # exact
+
+    def blocks(leaves_of):
+        """leaf, n, ids, data: the vectors of a partition (id, v) by leaf, packed; at most HELD bytes wait in a task."""
+
+        def flush(waiting):
+            leaf, at, ids, data = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            order = np.argsort(leaf, kind="stable")
+            leaf, at = leaf[order], at[order]
+            begins = np.flatnonzero(np.diff(leaf, prepend=leaf[0] - 1))
+            groups = np.split(at, begins[1:])
+            sizes, packed = pa.array([len(g) for g in groups], pa.int32()), lambda x: pa.array(
+                [x[g].tobytes() for g in groups],
+                pa.binary(),
+            )
+            return pa.RecordBatch.from_arrays(
+                [pa.array(leaf[begins]), sizes, packed(ids), packed(data)],
+                names=["leaf", "n", "ids", "data"],
+            )
+
+        def work(batches):
+            waiting: dict[int, list] = {}
+            size = 0
+            for batch in sliced(batches, 2048):
+                lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                for dim in np.unique(lengths).tolist():
+                    part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                    own, rows_ = matrix(part.column(1)), waiting.setdefault(dim, [])
+                    leaf, at = leaves_of(own)
+                    seen = sum(len(x[2]) for x in rows_)
+                    rows_.append((leaf, at + seen, part.column(0).to_numpy(zero_copy_only=False), own.astype(held)))
+                    size += len(leaf) * dim * held.itemsize
+                if size > HELD:
+                    yield from map(flush, waiting.values())
+                    waiting, size = {}, 0
+            yield from map(flush, waiting.values())
+
+        return work
+
+    def alone(own):
+        return np.full(len(own), -1 - own.shape[1]), np.arange(len(own))
+
+    def members_of(own):
+        if forest is None:
+            return alone(own)
+        leaves = forest.leaf_of(_lifted(own, longest * (1 + 1e-12)))
+        return leaves.reshape(-1), np.repeat(np.arange(len(own)), leaves.shape[1])
+
+    def probes_of(own):
+        if forest is None:
+            return alone(own)
+        found = [forest.nearest_leaves(np.append(q / np.linalg.norm(q), 0.0), take) for q in own]
+        return np.array([y for x in found for y in x], dtype=np.int64), np.repeat(np.arange(len(own)), [len(x) for x in found])
 
     def parts(df, size):
-        """One row a leaf and part: ids and vectors of about `size` rows at most, part by hash."""
-        sizes = df.groupBy("leaf").agg(F.ceil(F.count("*") / size).cast("int").alias("__parts"))
-        dealt = df.join(sizes, "leaf").withColumn("__part", F.pmod(F.xxhash64("rep"), F.col("__parts")))
-        return dealt.groupBy("leaf", "__part").agg(F.collect_list("rep").alias("reps"), F.flatten(F.collect_list("v")).alias("vs"))
+        """leaf, ids, data: lists of blocks, of about `size` rows together, dealt by hash."""
+        sizes = df.groupBy("leaf").agg(F.ceil(F.sum("n") / size).cast("int").alias("__parts"))
+        dealt = df.join(sizes, "leaf").withColumn("__part", F.pmod(F.xxhash64("ids"), F.col("__parts")))
+        return dealt.groupBy("leaf", "__part").agg(F.collect_list("ids").alias("ids"), F.collect_list("data").alias("data"))
+
+    block = "leaf long, n int, ids binary, data binary"
+    members = parts(points.select("rep", "v").mapInArrow(blocks(members_of), block), LEAF_ROWS)
+    wanted = asked.select("rep").distinct().join(points, "rep").select("rep", "v").repartition(
+        spark.sparkContext.defaultParallelism * 2,
+        "rep",
+    )
+    probes = parts(written(wanted.mapInArrow(blocks(probes_of), block), "probes"), PROBES)
 
-    leaf_schema = "leaf long, rep long, v array<double>"
-    members = parts(points.select("rep", "v").mapInArrow(route, leaf_schema), LEAF_ROWS)
-    wanted = asked.select("rep").distinct().join(points, "rep").select("rep", "v").repartition(spark.sparkContext.defaultParallelism * 2, "rep")
-    probes = parts(written(wanted.mapInArrow(walk, leaf_schema), "probes"), PROBES)
+    def unpacked(ids, data):
+        own = np.frombuffer(b"".join(ids.as_py()), dtype=np.int64)
+        return own, np.frombuffer(b"".join(data.as_py()), dtype=held).astype(np.float64).reshape(len(own), -1)
 
     def rerank(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q = batch.column(0)[i].values.to_numpy(zero_copy_only=False)
-                qv = batch.column(1)[i].values.to_numpy(zero_copy_only=False).reshape(len(q), -1)
-                r = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
-                rv = batch.column(3)[i].values.to_numpy(zero_copy_only=False).reshape(len(r), -1)
-                s = qv @ rv.T
-                m = min(k + 1, len(r))
-                at = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                exact = (rv[at] * qv[:, None, :]).sum(axis=2)  # the same sum wherever the pair meets
-                found = pa.StructArray.from_arrays([pa.array(-exact.reshape(-1)), pa.array(r[at].reshape(-1))], names=["minus", "rep"])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * m, pa.int32()), found)], names=["q", "found"])
-
-    met = probes.select("leaf", F.col("reps").alias("q"), F.col("vs").alias("qv")).hint("merge").join(members, "leaf").select("q", "qv", "reps", "vs")
+        def scores():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    q, qv = unpacked(batch.column(0)[i], batch.column(1)[i])
+                    r, rv = unpacked(batch.column(2)[i], batch.column(3)[i])
+                    for a in range(0, len(q), PROBES):  # a part may hold more, where few blocks are large
+                        yield from best_of(q[a : a + PROBES], qv[a : a + PROBES], r, rv, k + 1)
+
+        return gathered(scores(), k + 1)
+
+    met = probes.select(
+        "leaf",
+        F.col("ids").alias("q"),
+        F.col("data").alias("qv"),
+    ).hint("merge").join(members, "leaf").select("q", "qv", "ids", "data")
     scored = met.mapInArrow(rerank, "q long, found array<struct<minus:double,rep:long>>")
-    best = scored.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("found"))
-    pairs = asked.join(best, F.col("rep") == F.col("q")).select(F.col("vec_id").alias("query_id"), F.explode("found").alias("x")).select("query_id", F.col("x.rep").alias("rep"), (-F.col("x.minus")).alias("score"))
+    best = scored.groupBy("q").agg(first_found(k + 1).alias("found"))  # a point is met in several trees
+    pairs = asked.join(best, F.col("rep") == F.col("q")).select(F.col("vec_id").alias("query_id"), F.explode("found").alias("x"))
+    pairs = pairs.select("query_id", F.col("x.rep").alias("rep"), (-F.col("x.minus")).alias("score"))
     near = pairs.join(copies, "rep").where(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def best_of(q: np.ndarray, qv: np.ndarray, r: np.ndarray, rv: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, minus the score, row) of at least the k best rows of each query, all ties of the kth among them.
+
+    A matrix product finds those within rounding of the kth; their scores are the same sums wherever a pair meets.
+    """
+    s = qv @ rv.T
+    margin = 1e-13 * qv.shape[1] * np.linalg.norm(qv, axis=1) * np.linalg.norm(rv, axis=1).max(initial=0)
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] - margin if s.shape[1] > k else np.full(len(q), -np.inf)
+    row, col = np.nonzero(s >= least[:, None])
+    out = []
+    for a in range(0, len(row), 20_000):
+        i, j = row[a : a + 20_000], col[a : a + 20_000]
+        out.append(merged([(q[i], -(rv[j] * qv[i]).sum(axis=1), r[j])], k))
+    return out

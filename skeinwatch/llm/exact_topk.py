@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwatch.llm.common import written
-from skeinwatch.llm.vectors import packed, unpacked, whole
+from skeinwatch.llm.vectors import first_found, gathered, merged, packed, unpacked, whole
 
 BINS = 256
 ROWS = 4096  # of a block of rows
@@ -47,13 +47,19 @@ def _i64(data: bytes) -> np.ndarray:
 def _pairs(blocks: DataFrame, states: DataFrame, groups: int) -> DataFrame:
     """Each block of rows beside each block of queries of its length: query blocks are dealt to all groups of blocks."""
     dealt = states.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return blocks.alias("r").hint("merge").join(dealt.alias("q"), (F.col("r.group") == F.col("q.group")) & (F.col("r.dim") == F.col("q.dim"))).select(
+    return blocks.alias("r").hint("merge").join(
+        dealt.alias("q"),
+        (F.col("r.group") == F.col("q.group")) & (F.col("r.dim") == F.col("q.dim")),
+    ).select(
         F.col("r.dim").alias("dim"), F.col("r.ids").alias("rids"), F.col("r.data").alias("rdata"), "q.qb", F.col("q.ids").alias("qids"), F.col("q.data").alias("qdata"), "lo", "width", "need"
     )
 
 
 def _columns(batch: pa.RecordBatch):
-    return zip(*(batch.column(name).to_pylist() for name in ("dim", "rids", "rdata", "qb", "qids", "qdata", "lo", "width", "need")), strict=True)
+    return zip(
+        *(batch.column(name).to_pylist() for name in ("dim", "rids", "rdata", "qb", "qids", "qdata", "lo", "width", "need")),
+        strict=True,
+    )
 
 
 def _histograms(pairs: DataFrame) -> DataFrame:
@@ -83,7 +89,14 @@ def _histograms(pairs: DataFrame) -> DataFrame:
             yield emit(held, part)
 
     def emit(held, part):
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([part] * len(held), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in held.values()], pa.binary())], names=["qb", "part", "hist"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(held), pa.int64()),
+                pa.array([part] * len(held), pa.int32()),
+                pa.array([x.astype(np.int64).tobytes() for x in held.values()], pa.binary()),
+            ],
+            names=["qb", "part", "hist"],
+        )
 
     def add(key, rows):
         return pd.DataFrame({"qb": [key[0]], "hist": [sum(map(_i64, rows["hist"])).tobytes()]})
@@ -121,25 +134,16 @@ def _refined(states: DataFrame, hists: DataFrame) -> DataFrame:
 def _kept(pairs: DataFrame, k: int) -> DataFrame:
     """query_id, found: each task's best scores at or above the kth, ties by id, k at most a query."""
 
-    def work(batches):
+    def scores(batches):
         for batch in batches:
             for dim, rids, rdata, _, qids, qdata, lo, _, _ in _columns(batch):
                 q, qv = unpacked(qids, qdata, dim)
                 r, rv = unpacked(rids, rdata, dim)
                 s = _scores(qv, rv)
                 row, col = np.nonzero((s >= _i64(lo)[:, None]) & (q[:, None] != r[None, :]))
-                if not len(row):
-                    continue
-                score, vec = s[row, col], r[col]
-                order = np.lexsort((vec, -score, row))
-                row, score, vec = row[order], score[order], vec[order]
-                begins = np.flatnonzero(np.diff(row, prepend=-1))
-                rank = np.arange(len(row)) - np.repeat(begins, np.diff(begins, append=len(row)))
-                row, score, vec = row[rank < k], score[rank < k], vec[rank < k]
-                begins = np.flatnonzero(np.diff(row, prepend=-1))
-                found = pa.StructArray.from_arrays([pa.array(-score), pa.array(vec)], names=["minus", "vec_id"])
-                yield pa.RecordBatch.from_arrays([pa.array(q[row[begins]]), pa.ListArray.from_arrays(pa.array(np.append(begins, len(row)).astype(np.int32)), found)], names=["query_id", "found"])
+                yield merged([(q[row], -s[row, col], r[col])], k)
 
+    work = lambda batches: gathered(scores(batches), k, ("query_id", "vec_id"))
     return pairs.mapInArrow(work, "query_id long, found array<struct<minus:long,vec_id:long>>")
 
 
@@ -151,8 +155,16 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float
     spark = vectors.sparkSession
 
     def ready(df):
-        v = F.transform("embedding", lambda x: F.when(F.abs(x) < 2.0**50, F.floor(F.lit(scale) * x.cast("double")).cast("double")).otherwise(F.lit(scale) * x.cast("double")))
-        return df.where(F.col("vec_id").isNotNull() & whole(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).distinct()
+        v = F.transform(
+            "embedding",
+            lambda x: F.when(
+                F.abs(x) < 2.0**50,
+                F.floor(F.lit(scale) * x.cast("double")).cast("double"),
+            ).otherwise(F.lit(scale) * x.cast("double")),
+        )
+        return df.where(
+            F.col("vec_id").isNotNull() & whole(F.col("embedding"))
+        ).select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).distinct()
 
     rows = written(packed(ready(vectors), ROWS), "blocks")
     most, n_blocks = rows.agg(F.sum("n"), F.count("*")).first()
@@ -161,7 +173,10 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float
         return spark.createDataFrame([], result)
     groups = max(1, math.ceil(n_blocks / 2))
     blocks = rows.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    norms = ready(vectors).select(F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("s")).groupBy("dim").agg(F.sqrt(F.max("s")).alias("far"))
+    norms = ready(vectors).select(
+        F.size("v").alias("dim"),
+        F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("s"),
+    ).groupBy("dim").agg(F.sqrt(F.max("s")).alias("far"))
 
     def first(batches):
         for batch in batches:
@@ -184,5 +199,10 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float
         if states.where("open").isEmpty():
             break
         states = written(_refined(states, _histograms(_pairs(blocks, states, groups))), "queries")
-    merged = _kept(_pairs(blocks, states, groups), k).groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
-    return merged.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
+    merged = _kept(_pairs(blocks, states, groups), k).groupBy("query_id").agg(first_found(k).alias("found"))
+    return merged.select("query_id", F.posexplode("found").alias("at", "x")).select(
+        "query_id",
+        (F.col("at") + 1).alias("rank"),
+        F.col("x.vec_id").alias("vec_id"),
+        (-F.col("x.minus")).alias("score"),
+    )

@@ -13,7 +13,15 @@ def odd_rows():
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(16).astype(float).tolist(), "x") for i in range(400)]
     rows += [(i, rows[5][1], "x") for i in range(400, 480)]  # copies
-    rows += [(480, None, "x"), (481, [float("nan")] * 16, "x"), (482, [None, *[1.0] * 15], "x"), (483, [0.0] * 16, "x"), (484, [float("inf")] * 16, "x"), (485, [], "x"), (None, [1.0] * 16, "x")]
+    rows += [
+        (480, None, "x"),
+        (481, [float("nan")] * 16, "x"),
+        (482, [None, *[1.0] * 15], "x"),
+        (483, [0.0] * 16, "x"),
+        (484, [float("inf")] * 16, "x"),
+        (485, [], "x"),
+        (None, [1.0] * 16, "x"),
+    ]
     return rows + [rows[7], rows[7]]
 
 
@@ -75,6 +83,25 @@ def test_forest_recall(spark, sf):
         assert all(abs(s - float(vectors[v] @ vectors[q])) < 1e-12 for v, s in found)
 
 
+def test_forest_keeps_lengths_apart_and_ties_in_order(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(ann_forest, "FORESTS", 2)
+    rows = [(i, np.eye(6)[int(rng.integers(0, 6))].tolist(), "x") for i in range(300)]  # one-hot: whole leaves tie
+    rows += [(300 + i, rng.standard_normal(4).astype(np.float32).tolist(), "x") for i in range(60)]
+    rows += [
+        (400 + i, rng.standard_normal(3).astype(np.float32).tolist(), "x") for i in range(41)
+    ] + [(500, [1.0], "x"), (520, [2.0], "x"), (540, [1.0, 1.0], "x")]
+    df = frame(spark, rows)
+    got = collected(ann_forest.nearest(df, df.where("vec_id % 20 = 0")))
+    for dim in (1, 2, 3, 4, 6):
+        own = good([r for r in rows if len(r[1]) == dim])
+        for q, want in brute(own, 20, lambda m, q: m @ q).items():
+            if dim in (1, 2, 3, 6):
+                assert [v for v, _ in got.get(q, [])] == [v for v, _ in want], (dim, q)
+            else:
+                assert len(got[q]) == 20 and len({v for v, _ in got[q]} & {v for v, _ in want}) >= 18
+
+
 def test_forest_edge_cases(spark):
     rows = odd_rows()
     df = frame(spark, rows)
