@@ -32,14 +32,22 @@ def _before(sizes: DataFrame, keys: list[str]) -> DataFrame:
     return sizes.withColumn("__before", F.coalesce(F.sum("__rows").over(upto), F.lit(0)))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "seq", keys: list[str] = ()) -> DataFrame:
-    """df with its rows numbered from 0 in the given order, within each combination of keys if there are any."""
+def numbered(df: DataFrame, order: list[str | Column], name: str = "seq", keys: list[str] = ()) -> DataFrame:
+    """df with its rows numbered from 0 in the given order, within each combination of keys if there are any.
+
+    Rows that are equal in keys and order are told apart by an id of their own, so that any number of them is dealt to many
+    partitions. A row's place in its sorted partition is written with it; adding what lies in the partitions before needs
+    no further sort.
+    """
     keys = list(keys)
-    held = _ranged(df, [*keys, *order])
-    offsets = _before(held.groupBy(*keys, "__part").agg(F.count("*").alias("__rows")), keys).drop("__rows")
-    local = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)) - 1
-    made = joined(held.withColumn("__n", local), offsets, [*keys, "__part"])
-    return made.withColumn(name, F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
+    by = [*keys, *order, "__tie"]
+    own = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("__tie")
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # its lower 33 bits count a partition's rows
+    held = written(own.select("*", F.spark_partition_id().alias("__part"), at.alias("__at")), "ranges")
+    sizes = held.groupBy(*keys, "__part").agg(F.count("*").alias("__rows"), F.min("__at").alias("__first"))
+    offsets = _before(sizes, keys).drop("__rows")
+    made = joined(held, offsets, [*keys, "__part"])
+    return made.withColumn(name, F.col("__at") - F.col("__first") + F.col("__before")).drop("__part", "__at", "__first", "__before")
 
 
 def ranked_values(df: DataFrame, keys: list[str], value: str, asked: DataFrame) -> DataFrame:

@@ -37,6 +37,23 @@ def test_numbering_within_keys(spark, keyed):
     assert ranked.numbered(keyed.where("false"), ["v"]).count() == 0
 
 
+def test_equal_rows_are_dealt_to_many_partitions(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(ranked, "written", lambda df, name: held.append(shared.written(df, name)) or held[-1])
+    made = ranked.numbered(spark.range(1_000_000).select(F.lit("x").alias("k")), ["k"], "n")
+    assert made.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()[:] == (0, 999_999, 1_000_000)
+    sizes = [r["count"] for r in held[0].groupBy("__part").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 600_000
+
+
+def test_descending_numbers(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(50)], "k int, v int").repartition(4)
+    got = {(r["k"], r["v"]): r["n"] for r in ranked.numbered(rows, [F.desc("v")], "n", ["k"]).collect()}
+    for k in range(3):
+        down = sorted((v for kk, v in got if kk == k), reverse=True)
+        assert [got[k, v] for v in down] == list(range(len(down)))
+
+
 def test_exact_quantiles_match_numpy(keyed):
     at = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
     expected = values(keyed)
