@@ -98,6 +98,12 @@ def word_count(text: Column) -> Column:
     return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, 0).otherwise(F.size(F.split(trimmed, " +"))).cast("long")
 
 
+def field(value: Column) -> Column:
+    """A value as text that can stand beside others: its UTF-8 byte count, a colon and the value; `-` if null."""
+    text = value.cast("string")
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -1,13 +1,14 @@
-"""The ten operators' registered queries over their whole tables, and DuckDB SQL for those that SQL can express."""
+"""The operators' registered queries over their whole tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwatch.llm import ann_forest, chat, exact_topk, language_id, mixing, packing, secrets, simhash, token_counts, url_filter
+from skeinwatch.llm import ann_forest, chat, exact_topk, language_id, merkle, mixing, packing, prefix_trie, secrets, sharding, simhash, token_counts, url_filter
 from skeinwatch.llm.common import table
-from skeinwatch.llm.oracles import ORACLE as ORACLE
+from skeinwatch.llm.oracles import ORACLE as FIRST
+from skeinwatch.llm.tree_oracles import ORACLE as TREES
 
 EVERY = 20  # a search asks for the rows whose vec_id this divides
 
@@ -58,6 +59,18 @@ def op10_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(said.unionByName(planted))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_language_id,
@@ -70,5 +83,9 @@ QUERIES = {
         op8_length_buckets,
         op9_temperature_mix,
         op10_chat_paths,
+        op11_merkle_manifest,
+        op12_jump_shards,
+        op13_prefix_trie,
     )
 }
+ORACLE = {**FIRST, **TREES}
