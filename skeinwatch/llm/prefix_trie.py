@@ -10,7 +10,7 @@ parent. The tour is ranked as a list: one arc in RULERS, chosen by hash, is a ru
 next ruler, and the rulers make a shorter list, until at most LAST arcs are left, which one task walks. Sums from each arc to
 the end, level by level back, give every subtree's as the difference of its two arcs.
 
-Null roles and texts are empty; turns stand by turn (null first), then by role and text. Rows without a conv_id belong to no
+Null roles and texts are empty; turns stand by turn (null first), equal ones by a digest of role and text. Rows without a conv_id belong to no
 conversation and are left out. An empty table has no node, not even a root.
 """
 
@@ -42,10 +42,10 @@ def turns(conversations: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     said = F.sha2(F.concat(field(role), field(text)), 256)
     rows = conversations.where("conv_id is not null").select(
-        F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role"), said.alias("said"), word_count(text).alias("words"),
+        F.col("conv_id").cast("long").alias("conv_id"), "turn", said.alias("said"), word_count(text).alias("words"),
     )
     rows = rows.select("conv_id", "turn", _half(F.col("said"), 1).alias("t1"), _half(F.col("said"), 16).alias("t2"), "words")
-    return numbered(rows, ["turn", "t1", "t2"], "n", ["conv_id"]).drop("turn")
+    return numbered(written(rows, "said"), ["turn", "t1", "t2"], "n", ["conv_id"]).drop("turn")
 
 
 def rebuilt(said: DataFrame, head: Column, base: Column, most: int) -> tuple[DataFrame, DataFrame]:

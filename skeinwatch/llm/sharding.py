@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwatch.functions.ranked import numbered
-from skeinwatch.llm.common import bound, field
+from skeinwatch.llm.common import bound, field, written
 
 #: Fixed values of the published algorithm: the generator's multiplier and modulus, and the bits that a jump is drawn from.
 MULTIPLIER, MODULUS, DRAWN = 2862933555777941757, 1 << 64, 31
@@ -82,5 +82,5 @@ def shard_digest(docs: DataFrame, shards: int = 16) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
     rows = sharded(sharded(rows, ["doc_id"], shards), ["doc_id"], shards + 1, "grown_shard")
-    made = slotted(rows, ["doc_id", "text_crc32", "size"])
+    made = slotted(written(rows, "keys"), ["doc_id", "text_crc32", "size"])  # so that texts are read once
     return made.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
