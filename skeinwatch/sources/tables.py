@@ -7,8 +7,9 @@ import json
 import re
 import uuid
 from datetime import date, datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,27 +66,29 @@ RECORDS = {
 }
 
 
-def parse_messages(df: DataFrame, column: str = "value", bad_records: bool = True) -> dict[str, DataFrame]:
-    """Each record type's rows of {"type": ..., "record": {...}} messages; `bad` holds what can't be read, as text.
+def classified(df: DataFrame, column: str = "value") -> DataFrame:
+    """kind, text and a struct a record type of {"type": ..., "record": {...}} messages, each parsed once.
 
-    Malformed messages never fail the query. Works on batch and streaming frames.
+    kind is the record type, whose struct is filled, or `bad` for what can't be read: no JSON, another type, a record of
+    other fields' types, without a time or an entity. Malformed messages never fail the query.
     """
     text = F.col(column).cast("string")
     envelope = F.from_json(text, "type string, record string")
-    held = df.select(text.alias("__text"), envelope["type"].alias("__type"), envelope["record"].alias("__record"))
-    out, bad = {}, F.coalesce(~F.col("__type").isin(*RECORDS), F.lit(True)) | F.col("__record").isNull()
-    for kind, ddl in RECORDS.items():
-        parsed = F.from_json(
-            "__record",
-            ddl + ", _corrupt_record string",
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
-        )
-        broken = parsed["_corrupt_record"].isNotNull() | parsed["created_at"].isNull() | parsed["entity_id"].isNull()
-        own = held.where(F.col("__type") == kind).withColumn("__r", parsed)
-        out[kind] = own.where(~broken).select("__r.*").drop("_corrupt_record")
-        bad = bad | ((F.col("__type") == kind) & F.coalesce(broken, F.lit(True)))
+    held = df.select(text.alias("text"), envelope["type"].alias("__type"), envelope["record"].alias("__record"))
+    corrupt = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    read = {k: F.from_json("__record", f"{ddl}, _corrupt_record string", corrupt) for k, ddl in RECORDS.items()}
+    held = held.withColumns({k: F.when(F.col("__type") == k, parsed) for k, parsed in read.items()})
+    good = [F.col(k)["_corrupt_record"].isNull() & F.col(k)["created_at"].isNotNull() & F.col(k)["entity_id"].isNotNull() for k in RECORDS]
+    kind = F.when(reduce(Column.__or__, good), F.col("__type")).otherwise("bad")
+    return held.select(kind.alias("kind"), "text", *(F.col(k).dropFields("_corrupt_record").alias(k) for k in RECORDS))
+
+
+def parse_messages(df: DataFrame, column: str = "value", bad_records: bool = True) -> dict[str, DataFrame]:
+    """Each record type's rows of classified messages; `bad` holds what can't be read, as text. Batch or streaming."""
+    held = classified(df, column)
+    out = {kind: held.where(F.col("kind") == kind).select(f"{kind}.*") for kind in RECORDS}
     if bad_records:
-        out["bad"] = held.where(bad).select(F.col("__text").alias("text"))
+        out["bad"] = held.where(F.col("kind") == "bad").select("text")
     return out
 
 

@@ -10,12 +10,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from skeinwatch.operators.traces import ERROR, millis, trace_summaries
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def trace_sessions(spans: DataFrame, gap: str = "10 seconds", delay: str = "15 seconds") -> DataFrame:
     """Partial trace summaries: a trace's spans until it is quiet for the gap. Later spans make another part; parts merge on read."""
@@ -36,6 +39,105 @@ def trace_sessions(spans: DataFrame, gap: str = "10 seconds", delay: str = "15 s
     ).drop("__w").withColumnRenamed("start", "start_time")
 
 
+def waiting_records(
+    records: DataFrame,
+    spans: DataFrame,
+    wait: str = "10 minutes",
+    delay: str = "1 minute",
+    max_retries: int = 3,
+) -> DataFrame:
+    """record_id, trace_id, created_at, retry_count, span_count, status of records that wait for spans of their trace.
+
+    A stream-stream left outer join: spans that start within `wait` of the record count. A record comes out once, when the
+    watermarks (the later of both streams less the delay) have passed its wait, so state holds no record or span longer.
+    Status as attach_spans gives it: ready, retry, or failed after max_retries.
+    """
+    asked = records.select("record_id", "trace_id", "created_at", "retry_count").withWatermark("created_at", delay)
+    seen = spans.select(F.col("trace_id").alias("__trace"), F.col("start_time").alias("__start")).withWatermark("__start", delay)
+    upto = F.col("created_at") + F.expr(f"INTERVAL {wait}")
+    same = (F.col("trace_id") == F.col("__trace")) & (F.col("__start") >= F.col("created_at")) & (F.col("__start") <= upto)
+    held = asked.join(seen, same, "leftOuter").groupBy("created_at", "record_id", "trace_id", "retry_count")
+    held = held.agg(F.count("__trace").alias("span_count"))
+    tried = F.col("retry_count") + 1
+    status = F.when(F.col("span_count") > 0, "ready").when(tried >= max_retries, "failed").otherwise("retry")
+    return held.withColumn("status", status).withColumn("retry_count", F.when(F.col("span_count") > 0, F.col("retry_count")).otherwise(tried))
+
+
+#: A trace's state: its first span (roots before others), bounds in microseconds, counts, and the last error.
+_PART = (
+    "rank int, first long, span string, service string, root string, status int, start long, stop long, latest long, spans long, errors long, "
+    "bad long, bad_span string, message string"
+)
+
+
+def _part_of(row) -> tuple:
+    bad = row["status_code"] == ERROR
+    root = (row["span_name"] or "") if row["rank"] == 0 else ""
+    first = (row["rank"], row["start"], row["span_id"], row["service_name"], root, row["status_code"])
+    error = (row["start"], row["span_id"], row["status_message"]) if bad else (None, None, None)
+    return (*first, row["start"], row["stop"], row["start"], 1, int(bad), *error)
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    first = min(a[:6], b[:6], key=lambda p: p[:3])
+    error = max((p[11:] for p in (a, b) if p[11] is not None), key=lambda e: e[:2], default=(None, None, None))
+    return (*first, min(a[6], b[6]), max(a[7], b[7]), max(a[8], b[8]), a[9] + b[9], a[10] + b[10], *error)
+
+
+class _Running(StatefulProcessor):
+    """A trace's summary so far. When the trace has been quiet for the gap, it goes out and its state goes."""
+
+    def __init__(self, gap_ms: int, event_time: bool):
+        self.gap_ms, self.event_time = gap_ms, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.part = handle, handle.getValueState("part", _PART)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        parts = ([tuple(self.part.get())] if self.part.exists() else []) + [reduce(_merged, map(_part_of, rows))]
+        part = reduce(_merged, parts)
+        self.part.update(part)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        active = part[8] // 1000 if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        self.handle.registerTimer(active + self.gap_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        part = tuple(self.part.get())
+        self.part.clear()
+        yield Row(trace_id=key[0], **dict(zip((f.split()[0] for f in _PART.split(", ")), part, strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def running_summaries(spans: DataFrame, gap: float = 10, delay: str = "15 seconds", event_time: bool = True) -> DataFrame:
+    """Partial trace summaries: each trace's running one, sent when the trace has been quiet for `gap` seconds (by the watermark,
+    or by the clock), and another one for what comes later. merge_summaries makes the parts whole.
+
+    State is a row a trace that isn't quiet, whatever its number of spans. By event time, spans behind the watermark are
+    dropped here: ingest.summary_stream takes those too. Sets the session's state store to RocksDB, which timers need.
+    """
+    kind = spans.schema["trace_id"].dataType.simpleString()
+    spans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    rows = spans.select(
+        "trace_id", F.when(F.col("parent_span_id").isNull(), 0).otherwise(1).alias("rank"), F.col("span_id").cast("string").alias("span_id"),
+        "service_name", "span_name", "status_code", "status_message", "start_time",
+        F.unix_micros("start_time").alias("start"), F.unix_micros("end_time").alias("stop"),
+    ).withWatermark("start_time", delay)
+    processor = _Running(int(gap * 1000), event_time)
+    mode = "EventTime" if event_time else "ProcessingTime"
+    made = rows.groupBy("trace_id").transformWithState(processor, f"trace_id {kind}, {_PART}", "append", mode)
+    return made.select(
+        "trace_id", F.col("service").alias("service_name"), F.col("root").alias("root_operation"),
+        F.timestamp_micros("start").alias("start_time"), F.timestamp_micros("stop").alias("end_time"),
+        F.floor((F.col("stop") - F.col("start")) / 1000).cast("long").alias("duration_ms"),
+        F.when(F.col("errors") > 0, ERROR).otherwise(F.col("status")).alias("status_code"), F.col("message").alias("status_message"),
+        F.col("spans").alias("span_count"), F.col("errors").alias("error_count"),
+    )
+
+
 def route_late(rows: DataFrame, watermark, ts: str = "start_time") -> tuple[DataFrame, DataFrame]:
     """(rows in time, rows that are later than the watermark), for use in foreachBatch."""
     late = F.col(ts) < F.lit(watermark)
