@@ -11,7 +11,7 @@ from skeinwatch.plans import views
 from skeinwatch.plans.book import Book, rounded, stamp
 from skeinwatch.plans.views import with_views
 from skeinwatch.sources import tables
-from skeinwatch.streaming import streams
+from skeinwatch.streaming import outbox, samples, streams
 
 BOOK = Book()
 query = BOOK.query
@@ -226,9 +226,10 @@ def trace_sessions(spark, sf):
   ORDER BY ts, value) - 1 AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events)
 SELECT feature, n // 25 AS seq, round(avg(value), 6) AS value FROM r WHERE n // 25 < c // 25 GROUP BY feature, n // 25""")
 def spc_samples_stream(spark, sf):
-    return rounded(
-        _streamed(spark, sf, "events", lambda s: streams.spc_samples_stream(_events(s).withColumnRenamed("metric", "feature"), 25))
-    )
+    path, source = new_folder(spark), f"{sf}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source if _is_folder(spark, source) else f"{sf}/events.parque*")
+    samples.sample_stream(_events(stream).withColumnRenamed("metric", "feature"), 25, path, f"{path}/check").awaitTermination()
+    return rounded(samples.read_samples(spark, path, 25))
 
 
 @query("R4_metric_windows", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS b, event_type AS metric,
@@ -296,5 +297,6 @@ def outbox_stream(spark, sf):
         F.col("ts").cast("timestamp").alias("start_time"),
         F.when(F.col("event_type") == "error", "ack").otherwise("candidate").alias("event"),
     )
-    streams.pending_dispatch_stream(events, path, f"{path}/check").awaitTermination()
-    return streams.read_pending(spark, path).agg(F.count("*").alias("n"))
+    outbox.pending_dispatch_stream(events, path, f"{path}/check").awaitTermination()
+    outbox.compact(spark, path)
+    return outbox.read_pending(spark, path).agg(F.count("*").alias("n"))

@@ -1,38 +1,18 @@
 """Streams with several sinks: monitoring messages into fact tables, and spans into partial trace summaries.
 
-A micro-batch's rows go to folders named by its id, which a retried batch replaces, and its row in the ledger is written
-last: readers see a batch in all tables or in none.
+Both keep a ledger of finished batches (ledger.py), so a retried batch replaces its own rows and none is read half written.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwatch.functions.timeutil import time_filter
 from skeinwatch.operators.traces import merge_summaries, trace_summaries
 from skeinwatch.sources.tables import RECORDS, classified
-
-_LEDGER = "batch long, high timestamp, counts map<string,long>"
-
-
-def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    """batch, high (the latest event time up to it), counts: a row a finished batch."""
-    try:
-        held = spark.read.schema(_LEDGER).option("basePath", f"{path}/ledger").parquet(f"{path}/ledger")
-        return held.select("batch", "high", "counts")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], _LEDGER)
-
-
-def _finish(spark: SparkSession, path: str, batch_id: int, high, counts: dict[str, int]) -> None:
-    row = spark.createDataFrame([(high, counts)], "high timestamp, counts map<string,long>")
-    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/ledger/batch={batch_id}")
-
+from skeinwatch.streaming.ledger import finish, finished, read_batches
 
 def ingest_batch(batch: DataFrame, batch_id: int, path: str) -> dict[str, int]:
     """One micro-batch of classified messages into `path/<kind>/batch=<id>`, the number of rows of each kind returned."""
@@ -44,7 +24,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, path: str) -> dict[str, int]:
             rows = rows.select("text") if kind == "bad" else rows.select(f"{kind}.*").withColumn("day", F.to_date("created_at"))
             out = rows.write.mode("overwrite").option("compression", "zstd")
             (out if kind == "bad" else out.partitionBy("day")).parquet(f"{path}/{kind}/batch={batch_id}")
-        _finish(batch.sparkSession, path, batch_id, None, counts)
+        finish(batch.sparkSession, path, batch_id, None, counts)
         return counts
     finally:
         batch.unpersist()
@@ -63,14 +43,13 @@ def ingest_stream(messages: DataFrame, path: str, checkpoint: str, column: str =
 def read_ingested(spark: SparkSession, path: str, kind: str, start=None, end=None) -> DataFrame:
     """The rows of one kind (a record type or `bad`) in finished batches; for records with start <= created_at < end."""
     ddl = "text string" if kind == "bad" else RECORDS[kind] + ", day date"
-    held = spark.read.schema(ddl + ", batch long").option("basePath", f"{path}/{kind}").parquet(f"{path}/{kind}")
-    held = held.join(_ledger(spark, path).select("batch"), "batch", "left_semi").drop("batch")
+    held = read_batches(spark, path, kind, ddl).drop("batch")
     return held if kind == "bad" else time_filter(held, start, end, "created_at", "day").drop("day")
 
 
 def ingest_counts(spark: SparkSession, path: str) -> DataFrame:
     """batch, kind, n of the finished batches."""
-    return _ledger(spark, path).select("batch", F.explode("counts").alias("kind", "n"))
+    return finished(spark, path).select("batch", F.explode("counts").alias("kind", "n"))
 
 
 def summary_batch(spans: DataFrame, batch_id: int, path: str, delay: str) -> None:
@@ -80,7 +59,7 @@ def summary_batch(spans: DataFrame, batch_id: int, path: str, delay: str) -> Non
     or a restarted query takes the same one.
     """
     spark = spans.sparkSession
-    before = _ledger(spark, path).where(F.col("batch") < batch_id)
+    before = finished(spark, path).where(F.col("batch") < batch_id)
     high = before.agg(F.max("high")).first()[0]
     mark = F.lit(high).cast("timestamp") - F.expr(f"INTERVAL {delay}")
     spans = spans.persist(StorageLevel.DISK_ONLY)
@@ -89,7 +68,7 @@ def summary_batch(spans: DataFrame, batch_id: int, path: str, delay: str) -> Non
         parts = [trace_summaries(spans.where(side)).withColumn("late", F.lit(name)) for name, side in ((False, ~late), (True, late))]
         parts[0].unionByName(parts[1]).write.mode("overwrite").parquet(f"{path}/parts/batch={batch_id}")
         seen = spans.agg(F.max("start_time").alias("high"), F.count("*").alias("n"), F.count_if(late).alias("late")).first()
-        _finish(spark, path, batch_id, max(filter(None, (high, seen["high"])), default=None), {"spans": seen["n"], "late": seen["late"]})
+        finish(spark, path, batch_id, max(filter(None, (high, seen["high"])), default=None), {"spans": seen["n"], "late": seen["late"]})
     finally:
         spans.unpersist()
 
@@ -103,7 +82,7 @@ def summary_stream(spans: DataFrame, path: str, checkpoint: str, delay: str = "1
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """The partial summaries of finished batches, with `batch` and `late`."""
     held = spark.read.option("basePath", f"{path}/parts").parquet(f"{path}/parts").withColumn("batch", F.col("batch").cast("long"))
-    return held.join(_ledger(spark, path).select("batch"), "batch", "left_semi")
+    return held.join(finished(spark, path).select("batch"), "batch", "left_semi")
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:

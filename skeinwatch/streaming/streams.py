@@ -1,4 +1,4 @@
-"""Streaming forms: sessions of traces, windows, fixed-size sample means, deduplication and the dispatch outbox.
+"""Streaming forms: sessions and running summaries of traces, waiting records, windows and deduplication.
 
 All take and give streaming frames (batch frames work too, where no state is kept); delays are watermarks, a parameter.
 """
@@ -8,11 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from skeinwatch.operators.traces import ERROR, millis, trace_summaries
@@ -155,35 +152,6 @@ def summary_parts(spans: DataFrame, watermark) -> DataFrame:
     )
 
 
-def spc_samples_stream(df: DataFrame, n: int) -> DataFrame:
-    """feature, seq, value: the mean of each n values of a feature in order of time, what is left over carried on.
-
-    Values are ordered within a micro-batch; those of a later one come after.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, held, total = state.get if state.exists else (0, 0, 0.0)
-        frame = pd.concat(list(batches)).sort_values(["created_at", "value"])
-        values = frame["value"].to_numpy(dtype=float)
-        full = np.concatenate([[total], values]) if held else values  # what was left over stands as one sum of its rows
-        firsts = np.arange(n - held + 1, len(full) + 1, n) if held else np.arange(n, len(full) + 1, n)
-        sums = np.diff(np.concatenate([[0.0], np.cumsum(full)])[np.concatenate([[0], firsts])])
-        done = int(firsts[-1]) if len(firsts) else 0
-        out = [(key[0], seq + i, float(x) / n) for i, x in enumerate(sums)]
-        held, total = (held + len(values)) % n if len(firsts) else held + len(values), float(full[done:].sum())
-        seq += len(firsts)
-        state.update((seq, held, total))
-        yield pd.DataFrame(out, columns=["feature", "seq", "value"])
-
-    return df.select("feature", "created_at", "value").groupBy("feature").applyInPandasWithState(
-        step,
-        "feature string, seq long, value double",
-        "seq long, held long, total double",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 def metric_windows(df: DataFrame, window: str = "5 minutes", delay: str = "1 minute") -> DataFrame:
     """bucket, metric, value and n: means of custom metrics by tumbling window."""
     held = df.withWatermark("created_at", delay).groupBy(F.window("created_at", window).alias("w"), "metric")
@@ -224,25 +192,3 @@ def route_windows(df: DataFrame, window: str = "5 minutes", delay: str = "1 minu
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str = "10 minutes") -> DataFrame:
     """Each key once within the delay."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-
-
-def pending_dispatch_stream(log: DataFrame, path: str, checkpoint: str):
-    """A query that keeps each pair's state of a dispatch log; a batch appends only the pairs that it changed, under path."""
-    seen = lambda event: F.bool_or(F.col("event") == event)
-    pairs = log.groupBy("trace_id", "entity_id").agg(
-        F.min("start_time").alias("start_time"),
-        seen("candidate").alias("c"),
-        seen("ack").alias("a"),
-    )
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/pairs/batch={batch_id}")  # a retried batch replaces its own folder
-
-    return pairs.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_pending(spark: SparkSession, path: str) -> DataFrame:
-    """trace_id, entity_id, start_time of the pairs pending by the newest state that pending_dispatch_stream wrote of each."""
-    newest = F.max_by(F.struct("start_time", "c", "a"), "batch").alias("s")
-    held = spark.read.parquet(f"{path}/pairs").groupBy("trace_id", "entity_id").agg(newest)
-    return held.where("s.c and not s.a").select("trace_id", "entity_id", "s.start_time")

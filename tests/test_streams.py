@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skeinwatch.functions import shared
 from skeinwatch.operators import compare, traces
 from skeinwatch.sources import tables
-from skeinwatch.streaming import ingest, streams
+from skeinwatch.streaming import ingest, outbox, samples, streams
 
 T0 = datetime(2024, 1, 1)
 SPANS = (
@@ -81,7 +81,7 @@ def test_a_repeated_or_unfinished_batch_adds_nothing(spark, folder, monkeypatch)
     once = everything(spark, folder)
     ingest.ingest_batch(held, 0, folder)
     assert everything(spark, folder) == once
-    monkeypatch.setattr(ingest, "_finish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    monkeypatch.setattr(ingest, "finish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError):
         ingest.ingest_batch(held, 1, folder)
     assert everything(spark, folder) == once
@@ -159,3 +159,42 @@ def test_late_spans_are_in_the_merged_summary(spark, folder):
     before = sorted(map(tuple, parts.collect()))
     ingest.summary_batch(spark.createDataFrame(late, SPANS), 1, f"{folder}/out", "15 seconds")  # a retried batch
     assert sorted(map(tuple, ingest.read_parts(spark, f"{folder}/out").collect())) == before
+
+
+LOG = "trace_id string, entity_id string, start_time timestamp, event string"
+
+
+def test_the_outbox_compacts_and_forgets(spark, folder, monkeypatch):
+    at = lambda h: T0 + timedelta(hours=h)
+    batches = [
+        [("a", "e", at(0), "candidate"), ("b", "e", at(1), "candidate"), ("b", "e", at(1), "ack")],
+        [("c", "e", at(2), "ack"), ("d", "e", at(3), "candidate")],
+        [("c", "e", at(1), "candidate"), ("a", "e", at(50), "ack"), ("f", "e", at(51), "candidate")],
+        [("g", "e", at(52), "candidate")],
+    ]
+    names = lambda: sorted(r["trace_id"] for r in outbox.read_pending(spark, folder).collect())
+    seen = []
+    for i, rows in enumerate(batches):
+        outbox.log_batch(spark.createDataFrame(rows, LOG), i, folder)
+        outbox.log_batch(spark.createDataFrame(rows, LOG), i, folder)  # retried
+        seen.append(names())
+        if i in (0, 1, 2):
+            assert outbox.compact(spark, folder, timedelta(hours=24)) == i and names() == seen[-1]
+    assert seen == [["a"], ["a", "d"], ["d", "f"], ["d", "f", "g"]]
+    held = {r["trace_id"] for r in spark.read.parquet(f"{folder}/snapshots/upto=2").collect()}
+    assert held == {"a", "d", "f"}  # b and c are acked and old
+    left = {r["batch"] for r in spark.read.parquet(f"{folder}/pairs").select("batch").distinct().collect()}
+    assert left == {2, 3}
+    monkeypatch.setattr(outbox, "finish", lambda *a, **k: None)  # a compaction that isn't finished
+    assert outbox.compact(spark, folder) == 3 and outbox._snapshots(spark, folder)[0] == 2 and names() == ["d", "f", "g"]
+
+
+def test_samples_over_batches_without_a_frame_a_feature(spark, folder):
+    values = [("f", T0 + timedelta(seconds=i), float(i % 13)) for i in range(103)] + [("g", T0, None), ("g", T0, 1.0)]
+    for a in range(0, 105, 35):
+        drop_in(spark, f"{folder}/in", values[a : a + 35], "feature string, created_at timestamp, value double")
+        source = stream(spark, f"{folder}/in", "feature string, created_at timestamp, value double")
+        samples.sample_stream(source, 10, f"{folder}/out", f"{folder}/check").awaitTermination()
+    got = {(r["feature"], r["seq"]): r["value"] for r in samples.read_samples(spark, f"{folder}/out", 10).collect()}
+    flat = [v for _, _, v in values[:103]]
+    assert got == {("f", i): pytest.approx(sum(flat[10 * i : 10 * i + 10]) / 10) for i in range(10)}

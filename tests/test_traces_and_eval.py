@@ -11,7 +11,7 @@ from skeinwatch.operators import compare, evaluate, genai, traces
 from skeinwatch.operators.evaluate import Task
 from skeinwatch.plans import registry
 from skeinwatch.sources import tables
-from skeinwatch.streaming import streams
+from skeinwatch.streaming import outbox, samples, streams
 
 T0 = datetime(2024, 1, 1)
 SPAN = "trace_id string, span_id string, parent_span_id string, service_name string, span_name string, start_time timestamp, end_time timestamp, status_code int, status_message string, attributes map<string,string>"
@@ -305,7 +305,9 @@ def test_stream_matches_batch(spark, tmp_path):
         query.awaitTermination()
         return spark.table(name).collect()
 
-    assert [(r["seq"], r["value"]) for r in run(streams.spc_samples_stream(source, 6), "samples")] == [(0, 2.5), (1, 8.5), (2, 14.5)]
+    samples.sample_stream(source, 6, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = samples.read_samples(spark, str(tmp_path / "out"), 6).orderBy("seq").collect()
+    assert [(r["seq"], r["value"]) for r in got] == [(0, 2.5), (1, 8.5), (2, 14.5)]
     windows = run(streams.psi_count_windows(source, {"f": [4.0]}, "10 minutes", "1 minute"), "counts")
     assert {(r["bucket"].minute, r["bin_id"], r["bin_count"]) for r in windows} == {(0, 1, 5), (0, 2, 5)}
     assert len(run(streams.dedup_stream(source.unionByName(source), ["created_at"], "created_at"), "dedup")) == 20
@@ -317,8 +319,8 @@ def test_outbox_stream_is_safe_to_repeat(spark, tmp_path):
     for name, rows in (("a", [("t", "e", T0, "candidate"), ("u", "e", T0, "candidate")]), ("b", [("t", "e", T0, "ack")])):
         spark.createDataFrame(rows, log).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
         source = spark.readStream.schema(log).parquet(str(tmp_path / "log"))
-        streams.pending_dispatch_stream(source, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert [r["trace_id"] for r in streams.read_pending(spark, str(tmp_path / "out")).collect()] == ["u"]
+        outbox.pending_dispatch_stream(source, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert [r["trace_id"] for r in outbox.read_pending(spark, str(tmp_path / "out")).collect()] == ["u"]
 
 
 def test_scenarios_from_files(spark, tmp_path):
