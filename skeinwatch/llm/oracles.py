@@ -100,7 +100,9 @@ def _judged(url: str) -> str:
     return f"{_node(url)} AS node, {_case(_host(url), _path(url), 1)} AS v"
 
 
-_OP7 = f"""
+def _op7(moved: str = "") -> str:
+    """moved: SQL of more links (url, target), if any."""
+    return f"""
 WITH RECURSIVE tags AS (
   SELECT url, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0) AS c,
          regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0) AS m
@@ -108,10 +110,11 @@ WITH RECURSIVE tags AS (
 ), links AS (
   SELECT url, regexp_extract(c, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS link FROM tags
   UNION ALL SELECT url, regexp_extract(m, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM tags
-), ends AS (SELECT url, {_ABSOLUTE} AS target FROM links WHERE link <> ''),
+), ends AS (SELECT url, {_ABSOLUTE} AS target FROM links WHERE link <> ''{moved}),
 edges AS (SELECT {_node("url")} AS a, {_node("target")} AS b FROM ends),
 two_way AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
-reach AS (SELECT a AS node, a AS other FROM two_way UNION SELECT r.node, e.b FROM reach r JOIN two_way e ON r.other = e.a),
+every AS (SELECT {_node("url")} AS node FROM pages UNION SELECT a FROM two_way),
+reach AS (SELECT node, node AS other FROM every WHERE node IS NOT NULL UNION SELECT r.node, e.b FROM reach r JOIN two_way e ON r.other = e.a),
 verdicts AS (
   SELECT {_judged("url")} FROM pages UNION ALL SELECT {_judged("target")} FROM ends
 ), classes AS (
@@ -142,4 +145,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
-ORACLE = {"op5_exact_topk": _OP5, "op6_secret_scan": _OP6, "op7_url_filter": _OP7, "op10_chat_paths": _OP10}
+ORACLE = {
+    "op5_exact_topk": _OP5,
+    "op6_secret_scan": _OP6,
+    "op7_url_filter": _op7(),
+    "url_filter_redirects": _op7(" UNION ALL SELECT url, replace(url, '/en/', '/de/') FROM pages WHERE page_id % 3 = 0 AND url LIKE '%/en/%'"),
+     "op10_chat_paths": _OP10,
+}

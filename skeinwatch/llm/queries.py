@@ -43,6 +43,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def url_filter_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same judgement with redirects: every third English page has moved to its German address."""
+    pages = table(spark, sf_dir, "pages")
+    moved = pages.where("page_id % 3 = 0 and url like '%/en/%'").select(F.col("url").alias("src"), F.replace("url", F.lit("/en/"), F.lit("/de/")).alias("dst"))
+    return url_filter.judge_urls(pages, redirects=moved)
+
+
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary=token_counts.VOCABULARY)
 
@@ -86,6 +93,7 @@ QUERIES = {
         op11_merkle_manifest,
         op12_jump_shards,
         op13_prefix_trie,
+        url_filter_redirects,
     )
 }
 ORACLE = {**FIRST, **TREES}

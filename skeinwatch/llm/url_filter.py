@@ -6,7 +6,8 @@ A URL's own rule always stands.
 
 Edges come from each page's `<link rel=canonical>` and `<meta http-equiv=refresh>`, and from a table of redirects
 (src, dst) if there is one. A URL's node is its form without scheme, fragment, `www.`, `utm_` parameters and final slash,
-its host in lower case; rules judge the URLs themselves, never their nodes. Null URLs and URLs without `://` have an empty
+its host in lower case: URLs that differ in these alone are always aliases, with and without links. Rules judge the URLs
+themselves, never their nodes. Null URLs and URLs without `://` have an empty
 host and path, fit no rule and are allowed. Repeated rows are judged each. Of rules of equal length an allow wins.
 """
 
@@ -119,8 +120,12 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects:
     ruled = seen.where("node is not null and __r is not null").select("node", F.col("__r")["verdict"].alias("v"))
     named = ends.select(F.inline(F.array("a", "b"))).where("v is not null").unionByName(ruled)
     own = named.groupBy("node").agg(*_verdicts())
-    told = classes.join(own, "node").groupBy("component").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
-    spread = classes.join(told.where("blocked and not allowed"), "component").select("node").withColumn("__alias", F.lit(True))
+    # A node without edges is a class of its own: URLs of one node are aliases whether or not something links to it.
+    home = F.coalesce("component", "node").alias("component")
+    told = own.join(classes, "node", "left").groupBy(home).agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
+    told = told.where("blocked and not allowed").select("component")
+    spread = classes.join(told, "component").select("node").unionByName(told.withColumnRenamed("component", "node"))
+    spread = spread.distinct().withColumn("__alias", F.lit(True))
     judged = seen.join(spread, "node", "left")
     rule, verdict = F.col("__r")["rule"], F.col("__r")["verdict"]
     return judged.select(

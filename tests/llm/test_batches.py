@@ -162,6 +162,14 @@ def test_aliases_are_judged_by_their_own_urls(spark):
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
+def test_equal_forms_are_aliases_with_and_without_links(spark):
+    for head in ({}, {"canonical": "http://b.com/x"}):
+        urls = [page("http://a.com/de/", **head), page("http://a.com/de"), page("https://www.a.com/de?utm_source=y#t"), page("http://a.com/de?z=1")]
+        df = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id long, url string, html string")
+        got = {r["page_id"]: (r["verdict"], r["reason"]) for r in url_filter.judge_urls(df).collect()}
+        assert got == {0: ("block", "rule"), 1: ("block", "alias"), 2: ("block", "alias"), 3: ("allow", "default")}
+
+
 def test_components_match_union_find(spark):
     rng = np.random.default_rng(6)
     pairs = [
