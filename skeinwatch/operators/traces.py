@@ -31,8 +31,11 @@ def millis(start: Column, end: Column) -> Column:
     return F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("long")
 
 
-def trace_summaries(spans: DataFrame) -> DataFrame:
-    """One row a trace: the root's metadata (of the first span where no root is known), times, counts and the last error's message."""
+def trace_summaries(spans: DataFrame, extra: list[Column] = ()) -> DataFrame:
+    """One row a trace: the root's metadata (of the first span where no root is known), times, counts and the last error's message.
+
+    extra: more aggregates of a trace's spans.
+    """
     root = F.col("parent_span_id").isNull()
     first = F.struct(F.when(root, 0).otherwise(1), "start_time", "span_id")
     bad = F.col("status_code") == ERROR
@@ -45,6 +48,7 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(bad, F.lit(ERROR))), F.min_by("status_code", first)).alias("status_code"),
         F.max_by(F.when(bad, F.col("status_message")), F.when(bad, F.struct("start_time", "span_id"))).alias("status_message"),
         F.count("*").alias("span_count"), F.count_if(bad).alias("error_count"),
+        *extra,
     )
 
 
@@ -62,7 +66,8 @@ def merge_summaries(parts: DataFrame) -> DataFrame:
         first_by(F.col("root_operation"), most).alias("root_operation"),
         first_by(F.col("status_message"), worst).alias("status_message"),
     ]
-    aggs += [union_lists(c).alias(c) for c in ("entity_ids", "queue_ids") if c in parts.columns]
+    aggs += [union_lists(c).alias(c) for c in ("entity_ids", "queue_ids", "hits") if c in parts.columns]
+    aggs += [F.max("root_service").alias("root_service")] if "root_service" in parts.columns else []
     return parts.groupBy("trace_id").agg(*aggs)
 
 
@@ -363,7 +368,11 @@ def trace_metrics(
         *(k for k in keep if service or filters),
     )
     per = per.where("__a and __b") if service or filters else per
-    per = per.withColumn("bucket", time_trunc("start", unit))
+    return bucket_stats(per.select(time_trunc("start", unit).alias("bucket"), "duration_ms", "bad"), exact)
+
+
+def bucket_stats(per: DataFrame, exact: bool) -> DataFrame:
+    """trace_count, avg_duration_ms, percentiles and error_rate by bucket of a row a trace: bucket, duration_ms, bad."""
     stats = [F.count("*").alias("trace_count"), F.avg("duration_ms").alias("avg_duration_ms"), error_rate(F.col("bad")).alias("error_rate")]
     if not exact:
         return per.groupBy("bucket").agg(*stats, *percentiles("duration_ms"))

@@ -10,7 +10,7 @@ from skeinwatch.functions import scalars
 from skeinwatch.functions.shared import new_folder
 from skeinwatch.functions.statistics import chi_square_quantile, normal_quantile
 from skeinwatch.functions.timeutil import time_bin
-from skeinwatch.operators import metrics, profile, psi, registry, spc
+from skeinwatch.operators import metrics, profile, psi, registry, rollup, spc
 from skeinwatch.plans import views
 from skeinwatch.plans.book import Book, rounded, stamp
 from skeinwatch.plans.views import FEATURES, FLAGS, with_views
@@ -432,6 +432,34 @@ def approximate(spark, sf):
     return views.metric(spark, sf).groupBy("metric").agg(*metrics.percentiles("value"), F.approx_count_distinct("user_id").alias("users"))
 
 
+@query("A10_A12_rollup", f"""{with_views('metric')} SELECT coalesce(metric, 'all') AS metric, strftime(CASE WHEN metric IS NULL THEN NULL ELSE d END, '%Y-%m-%d') AS day,
+  count(*) AS n, round(avg(value), 6) AS value_mean, count(DISTINCT user_id) AS users, true AS p50_near, true AS p95_near, true AS users_near
+  FROM (SELECT *, date_trunc('day', created_at) AS d FROM metric) GROUP BY GROUPING SETS ((metric, d), ())""")
+def rolled_up(spark, sf):
+    """Hourly sketches merged to days of a metric and to one total, with the exact counts, and whether each sketch keeps its bound."""
+    path, rows = new_folder(spark, "rollup"), views.metric(spark, sf)
+    rollup.sketched(rows, ["metric"], ("value",), ("user_id",), "hour", "created_at").write.parquet(path)
+    hours = spark.read.parquet(path)
+    out = None
+    for keys, unit in ((["metric"], "day"), ([], None)):
+        found = rollup.answers(rollup.merged(hours, keys, unit), (0.5, 0.95))
+        by = [*keys, *(["bucket"] if unit else [])]
+        own = rows.withColumn("bucket", F.date_trunc("day", "created_at")).withColumn("__all", F.lit(0))
+        held = own.join(found.withColumn("__all", F.lit(0)), [*by, "__all"])
+        near = [
+            (F.avg((F.col("value") < F.col(f"value_p{q}")).cast("double")) <= q / 100 + rollup.RANK_ERROR)
+            & (F.avg((F.col("value") <= F.col(f"value_p{q}")).cast("double")) >= q / 100 - rollup.RANK_ERROR) for q in (50, 95)
+        ]
+        users = F.count_distinct("user_id")
+        made = held.groupBy(*by, "n", "value_mean", "user_id_distinct").agg(near[0].alias("p50_near"), near[1].alias("p95_near"), users.alias("users"))
+        made = made.select(
+            (F.col("metric") if keys else F.lit("all")).alias("metric"), (F.date_format("bucket", "yyyy-MM-dd") if unit else F.lit(None).cast("string")).alias("day"), "n", "value_mean", "users",
+            "p50_near", "p95_near", (F.abs(F.col("user_id_distinct") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * rollup.DISTINCT_ERROR)).alias("users_near"),
+        )
+        out = made if out is None else out.unionByName(made)
+    return rounded(out)
+
+
 @query("A12_A13_distinct_and_error_rate", f"""{with_views('metric')} SELECT metric, count(DISTINCT user_id) AS users, round(avg((k % 10 = 0)::INTEGER), 6) AS error_rate FROM metric
   GROUP BY metric""")
 def distinct_and_errors(spark, sf):

@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from skeinwatch.functions import scalars
+from skeinwatch.functions.shared import new_folder
 from skeinwatch.functions.timeutil import after_cursor, opt_filter, time_filter, time_trunc, top_k
-from skeinwatch.operators import servicemap, traces
+from skeinwatch.operators import rollup, servicemap, traces
 from skeinwatch.plans import views
 from skeinwatch.plans.book import Book, rounded, stamp
 from skeinwatch.plans.views import with_views
@@ -144,6 +145,16 @@ def trace_metrics_filtered(spark, sf):
     return rounded(traces.trace_metrics(views.spans(spark, sf), "year", service="svc2", filters=[("flag", "R"), ("line", "F")], exact=True))
 
 
+@query("T5_summary_metrics", f"""{_SPANS}, {_PER} SELECT {stamp('date_trunc(' + chr(39) + 'year' + chr(39) + ', s)', 'bucket')}, {_METRICS} FROM per
+  WHERE root = 'svc2' AND hit GROUP BY date_trunc('year', s)""")
+def summary_metrics(spark, sf):
+    """The filtered trace metrics from stored summaries of two batches of spans that share traces."""
+    path, spans = new_folder(spark, "summaries"), views.spans(spark, sf)
+    for half in (spans.where("rk % 2 = 0"), spans.where("rk % 2 = 1")):
+        rollup.summary_parts(half, {"red": [("flag", "R"), ("line", "F")]}).write.mode("append").parquet(path)
+    return rounded(rollup.summary_metrics(spark.read.parquet(path), "year", "svc2", "red", exact=True))
+
+
 @query("J4_spans_for_entity", f"{_SPANS} SELECT span_id FROM spans WHERE entity = 'cust4'")
 def spans_for_entity(spark, sf):
     return traces.spans_for_entity(views.spans(spark, sf), views.parts(spark, sf), "cust4").select("span_id")
