@@ -1,7 +1,8 @@
-"""Row numbers, ranks and exact quantiles of tables of any size: by range partitions and offsets, never by one sort.
+"""Row numbers and exact quantiles of tables of any size, never by one sort.
 
-Rows are dealt to partitions by range, written once with their partition's number (so that every later pass sees the same
-ranges), and counted by partition; the counts of the partitions before give each its offset.
+Numbers: rows are dealt to partitions by range, written once with their partition's number and their place in it, and counted
+by partition; the counts of the partitions before give each its offset. Quantiles: a sketch brackets them, and only what lies
+in a bracket is sorted.
 """
 
 from __future__ import annotations
@@ -15,10 +16,6 @@ from pyspark.sql.window import Window
 from skeinwatch.functions.shared import written
 
 
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    return written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
-
-
 def joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """a and b by keys, nulls meeting nulls; the keys are a's."""
     named = b.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
@@ -50,47 +47,58 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "seq", keys:
     return made.withColumn(name, F.col("__at") - F.col("__first") + F.col("__before")).drop("__part", "__at", "__first", "__before")
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str, asked: DataFrame) -> DataFrame:
-    """asked (keys, r: ranks from 0) with value: what stands at each rank of a key's values in order, nulls left out.
+#: A sketch's rank is off by at most n / ACCURACY; a bracket reaches WIDTH of all ranks to each side, five times that. Keys
+#: of at most SMALL values are bracketed as a whole.
+ACCURACY, WIDTH, SMALL = 10_000, 0.0005, 5_000
 
-    Equal values are counted before any shuffle; only partitions that hold an asked rank are read again.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__m"))
-    held = _ranged(counts, [*keys, value])
-    sizes = _before(held.groupBy(*keys, "__part").agg(F.sum("__m").alias("__rows")), keys)
-    end = F.col("__before") + F.col("__rows")
-    wanted = joined(asked.distinct(), sizes, keys).where((F.col("r") >= F.col("__before")) & (F.col("r") < end))
-    wanted = wanted.groupBy(*keys, "__part", "__before").agg(F.collect_list("r").alias("__ranks"))
-    upto = F.col("__before") + F.sum("__m").over(Window.partitionBy(*keys, "__part").orderBy(value))
-    inner = joined(held, wanted, [*keys, "__part"]).withColumn("__upto", upto)
-    here = F.filter("__ranks", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__m")))
-    return inner.select(*keys, F.explode(here).alias("r"), value)
 
+def _picked(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...], ranks: Column) -> DataFrame:
+    """keys, __n, q, r, value: what stands at each asked rank (from 0) of a key's values in order, nulls left out.
 
-def _sizes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(value).alias("__n")).where("__n > 0")
+    ranks: an array of ranks, from q and __n, a key's number of values. A sketch brackets each quantile in one pass; a second one
+    counts what lies between brackets and the equal values within them, before any shuffle. What is sorted of a key is
+    WIDTH * 2 of its different values a quantile. A rank outside its bracket, which the sketch's bound rules out, is an error.
+    """
+    kind = dict(df.dtypes)[value]
+    plain = F.nanvl(F.col(value), F.lit(float("inf"))) if kind in ("double", "float") else F.col(value)
+    at = sorted(set(map(float, quantiles)))
+    ends = [e for q in at for e in (max(q - WIDTH, 0.0), min(q + WIDTH, 1.0))]
+    held = df.where(F.col(value).isNotNull())
+    sketches = held.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx(plain, ends, ACCURACY).alias("__e"))
+    whole, none = F.col("__n") <= SMALL, F.lit(None).cast(kind)
+
+    def bracket(i: int, q: float) -> Column:
+        lo, hi = F.col("__e")[2 * i], F.col("__e")[2 * i + 1]
+        open_hi = whole | F.lit(q + WIDTH >= 1) | (hi == F.lit(float("inf")) if kind in ("double", "float") else F.lit(False))
+        return F.struct(F.when(whole | F.lit(q - WIDTH <= 0), none).otherwise(lo).alias("lo"), F.when(open_hi, none).otherwise(hi).alias("hi"))
+
+    sketches = sketches.select(*keys, "__n", F.array(*(bracket(i, q) for i, q in enumerate(at))).alias("__in"))
+    rows = joined(held.select(*keys, value), sketches, keys)
+    v = F.col(value)
+    inside = F.exists("__in", lambda b: (b["lo"].isNull() | (v >= b["lo"])) & (b["hi"].isNull() | (v <= b["hi"])))
+    past = F.size(F.filter("__in", lambda b: b["hi"] < v))
+    cells = rows.select(*keys, "__n", value, F.when(inside, v).alias("__cell"), F.when(~inside, past).alias("__gap"))
+    cells = cells.groupBy(*keys, "__n", "__cell", "__gap").agg(F.count("*").alias("__m"), F.min(value).alias("__v"))
+    cells = cells.withColumn("__upto", F.sum("__m").over(Window.partitionBy(*keys).orderBy("__v")))
+    each = cells.select(*keys, "__n", "__cell", "__m", "__upto", F.explode(F.array(*map(F.lit, at))).alias("q"))
+    each = each.withColumn("r", F.explode(ranks)).where((F.col("r") < F.col("__upto")) & (F.col("r") >= F.col("__upto") - F.col("__m")))
+    sure = F.when(F.col("__cell").isNotNull(), F.col("__cell")).otherwise(F.raise_error(F.lit("a rank lies outside its bracket")).cast(kind))
+    return each.select(*keys, "__n", "q", "r", sure.alias(value))
 
 
 def nearest_ranks(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...], rank: Column) -> DataFrame:
     """keys, q, value: the value at a rank for each quantile. rank: an expression of q and the number of values __n."""
-    q = F.explode(F.array(*(F.lit(float(x)) for x in quantiles))).alias("q")
-    asked = _sizes(df, keys, value).select(*keys, "__n", q).select(*keys, "q", rank.cast("long").alias("r"))
-    found = ranked_values(df, keys, value, asked.select(*keys, "r"))
-    return joined(asked, found, [*keys, "r"]).select(*keys, "q", value)
+    return _picked(df, keys, value, quantiles, F.array(rank.cast("long"))).select(*keys, "q", value)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...]) -> DataFrame:
     """keys, q, value: exact quantiles with linear interpolation between the two nearest values (R-7)."""
     place = F.col("q") * (F.col("__n") - 1)
-    q = F.explode(F.array(*(F.lit(float(x)) for x in quantiles))).alias("q")
-    asked = _sizes(df, keys, value).select(*keys, "__n", q).select(*keys, "q", place.alias("__at"))
-    ends = F.explode(F.array_distinct(F.array(F.floor("__at").cast("long"), F.ceil("__at").cast("long"))))
-    asked = asked.select(*keys, "q", "__at", ends.alias("r"))
-    found = joined(asked, ranked_values(df, keys, value, asked.select(*keys, "r")), [*keys, "r"])
-    lo, hi = F.min_by(value, "r"), F.max_by(value, "r")
-    at = F.min("__at")
+    found = _picked(df, keys, value, quantiles, F.array_distinct(F.array(F.floor(place).cast("long"), F.ceil(place).cast("long"))))
+    lo, hi, at = F.min_by(value, "r"), F.max_by(value, "r"), F.min("__at")
     between = (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi
-    return found.groupBy(*keys, "q").agg(F.when(F.floor(at) == at, lo).otherwise(between).alias(value))
+    found = found.withColumn("__at", place).groupBy(*keys, "q")
+    return found.agg(F.when(F.floor(at) == at, lo).otherwise(between).alias(value))
 
 
 def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str, float]) -> DataFrame:

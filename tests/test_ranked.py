@@ -67,6 +67,24 @@ def test_exact_quantiles_match_numpy(keyed):
     assert abs(wide["p95"] - np.quantile(expected["a"], 0.95)) < 1e-9
 
 
+def test_quantiles_of_large_keys_come_from_brackets(spark, monkeypatch):
+    monkeypatch.setattr(ranked, "SMALL", 100)
+    rng = np.random.default_rng(9)
+    groups = {"smooth": rng.normal(size=60_000), "ties": rng.integers(0, 3, 60_000).astype(float), "few": rng.normal(size=50)}
+    groups["ends"] = np.concatenate([np.full(30_000, np.inf), np.full(100, np.nan), rng.normal(size=20_000)])
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k string, v double").repartition(6)
+    at = (0.0, 0.0001, 0.1, 0.25, 0.5, 0.75, 0.9, 0.9999, 1.0)
+    got = {(r["k"], r["q"]): r["v"] for r in ranked.exact_quantiles(df.where("k <> 'ends'"), ["k"], "v", at).collect()}
+    assert len(got) == 3 * len(at)
+    for (k, q), v in got.items():
+        assert v == pytest.approx(np.quantile(groups[k], q), rel=1e-12, abs=1e-12)
+    near = ranked.nearest_ranks(df, ["k"], "v", at, F.floor(F.col("q") * (F.col("__n") - 1))).collect()
+    for r in near:
+        own = np.sort(groups[r["k"]])  # nan last
+        np.testing.assert_equal(r["v"], own[int(r["q"] * (len(own) - 1))])
+    assert len(near) == 4 * len(at)
+
+
 def test_approximate_percentiles_are_near(spark):
     df = spark.range(100_000).select(F.lit("m").alias("metric"), ((F.col("id") * 7919) % 100_000).cast("double").alias("value"))
     row = df.groupBy("metric").agg(*metrics.percentiles("value"), F.approx_count_distinct("value").alias("n")).first()
