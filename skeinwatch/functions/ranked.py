@@ -75,8 +75,13 @@ def _picked(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float,
     sketches = sketches.select(*keys, "__n", F.array(*(bracket(i, q) for i, q in enumerate(at))).alias("__in"))
     rows = joined(held.select(*keys, value), sketches, keys)
     v = F.col(value)
-    inside = F.exists("__in", lambda b: (b["lo"].isNull() | (v >= b["lo"])) & (b["hi"].isNull() | (v <= b["hi"])))
-    past = F.size(F.filter("__in", lambda b: b["hi"] < v))
+    holds = lambda b: (b["lo"].isNull() | (v >= b["lo"])) & (b["hi"].isNull() | (v <= b["hi"]))
+    behind = lambda b: F.coalesce(b["hi"] < v, F.lit(False))
+    if len(at) <= 32:  # compiled code
+        each = [F.col("__in")[i] for i in range(len(at))]
+        inside, past = reduce(Column.__or__, map(holds, each)), reduce(Column.__add__, (behind(b).cast("int") for b in each))
+    else:
+        inside, past = F.exists("__in", holds), F.size(F.filter("__in", behind))
     cells = rows.select(*keys, "__n", value, F.when(inside, v).alias("__cell"), F.when(~inside, past).alias("__gap"))
     cells = cells.groupBy(*keys, "__n", "__cell", "__gap").agg(F.count("*").alias("__m"), F.min(value).alias("__v"))
     cells = cells.withColumn("__upto", F.sum("__m").over(Window.partitionBy(*keys).orderBy("__v")))

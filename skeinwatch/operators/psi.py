@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,12 +96,18 @@ def quantile_edges(df: DataFrame, columns: list[str], n: int = 10, approx: bool
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:
-    """1 + the number of edges below the value, null for values that aren't finite; compiled code up to 64 edges."""
-    below = reduce(
-        Column.__add__,
-        ((value > e).cast("int") for e in edges),
-        F.lit(0),
-    ) if len(edges) <= 64 else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: value > e))
+    """1 + the number of edges below the value, null for values that aren't finite.
+
+    A search by halves: an expression of log2(edges) levels looks up the middle edge of an array that the plan holds once.
+    """
+    held = F.lit(np.array(sorted(edges), dtype="float64"))
+    below, step = F.lit(0), 1 << max(len(edges).bit_length() - 1, 0)
+    if len(edges) <= 16:
+        below = reduce(Column.__add__, ((value > e).cast("int") for e in edges), F.lit(0))
+    else:
+        steps = [step >> i for i in range(len(edges).bit_length())]
+        reach = lambda at, s: (at + s <= len(edges)) & (F.get(held, at + s - 1) < value)
+        below = F.aggregate(F.array(*map(F.lit, steps)), below, lambda at, s: F.when(reach(at, s), at + s).otherwise(at))
     return F.when(finite(value), below + 1).cast("int")
 
 
@@ -134,7 +142,7 @@ def psi_profile(
             ends = [float("-inf"), *edges, float("inf")]
             rows += [(r["feature"], i, ends[i - 1], ends[i]) for i in range(1, len(edges) + 2)]
     counts = _counted(df, ids)
-    grid = df.sparkSession.createDataFrame(rows, "feature string, id int, lower double, upper double").join(
+    grid = _local(df.sparkSession, [(*r, None) for r in rows]).drop("proportion").join(
         counts.where(~F.col("feature").isin(list(categorical))),
         ["feature", "id"],
         "left",
@@ -156,17 +164,31 @@ def psi_profile(
 
 def fixed_profile(profile: DataFrame) -> DataFrame:
     """A profile as a local table: it has a row a bin (MAX_BINS at most), and is computed once."""
-    rows = profile.select("feature", "id", "lower", "upper", "proportion").limit(MAX_BINS + 1).collect()
+    return _local(profile.sparkSession, _bins(profile))
+
+
+_BIN = ("feature", "id", "lower", "upper", "proportion")
+
+
+def _bins(profile: DataFrame) -> list[tuple]:
+    rows = profile.select(*_BIN).limit(MAX_BINS + 1).collect()
     if len(rows) > MAX_BINS:
         raise ValueError(f"a profile has at most {MAX_BINS} bins")
-    return profile.sparkSession.createDataFrame(rows, "feature string, id int, lower double, upper double, proportion double")
+    return sorted(map(tuple, rows), key=lambda r: r[:2])
+
+
+def _local(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Bins as a table that the driver holds, so that reading it runs no job."""
+    kinds = dict(zip(_BIN, ("string", "int32", "double", "double", "double"), strict=True))
+    columns = dict(zip(_BIN, zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(_BIN, ())
+    return spark.createDataFrame(pa.table({n: pa.array(columns[n], k) for n, k in kinds.items()}))
 
 
 def psi_bin_counts(df: DataFrame, profile: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """keys, feature, id, count: how many finite values fall in each profile bin; every bin of a key has a row."""
     bins: dict[str, list] = {}
-    for r in fixed_profile(profile.where(F.col("feature").isin(list(columns)))).orderBy("feature", "id").collect():
-        bins.setdefault(r["feature"], []).append(r)
+    for r in _bins(profile.where(F.col("feature").isin(list(columns)))):
+        bins.setdefault(r[0], []).append(dict(zip(_BIN, r, strict=True)))
     ids = {}
     for feature, rows in bins.items():
         value = F.col(feature).cast("double")
@@ -175,7 +197,7 @@ def psi_bin_counts(df: DataFrame, profile: DataFrame, columns: list[str], keys:
         else:
             ids[feature] = bin_of(value, [r["upper"] for r in rows[:-1]])
     counts = _counted(df, ids, list(keys))
-    grid = df.sparkSession.createDataFrame([(f, r["id"]) for f, rows in bins.items() for r in rows], "feature string, id int")
+    grid = _local(df.sparkSession, [tuple(r.values()) for rows in bins.values() for r in rows]).select("feature", "id")
     seen = counts.select(*keys, "feature").distinct().join(grid, "feature")
     return seen.join(counts, [*keys, "feature", "id"], "left").select(
         *keys,
@@ -217,8 +239,8 @@ def psi_drift(df: DataFrame, profile: DataFrame, columns: list[str], strict_deno
 
     strict_denominator: shares are of all rows, values that aren't finite included.
     """
-    profile = fixed_profile(profile)
-    known = {r["feature"] for r in profile.select("feature").distinct().collect()}
+    rows = _bins(profile)
+    profile, known = _local(profile.sparkSession, rows), {r[0] for r in rows}
     if missing := sorted(set(columns) - known):
         raise ValueError(f"not in the profile: {missing}")
     shares = bin_proportions(psi_bin_counts(df, profile, columns), ["feature"])

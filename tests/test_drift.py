@@ -215,3 +215,14 @@ def test_sweep_counts_from_each_previous_run(spark):
     none = spark.createDataFrame([], "entity_id long, created_at timestamp, feature string, bin_id int, bin_count long")
     bins = spark.createDataFrame([], "entity_id long, feature string, id int, proportion double")
     assert [r["entity_id"] for r in registry.run_due_checks(profiles, none, bins, facts, rules, datetime(2024, 3, 1)).collect()] == [1]
+
+
+def test_bins_of_many_edges(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 16, 17, 50_000):
+        edges = sorted(rng.normal(size=n).tolist())
+        values = [*rng.normal(size=3000).tolist(), edges[0], edges[-1], float("nan"), float("inf"), None]
+        df = spark.createDataFrame([(x,) for x in values], "x double")
+        got = [tuple(r) for r in df.select("x", psi.bin_of(F.col("x"), edges).alias("b")).collect()]
+        for x, b in got:
+            assert b == (None if x is None or not np.isfinite(x) else np.searchsorted(edges, x, side="left") + 1)
