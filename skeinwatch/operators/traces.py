@@ -276,7 +276,7 @@ def span_depths(spans: DataFrame) -> DataFrame:
 
 def get_spans(spans: DataFrame, trace_ids: list | None = None, service: str | None = None, start=None, end=None) -> DataFrame:
     held = opt_filter(time_filter(spans, start, end), service_name=service)
-    return held if trace_ids is None else held.where(F.col("trace_id").isin(list(trace_ids)))
+    return held if trace_ids is None else with_ids(held, trace_ids)
 
 
 def spans_for_entity(spans: DataFrame, summaries: DataFrame, uid: str) -> DataFrame:
@@ -307,6 +307,25 @@ def traces_near_attr(summaries: DataFrame, spans: DataFrame, filters: list[tuple
     return summaries.join(hits, near, "left_semi")
 
 
+def with_ids(df: DataFrame, ids: list[str] | DataFrame, column: str = "trace_id", most: int = 200) -> DataFrame:
+    """Rows whose id is among ids: text (hexadecimal for a binary column, in either case) or values of the column's type.
+
+    A list of up to `most` is a filter in the plan. A longer one, or a table with a column of the same name, is a semi join
+    behind the bounds of its ids, which reach the scan and skip row groups; no list of literals is made.
+    """
+    binary = dict(df.dtypes)[column] == "binary"
+    if not isinstance(ids, DataFrame):
+        if len(ids) <= most:
+            return df.where(F.col(column).isin([bytes.fromhex(i) for i in ids] if binary and ids and isinstance(ids[0], str) else list(ids)))
+        ids = df.sparkSession.createDataFrame(pa.table({column: pa.array(list(ids))}))
+    wanted = ids.select(F.unhex(column).alias(column)) if binary and dict(ids.dtypes)[column] == "string" else ids.select(column)
+    wanted = wanted.select(F.col(column).cast(df.schema[column].dataType)).where(F.col(column).isNotNull())
+    lo, hi = wanted.agg(F.min(column), F.max(column)).first()
+    if lo is None:
+        return df.where(F.lit(False))
+    return df.where(F.col(column).between(F.lit(lo), F.lit(hi))).join(wanted, column, "left_semi")
+
+
 def trace_filters(
     summaries: DataFrame,
     service: str | None = None,
@@ -314,7 +333,7 @@ def trace_filters(
     status_code: int | None = None,
     entity: str | None = None,
     queue: str | None = None,
-    trace_ids: list | None = None,
+    trace_ids: list | DataFrame | None = None,
 ) -> DataFrame:
     held = opt_filter(summaries, service_name=service, status_code=status_code)
     if has_errors is not None:
@@ -323,7 +342,7 @@ def trace_filters(
         held = held.where(has_entity(entity))
     if queue is not None:
         held = held.where(has_entity(queue, "queue_ids"))
-    return held if trace_ids is None else held.where(F.col("trace_id").isin(list(trace_ids)))
+    return held if trace_ids is None else with_ids(held, trace_ids)
 
 
 def list_traces(parts: DataFrame, limit: int = 50, cursor: list | None = None, direction: str = "next", **filters) -> DataFrame:

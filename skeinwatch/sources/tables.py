@@ -9,6 +9,7 @@ import uuid
 from datetime import date, datetime, timedelta
 from functools import reduce
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,13 +200,25 @@ def append_dataset(
     return bad
 
 
+def is_read_only(spark: SparkSession, sql: str) -> bool:
+    """Whether a text is exactly one query by Spark's own parser: no command and no statement that writes, at any depth."""
+    jvm = spark._jvm
+    kinds = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in ("Command", "ParsedStatement")]
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    except ParseException:
+        return False
+    while todo:
+        plan = todo.pop()
+        if any(k.isInstance(plan) for k in kinds) or "ExecuteImmediate" in plan.nodeName():
+            return False
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return True
+
+
 def query(spark: SparkSession, sql: str, max_rows: int = 10_000) -> tuple[DataFrame, bool]:
     """At most max_rows rows of one read-only SELECT over temp views, and whether there are more."""
-    body = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";")
-    if ";" in body or not re.match(r"(?i)(select|with)\b", body) or re.search(
-        r"(?i)\b(insert|update|delete|merge|drop|create|alter|truncate|load|refresh|cache|set)\b(?=\s+\w)",
-        body,
-    ):
+    if not is_read_only(spark, sql):
         raise ValueError("exactly one SELECT is allowed")
     held = written(spark.sql(sql.strip().rstrip(";")).limit(max_rows + 1), "query")  # max_rows + 1 rows; the statement runs once
     return held.limit(max_rows), held.count() > max_rows
