@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,15 +101,84 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.withColumn("percent", F.col("count") * 100.0 / F.sum("count").over(Window.partitionBy("feature")))
 
 
+#: Columns up to which correlations are one aggregation; beyond, blocks of BLOCK columns are multiplied in the tasks.
+WIDE, BLOCK, MOST_COLUMNS = 16, 64, 2048
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy", "bad")
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """feature_a, feature_b, corr: Pearson's coefficient of every pair, from one aggregation."""
+    """feature_a, feature_b, corr: Pearson's coefficient of every pair, over the rows in which neither is null; null where a
+    column doesn't vary in them."""
+    if len(columns) > WIDE:
+        return _wide_correlations(df, columns)
     pairs = [(a, b) for a in columns for b in columns]
-    one = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    def coefficient(a: str, b: str) -> Column:
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        deviations = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.try_divide(F.covar_pop(x, y), deviations)  # corr() itself fails on a constant column
+
+    one = df.agg(*(coefficient(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
     named = lambda i, a, b: F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"c{i}").alias("corr"))
     rows = F.array(*(named(i, a, b) for i, (a, b) in enumerate(pairs)))
     return one.select(F.inline(rows))
 
 
+def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Correlations by a blocked Gram matrix: each task multiplies its rows' blocks of columns and keeps one sum a block
+    pair (k * k * 56 bytes at most in all), and the tasks' sums are added in two steps. Values are taken from the columns'
+    means, so that large offsets lose no digits."""
+    if len(columns) > MOST_COLUMNS:
+        raise ValueError(f"at most {MOST_COLUMNS} columns can be correlated at once")
+    numbers = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+    sure = lambda c: F.when(finite(F.col(c)), F.col(c))
+    shift = np.array([x or 0.0 for x in numbers.agg(*(F.avg(sure(c)) for c in numbers.columns)).first()])  # a number a column
+    starts = range(0, len(columns), BLOCK)
+    spans = [(a, b) for a in starts for b in starts if a <= b]
+
+    def products(batches):
+        sums = {}
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift
+            null = np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns])
+            odd = ~np.isfinite(x) & ~null
+            m, z, o = (~null).astype(float), np.where(null | odd, 0.0, x), odd.astype(float)
+            for a, b in spans:
+                i, j = slice(a, a + BLOCK), slice(b, b + BLOCK)
+                mi, mj, xi, xj = m[:, i].T, m[:, j], z[:, i].T, z[:, j]
+                part = np.stack([mi @ mj, xi @ mj, mi @ xj, (xi * xi) @ mj, mi @ (xj * xj), xi @ xj, o[:, i].T @ mj + mi @ o[:, j]])
+                sums[a, b] = sums[a, b] + part if (a, b) in sums else part
+        for (a, b), part in sums.items():
+            yield pa.RecordBatch.from_pydict({"a": [a], "b": [b], "part": [part.tobytes()]}, schema)
+
+    def added(table):
+        whole = sum(np.frombuffer(p.as_py()) for p in table["part"])
+        return pa.table({"a": table["a"][:1], "b": table["b"][:1], "part": [whole.tobytes()]}, schema=schema)
+
+    def named(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = row["a"], row["b"]
+                ni, nj = min(BLOCK, len(columns) - a), min(BLOCK, len(columns) - b)
+                n, sx, sy, sxx, syy, sxy, bad = np.frombuffer(row["part"]).reshape(len(_SUMS), ni, nj)
+                with np.errstate(all="ignore"):
+                    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+                    # what rounding leaves of a constant column is no variance
+                    vx = np.where(vx <= n * (1e-14 * shift[a : a + ni, None]) ** 2, 0.0, vx)
+                    vy = np.where(vy <= n * (1e-14 * shift[None, b : b + nj]) ** 2, 0.0, vy)
+                    r = (sxy - sx * sy / n) / np.sqrt(vx * vy)
+                r = np.where(bad > 0, np.nan, r)
+                first, second = np.repeat(columns[a : a + ni], nj), np.tile(columns[b : b + nj], ni)
+                flat, few = r.ravel(), ((n == 0) | ((vx * vy == 0) & (bad == 0))).ravel()
+                for x, y in ((first, second), (second, first)) if a != b else ((first, second),):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.tolist()), pa.array(y.tolist()), pa.array(flat, mask=few)], ["feature_a", "feature_b", "corr"])
+
+    schema, ddl = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.binary())]), "a long, b long, part binary"
+    tasks = numbers.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism))
+    parts = tasks.mapInArrow(products, ddl).withColumn("__s", F.pmod(F.spark_partition_id(), F.lit(16)))
+    some = parts.groupBy("a", "b", "__s").applyInArrow(lambda t: added(t.select(["a", "b", "part"])), ddl)
+    return some.groupBy("a", "b").applyInArrow(added, ddl).mapInArrow(named, "feature_a string, feature_b string, corr double")
+
+
 def category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """feature, value, code: the distinct values of each column in order, numbered from 0."""
     values = df.select(columns).unpivot([], columns, "feature", "value").where(F.col("value").isNotNull()).distinct()

@@ -4,6 +4,7 @@ import math
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,29 @@ def test_bins_of_many_edges(spark):
         got = [tuple(r) for r in df.select("x", psi.bin_of(F.col("x"), edges).alias("b")).collect()]
         for x, b in got:
             assert b == (None if x is None or not np.isfinite(x) else np.searchsorted(edges, x, side="left") + 1)
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 20))
+    wide = base @ rng.normal(size=(20, 500)) + rng.normal(size=(400, 500)) + 1e6
+    columns = [f"f{i}" for i in range(500)]
+    df = spark.createDataFrame(pa.table(dict(zip(columns, wide.T, strict=True)))).repartition(3)
+    got = profile.correlations(df, columns).toPandas()
+    found = got.pivot(index="feature_a", columns="feature_b", values="corr").loc[columns, columns].to_numpy()
+    assert len(got) == 250_000
+    np.testing.assert_allclose(found, np.corrcoef(wide.T), atol=1e-9)
+
+
+def test_wide_correlations_skip_nulls_as_the_narrow_ones_do(spark, monkeypatch):
+    rows = [(float(i), float(i * i % 17), None if i % 3 else float(-i), 5.0, float("nan") if i == 7 else 1.0 * i, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    narrow = {tuple(r[:2]): r[2] for r in profile.correlations(df, df.columns).collect()}
+    monkeypatch.setattr(profile, "WIDE", 2)
+    monkeypatch.setattr(profile, "BLOCK", 4)
+    wide = {tuple(r[:2]): r[2] for r in profile.correlations(df, df.columns).collect()}
+    assert set(wide) == set(narrow) and len(wide) == 36
+    for k, r in narrow.items():
+        same = wide[k]
+        assert (r is None or math.isnan(r)) == (same is None or math.isnan(same)), (k, r, same)
+        assert r is None or math.isnan(r) or same == pytest.approx(r, abs=1e-12)
