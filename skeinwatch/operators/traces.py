@@ -6,7 +6,9 @@ status_message, attributes map, events, entity_ids and queue_ids where extracted
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -88,25 +90,30 @@ def merge_trace_parts(parts: DataFrame) -> DataFrame:
     )
 
 
-def _depth_first(ids: list, parents: list) -> tuple[list[int], list[int], list[list], object]:
-    """Row order, depths, paths and the root of one trace's spans, which come by start time."""
+def _depth_first(ids: list, parents: list) -> Iterator[tuple[int, list]]:
+    """Each span's index and path, depth first, of one trace's spans, which come by start time; spans that no root leads to
+    come last, on a path of themselves. The path is one list that changes from span to span: copy what must stay."""
     children: dict = {}
     for i, parent in enumerate(parents):
         children.setdefault(parent, []).append(i)
-    roots = children.get(None, [])
-    seen, order, depths, paths = set(), [], [], []
-    stack = [(i, ()) for i in reversed(roots)]
+    seen, path = set(), []
+    stack = [(i, 0) for i in reversed(children.get(None, []))]
     while stack:
-        i, above = stack.pop()
+        i, depth = stack.pop()
         if i in seen:
             continue
         seen.add(i)
-        order.append(i)
-        depths.append(len(above))
-        paths.append([*above, ids[i]])
-        stack += [(j, paths[-1]) for j in reversed(children.get(ids[i], ()))]
-    orphans = [i for i in range(len(ids)) if i not in seen]
-    return order + orphans, depths + [0] * len(orphans), paths + [[ids[i]] for i in orphans], ids[roots[0] if roots else 0]
+        del path[depth:]
+        path.append(ids[i])
+        yield i, path
+        stack += [(j, depth + 1) for j in reversed(children.get(ids[i], ()))]
+    for i in range(len(ids)):
+        if i not in seen:
+            yield i, [ids[i]]
+
+
+#: Path elements that a task holds before it passes them on.
+HELD_PATHS = 1_000_000
 
 
 def span_tree(spans: DataFrame, max_spans: int = MAX_SPANS) -> DataFrame:
@@ -114,7 +121,7 @@ def span_tree(spans: DataFrame, max_spans: int = MAX_SPANS) -> DataFrame:
 
     Spans that no root leads to come last at depth 0, with a path of themselves; without any root the first span is the
     root. Ties of start time go to the smaller span id. A trace of up to max_spans spans is one row's work, and many traces
-    share a batch; larger traces are placed by joins (joined_tree), so that none is gathered in one task.
+    share a batch, whose paths are passed on by HELD_PATHS elements; larger traces are placed by joins (joined_tree), so that none is gathered in one task.
     """
     large = written(spans.groupBy("trace_id").agg(F.count("*").alias("n")).where(F.col("n") > max_spans).select("trace_id"), "large-traces")
     if large.isEmpty():
@@ -123,18 +130,37 @@ def span_tree(spans: DataFrame, max_spans: int = MAX_SPANS) -> DataFrame:
     return small.unionByName(joined_tree(spans.join(large, "trace_id", "left_semi")))
 
 
-def _gathered_tree(spans: DataFrame) -> DataFrame:
+def _tree_rows(batches, kinds: list[pa.Field], page: tuple[int, int] | None, paths: bool):
+    """Record batches of placed spans, with HELD_PATHS path elements and one path more at most in each."""
+    out: list[list] = [[] for _ in kinds]
+    held = 0
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(v, k.type) for v, k in zip(out, kinds, strict=True)], names=[k.name for k in kinds])
+
+    for batch in batches:
+        for trace, ids, parents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            root = ids[next((i for i, p in enumerate(parents) if p is None), 0)]
+            for order, (i, path) in enumerate(_depth_first(ids, parents)):
+                if page and order < page[0]:
+                    continue
+                if page and order >= page[0] + page[1]:
+                    break
+                row = (trace, ids[i], len(path) - 1, order, root, *([path.copy()] if paths else []))
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+                held += len(path) if paths else 1
+                if held >= HELD_PATHS:
+                    yield made()
+                    out, held = [[] for _ in kinds], 0
+    if out[0]:
+        yield made()
+
+
+def _gathered_tree(spans: DataFrame, page: tuple[int, int] | None = None, paths: bool = True) -> DataFrame:
     sid = spans.schema["span_id"].dataType
-    schema = T.StructType(
-        [
-            spans.schema["trace_id"],
-            T.StructField("span_id", sid),
-            T.StructField("depth", T.IntegerType()),
-            T.StructField("span_order", T.IntegerType()),
-            T.StructField("path", T.ArrayType(sid)),
-            T.StructField("root_span_id", sid),
-        ]
-    )
+    fields = [spans.schema["trace_id"], T.StructField("span_id", sid), T.StructField("depth", T.IntegerType()), T.StructField("span_order", T.IntegerType())]
+    fields += [T.StructField("root_span_id", sid)] + ([T.StructField("path", T.ArrayType(sid))] if paths else [])
     rows = F.array_sort(F.collect_list(F.struct("start_time", "span_id", "parent_span_id")))
     held = spans.groupBy("trace_id").agg(rows.alias("rows")).select(
         "trace_id",
@@ -143,21 +169,25 @@ def _gathered_tree(spans: DataFrame) -> DataFrame:
     )
 
     def walk(batches):
-        for batch in batches:
-            out: list[list] = [[] for _ in schema.names]
-            for trace, ids, parents in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                order, depths, paths, root = _depth_first(ids, parents)
-                for column, values in zip(
-                    out,
-                    ([trace] * len(ids), [ids[i] for i in order], depths, range(len(ids)), paths, [root] * len(ids)),
-                    strict=True,
-                ):
-                    column.extend(values)
-            kind = batch.schema.field("ids").type.value_type
-            kinds = (batch.schema.field("trace_id").type, kind, pa.int32(), pa.int32(), pa.list_(kind), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=schema.names)
-
-    return held.mapInArrow(walk, schema)
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is None:
+            return
+        kind, trace = first.schema.field("ids").type.value_type, first.schema.field("trace_id").type
+        types = [trace, kind, pa.int32(), pa.int32(), kind] + ([pa.list_(kind)] if paths else [])
+        kinds = [pa.field(f.name, t) for f, t in zip(fields, types, strict=True)]
+        yield from _tree_rows(chain([first], batches), kinds, page, paths)
+
+    made = held.mapInArrow(walk, T.StructType(fields))
+    return made.select("trace_id", "span_id", "depth", "span_order", *(["path"] if paths else []), "root_span_id")
+
+
+def span_page(spans: DataFrame, first: int = 0, size: int = 100, paths: bool = False) -> DataFrame:
+    """span_tree's rows of each trace from place `first` on, `size` of them at most, without paths unless asked.
+
+    No path is built but those of the page, so a trace as deep as it has spans costs memory for its spans only.
+    """
+    return _gathered_tree(spans, (first, size), paths)
 
 
 def joined_tree(spans: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,23 @@ def test_large_traces_are_placed_by_joins(spark):
     assert depths == {k: v["depth"] for k, v in want.items()}
 
 
+def test_pages_of_a_deep_trace(spark):
+    n = 50_000
+    rows = [(1, i, i - 1 if i else None, i) for i in range(n)] + [(2, 0, None, 0), (2, 1, 0, 1), (3, 5, 4, 0)]
+    df = spans(spark, rows)
+    page = traces.span_page(df, n - 100, 100)
+    got = page.orderBy("span_order").collect()
+    assert "path" not in page.columns and [(r["trace_id"], r["span_id"], r["depth"], r["span_order"], r["root_span_id"]) for r in got] == [(1, i, i, i, 0) for i in range(n - 100, n)]
+    begin = traces.span_page(df, 0, 2, paths=True).orderBy("trace_id", "span_order").collect()
+    assert [(r["trace_id"], r["span_id"], r["path"]) for r in begin] == [(1, 0, [0]), (1, 1, [0, 1]), (2, 0, [0]), (2, 1, [0, 1]), (3, 5, [5])]
+    # A task holds a bounded number of path elements, however many the trace has.
+    m = 6000
+    chain = pa.record_batch({"trace_id": [1], "ids": [list(range(m))], "parents": [[None, *range(m - 1)]]})
+    fields = [pa.field(x, pa.int64()) for x in ("trace_id", "span_id", "depth", "span_order", "root_span_id")] + [pa.field("path", pa.list_(pa.int64()))]
+    sizes = [(len(b["path"].flatten()), b.num_rows) for b in traces._tree_rows([chain], fields, None, True)]
+    assert sum(x for _, x in sizes) == m and sum(x for x, _ in sizes) == m * (m + 1) // 2 and max(x for x, _ in sizes) <= traces.HELD_PATHS + m
+
+
 def test_partitions_go_and_tables_are_not_overwritten(spark, tmp_path):
     days = spark.range(30).select(
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=F.col("id").cast("int"))).alias("start_time"),
