@@ -314,9 +314,23 @@ def result_rows(rows: DataFrame, key: str = "record_id") -> DataFrame:
     return rows.join(workflow_results(rows, key), key)
 
 
-def result_matrix(rows: DataFrame, tasks: list[str], key: str = "record_id") -> DataFrame:
-    """key and a column a task: 1 passed, 0 failed, skipped or missing."""
-    return rows.groupBy(key).pivot("task_id", tasks).agg(F.max(F.col("passed").cast("int"))).fillna(0, tasks)
+def result_matrix(
+    rows: DataFrame,
+    tasks: list[str],
+    key: str = "record_id",
+    embeddings: DataFrame | None = None,
+    targets: list[str] = (),
+    metric: str = "similarity",
+) -> DataFrame:
+    """key and a column a task: 1 passed, 0 failed, skipped or missing.
+
+    embeddings: key and an array column a target, which add the targets' means and pairwise scores (null where a record has
+    none), so that histograms can take those as well.
+    """
+    made = rows.groupBy(key).pivot("task_id", tasks).agg(F.max(F.col("passed").cast("int"))).fillna(0, tasks)
+    if embeddings is None:
+        return made
+    return made.join(embedding_scores(embeddings.select(key, *targets), list(targets), metric).drop(*targets), key, "left")
 
 
 def embedding_scores(df: DataFrame, targets: list[str], metric: str = "similarity") -> DataFrame:

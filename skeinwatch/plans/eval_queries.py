@@ -226,6 +226,15 @@ def result_matrix(spark, sf):
     return evaluate.result_matrix(evaluate.evaluate(views.records(spark, sf), GATED), ["en", "long", "good", "len2"])
 
 
+@query("E31_embedding_matrix", f"""{_R}, e AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_reverse(embedding)::DOUBLE[] AS b FROM embeddings)
+  SELECT record_id, coalesce(lang = 'en', false)::INTEGER AS en, round(list_sum(a) / len(a), 6) AS a_mean, round(list_sum(b) / len(b), 6) AS b_mean,
+  round(list_cosine_similarity(a, b), 6) AS a_b_cosine, round(list_cosine_similarity(a, b), 6) AS b_a_cosine FROM recs LEFT JOIN e ON vec_id = record_id""")
+def embedding_matrix(spark, sf):
+    """The result matrix with two embeddings a record: a vector and the same one backwards."""
+    held = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("embedding").alias("a"), F.reverse("embedding").alias("b"))
+    return rounded(evaluate.result_matrix(evaluate.evaluate(views.records(spark, sf), GATED), ["en"], embeddings=held, targets=["a", "b"]))
+
+
 @query("E33_score_histograms", f"""{_R}, m AS (SELECT coalesce(lang = 'en', false)::INTEGER AS en, coalesce(quality = 1, false)::INTEGER AS good FROM recs)
   SELECT f AS feature, b::INTEGER AS bin, (b * 0.25)::DOUBLE AS left_edge, CASE b WHEN 0 THEN z WHEN 3 THEN o ELSE 0 END::BIGINT AS count
   FROM (SELECT 'en' AS f, count(*) FILTER (en = 0) AS z, count(*) FILTER (en = 1) AS o FROM m UNION ALL

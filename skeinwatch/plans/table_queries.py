@@ -258,11 +258,15 @@ def psi_windows(spark, sf):
     )
 
 
-@query("R4_route_windows", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS b, event_type AS route_name,
+_RANKS = (5, 25, 50, 95, 99)
+
+
+@query("R4_route_windows", f"""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS b, event_type AS route_name,
   count(*) FILTER (event_id % 10 > 0) AS request_count, count(*) FILTER (event_id % 10 = 0) AS error_count,
-  round(coalesce(sum(value) FILTER (event_id % 10 = 0), 0), 6) AS error_latency FROM events GROUP BY ALL),
+  round(coalesce(sum(value) FILTER (event_id % 10 = 0), 0), 6) AS error_latency,
+  {', '.join(f"round(quantile_disc(value, {q / 100}) FILTER (event_id % 10 > 0), 6) AS p{q}" for q in _RANKS)} FROM events GROUP BY ALL),
 e AS (SELECT max(ts) AS m FROM events)
-  SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS bucket, route_name, request_count, error_count, error_latency FROM w, e
+  SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS bucket, route_name, request_count, error_count, error_latency, p5, p25, p50, p95, p99 FROM w, e
   WHERE b + INTERVAL 1 HOUR <= m - INTERVAL 2 HOUR""")
 def route_windows(spark, sf):
     def shape(stream):
@@ -274,7 +278,7 @@ def route_windows(spark, sf):
         )
         return streams.route_windows(routes, "1 hour", "2 hours")
 
-    return rounded(_streamed(spark, sf, "events", shape).select("bucket", "route_name", "request_count", "error_count", "error_latency"))
+    return rounded(_streamed(spark, sf, "events", shape).select("bucket", "route_name", "request_count", "error_count", "error_latency", *(f"p{q}" for q in _RANKS)))
 
 
 @query("R5_dedup_stream", "SELECT count(*) AS n FROM events")

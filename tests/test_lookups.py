@@ -1,10 +1,11 @@
 """Id lists of any length, the query guard, and the hash sample."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skeinwatch.functions import scalars, shared
-from skeinwatch.operators import traces
+from skeinwatch.operators import evaluate, profile, traces
 from skeinwatch.sources import tables
 
 
@@ -54,3 +55,18 @@ def test_a_sample_is_the_same_each_time_and_of_its_size(spark):
     assert once < wider
     assert scalars.sample_records(df, 0.0, "key").count() == 0 and scalars.sample_records(df, 1.0, "key").count() == 50_000
     assert scalars.sample_records(df.withColumn("key", F.lit(None).cast("string")), 1.0, "key").count() == 50_000
+
+
+def test_the_result_matrix_holds_embedding_scores(spark):
+    rows = spark.createDataFrame([(i, "t", i % 2 == 0) for i in range(30)], "record_id long, task_id string, passed boolean")
+    vectors = [(i, [1.0 * i, 1.0, -2.0], [1.0, 0.5 * i, 0.0]) for i in range(20)]
+    held = spark.createDataFrame([*vectors, (20, [1.0], [1.0, 2.0])], "record_id long, a array<double>, b array<double>")
+    matrix = evaluate.result_matrix(rows, ["t"], embeddings=held, targets=["a", "b"])
+    assert matrix.columns == ["record_id", "t", "a_mean", "b_mean", "a_b_cosine", "b_a_cosine"]
+    got = {r["record_id"]: r for r in matrix.collect()}
+    cosine = [np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) for _, a, b in vectors]
+    for i, (_, a, b) in enumerate(vectors):
+        assert got[i]["a_mean"] == pytest.approx(np.mean(a)) and got[i]["b_mean"] == pytest.approx(np.mean(b)) and got[i]["a_b_cosine"] == pytest.approx(cosine[i])
+    assert got[20]["a_b_cosine"] is None and got[25]["a_mean"] is None and got[24]["t"] == 1
+    bins = profile.histogram(matrix, ["a_b_cosine"], 5).orderBy("bin").collect()
+    assert [r["count"] for r in bins] == np.histogram(cosine, 5)[0].tolist()
