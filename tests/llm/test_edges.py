@@ -7,15 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skeinwatch.functions import shared
-from skeinwatch.llm import chat, common, components, mixing, packing, queries, secrets, simhash, token_counts, url_filter
+from skeinwatch.functions import ranked, shared
+from skeinwatch.llm import chat, common, components, mixing, packing, queries, secrets, sharding, simhash, token_counts, url_filter
 from tests.llm.test_documents import base_spans, frame
 
 
-@pytest.mark.parametrize("name", ["op6_secret_scan", "op7_url_filter", "op9_temperature_mix", "op10_chat_paths"])
+@pytest.mark.parametrize("name", ["op6_secret_scan", "op7_url_filter", "op9_temperature_mix", "op10_chat_paths", "op12_jump_shards"])
 def test_native_queries_run_no_python(spark, sf, name, monkeypatch):
     plans = []
-    for module in (components, secrets, mixing, chat, url_filter):
+    for module in (components, secrets, mixing, chat, url_filter, sharding, ranked):
         if hasattr(module, "written"):
             real = module.written
             seen = lambda df, *a, real=real, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a, **k)
