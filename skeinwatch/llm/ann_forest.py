@@ -2,8 +2,9 @@
 
 The trees are fitted on a bounded sample (SAMPLE vectors, drawn by hash): each node splits its part of the sample at the
 median of a random direction. Every vector is then routed to one leaf of each tree. A query walks all trees through one
-priority queue, ordered by the least margin on the way to a node, until it has taken as many leaves as the calibration
-says; the candidates in those leaves are scored exactly in double precision and merged.
+priority queue, ordered by the squared distance to a node (directions in a tree are nearly orthogonal, so the squares of
+the margins crossed add up), until it has taken as many leaves as the calibration says; the candidates in those leaves are
+scored exactly in double precision and merged.
 
 Equal vectors are one point of the index: its 21 smallest ids stand for all its copies, since no list of 20 can hold
 more. For inner products a component is added that brings every indexed vector to the same length, so that the largest
@@ -12,7 +13,8 @@ leaves that outgrow LEAF_ROWS are scored in several parts, all of them (no bucke
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part; queries meet vectors of their own
 length only. The FORESTS most frequent lengths have a forest each; rarer ones are one leaf a length, scored exactly. Ties
-go to the smaller id. Repeated rows (same id and vector) count once.
+go to the smaller id. Repeated rows (same id and vector) count once. Components are to be below 1e150 in size, so that scores
+are finite; products that underflow are zero and tie.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ LEAVES, LEAF_MEAN = 64, 1024  # a tree has the larger of LEAVES and rows / LEAF_
 LEAF_ROWS = 4096
 PROBES = 256  # queries scored together against one leaf
 HELD = 32 << 20  # bytes of vectors that a task packs by leaf before it passes them on
-RECALL = 0.97
+RECALL = 0.95
 FORESTS = 8  # lengths of vectors, the most frequent ones, that have a forest
 
 
@@ -86,15 +88,15 @@ class Forest:
     def nearest_leaves(self, query: np.ndarray, count: int) -> list[int]:
         """The first leaves that a walk through the shared priority queue takes."""
         margins = (self.normals @ query - self.cuts).tolist() if len(self.cuts) else []
-        queue = [(-math.inf, root) for root in self.roots]
+        queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
         found: list[int] = []
         while queue and len(found) < count:
-            minus, node = heapq.heappop(queue)
+            distance, node = heapq.heappop(queue)
             while node >= 0:
                 margin = margins[node]
                 near, far = (1, 0) if margin >= 0 else (0, 1)
-                heapq.heappush(queue, (max(minus, abs(margin)), int(self.children[node, far])))
+                heapq.heappush(queue, (distance + margin * margin, int(self.children[node, far])))
                 node = int(self.children[node, near])
             found.append(-1 - node)
         return found
@@ -111,7 +113,7 @@ def calibrated(forest: Forest, sample: np.ndarray, plain: np.ndarray, k: int, ta
         scores = plain @ plain[i]
         scores[i] = -np.inf
         best = np.argpartition(-scores, k)[:k]
-        query = np.append(plain[i] / np.linalg.norm(plain[i]), 0.0)
+        query = _asked(plain[i])
         place = np.full(forest.leaves, forest.leaves)
         order = forest.nearest_leaves(query, forest.leaves)
         place[order] = np.arange(len(order))
@@ -126,6 +128,25 @@ def _lifted(points: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))])
 
 
+def _asked(query: np.ndarray) -> np.ndarray:
+    """A query at length 1, on the side of the lifted points. Scaled first: squares of tiny or huge numbers leave the range."""
+    x = query / np.abs(query).max()
+    return np.append(x / np.linalg.norm(x), 0.0)
+
+
+def candidates(points: np.ndarray, queries: np.ndarray, k: int = 20, recall: float = RECALL) -> tuple[int, int]:
+    """(scored, different): pairs that `nearest` scores for these queries if fitted on these points; pairs of different rows."""
+    longest = float(np.linalg.norm(points, axis=1).max()) * (1 + 1e-12)
+    lifted = _lifted(points, longest)
+    forest = Forest(lifted, TREES, max(LEAVES, len(points) // LEAF_MEAN))
+    take, leaf = calibrated(forest, lifted, points, k, recall), forest.leaf_of(lifted)
+    scored = different = 0
+    for q in queries:
+        met = np.isin(leaf, forest.nearest_leaves(_asked(q), take))
+        scored, different = scored + int(met.sum()), different + int(met.any(axis=1).sum())
+    return scored, different
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -164,7 +185,10 @@ def nearest(
 
 def _fitted(points: DataFrame, k: int, trees: int, sample_rows: int, recall: float) -> tuple[Forest, float, int]:
     """The forest, the greatest length of a vector, and how many leaves a query takes."""
-    n, longest = points.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    largest = F.array_max(F.transform("v", F.abs))  # squares of tiny or huge numbers leave the range
+    scaled = points.select("v", largest.alias("m"))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("m")) * (x / F.col("m")))
+    n, longest = scaled.agg(F.count("*"), F.max(F.col("m") * F.sqrt(squares))).first()
     share = F.lit(min(1.0, 1.1 * sample_rows / n) * (1 << 30))
     drawn = points.select("v", F.xxhash64("rep").alias("__h")).where(F.pmod(F.col("__h"), F.lit(1 << 30)) < share)
     plain = np.array([r["v"] for r in drawn.orderBy("__h").limit(sample_rows).select("v").collect()])
@@ -245,7 +269,7 @@ def _nearest(
     def probes_of(own):
         if forest is None:
             return alone(own)
-        found = [forest.nearest_leaves(np.append(q / np.linalg.norm(q), 0.0), take) for q in own]
+        found = [forest.nearest_leaves(_asked(q), take) for q in own]
         return np.array([y for x in found for y in x], dtype=np.int64), np.repeat(np.arange(len(own)), [len(x) for x in found])
 
     def parts(df, size):

@@ -114,3 +114,41 @@ def test_forest_edge_cases(spark):
     assert ann_forest.nearest(df.where("false"), df.where("false")).count() == 0
     few = df.where("vec_id < 3 or vec_id = 20")
     assert [len(x) for x in collected(ann_forest.nearest(few, few.where("vec_id % 20 = 0"))).values()] == [3, 3]
+
+
+def test_forest_reads_a_falling_share_of_clustered_vectors():
+    """Scored pairs, all trees counted, against queries x rows: what the forest saves where vectors aren't even."""
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (1000, 4000, 16_000):
+        centres = rng.standard_normal((50, 64))
+        v = centres[rng.integers(0, 50, n)] + 0.4 * rng.standard_normal((n, 64))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        scored, different = ann_forest.candidates(v, v[:: n // 50])
+        asked = len(v[:: n // 50])
+        assert different <= scored < 0.3 * n * asked, (n, scored / n / asked)
+        shares.append(scored / n / asked)
+    assert shares[-1] < shares[0], shares
+
+
+def test_forest_recall_of_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    v = (rng.standard_normal((20, 32))[rng.integers(0, 20, 1500)] + 0.5 * rng.standard_normal((1500, 32))).astype(np.float32)
+    rows = [(i, x.astype(float).tolist(), "x") for i, x in enumerate(v)]
+    df = frame(spark, rows)
+    expected = brute(good(rows), 20, lambda m, q: m @ q)
+    got = collected(ann_forest.nearest(df, df.where("vec_id % 20 = 0")))
+    assert got.keys() == expected.keys()
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in expected[q]}) for q in got) >= 0.9 * 20 * len(expected)
+
+
+def test_forest_tiny_and_huge_vectors(spark):
+    """Lengths whose squares underflow to zero, or near the end of the range, still route: every query gets 20 rows."""
+    rng = np.random.default_rng(9)
+    for scale in (1e-200, 1e148):
+        m = rng.standard_normal((600, 8)) * scale
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+        got = collected(ann_forest.nearest(df, df.where("vec_id % 20 = 0")))
+        assert len(got) == 30 and all(len(x) == 20 for x in got.values())
+        if scale < 1:  # every score underflows to zero: ties, smaller ids first among those met
+            assert all(s == 0 and [v for v, _ in x] == sorted(v for v, _ in x) for x in got.values() for _, s in x)
