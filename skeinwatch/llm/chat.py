@@ -11,7 +11,7 @@ already, which unescaping takes off; line feeds in roles are written as `\\n`. S
 stands in the output, and the turns can be read back exactly.
 
 Null texts and roles count as empty. Messages whose parent is missing are roots. A cycle has no leaf, so its messages are on no path;
-a message id must be unique.
+a leaf that hangs on a cycle has no root and is an error. A message id must be unique.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skeinwatch.llm.common import cuts, written
+from skeinwatch.llm.common import cuts, scratch, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: What must not stand inside a text, without its first character: marks of this template and of the [INST] family.
@@ -45,48 +45,55 @@ def _role_in(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def paths(messages: DataFrame, per_tree: int = 1, max_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """tree, leaf, depth, id: the messages on each chosen root-to-leaf path, depth counted from the root.
 
     messages: id, parent (null at a root), score (null counts as 0).
     """
-    ids = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    nodes = written(
-        ids.join(
-            ids.select(F.col("id").alias("__p")),
-            F.col("parent") == F.col("__p"),
-            "left",
-        ).select("id", F.col("__p").alias("up"), "score"),
-        "messages",
-    )
-    jump = nodes.select("id", "up")
-    leaves = nodes.join(nodes.where("up is not null").select(F.col("up").alias("id")).distinct(), "id", "left_anti")
+    with scratch(messages.sparkSession):
+        ids = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+        nodes = written(
+            ids.join(
+                ids.select(F.col("id").alias("__p")),
+                F.col("parent") == F.col("__p"),
+                "left",
+            ).select("id", F.col("__p").alias("up"), "score"),
+            "messages",
+        )
+        path = _reach(nodes).join(nodes.select("id", "score"), "id")
+        of_leaf = path.groupBy("leaf").agg(F.sum("score").alias("score"), F.max("height").alias("top"), F.max_by("id", "height").alias("tree"))
+        best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
+        chosen = of_leaf.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= per_tree)
+        found = path.join(
+            chosen.select("leaf", "tree", "top", F.col("__rank").alias("branch"), F.col("score").alias("path_score")),
+            "leaf",
+        ).select("tree", "leaf", "branch", "path_score", (F.col("top") - F.col("height")).alias("depth"), "id")
+        return written(found, "chosen-paths", keep=True)
+
+
+def _reach(nodes: DataFrame) -> DataFrame:
+    """leaf, id, height: every leaf's ancestors and itself. Each round writes only the rows that it finds."""
+    jump = nodes.select("id", "up").where("up is not null")
+    leaves = nodes.join(jump.select(F.col("up").alias("id")).distinct(), "id", "left_anti")
     reach = written(leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("height")), "reach")
-    step = 1
-    for _ in range(max_rounds):
-        known = jump.where("up is not null")
-        further = reach.join(known, "id").select("leaf", F.col("up").alias("id"), (F.col("height") + step).alias("height"))
-        reach = written(reach.unionByName(further), "reach")
+    step, most = 1, nodes.count()
+    while step <= most:
+        further = reach.join(jump, "id").select("leaf", F.col("up").alias("id"), (F.col("height") + step).alias("height"))
+        further = written(further, "reach")
+        reach = reach.unionByName(further)
         jump = written(
-            known.alias("a").join(
-                known.select(F.col("id").alias("up"), F.col("up").alias("__next")),
+            jump.alias("a").join(
+                jump.select(F.col("id").alias("up"), F.col("up").alias("__next")),
                 "up",
             ).select("id", F.col("__next").alias("up")),
             "jump",
         )
         step *= 2
-        if jump.isEmpty():
-            break
-    else:
-        raise RuntimeError("replies form a cycle")
-    path = reach.join(nodes.select("id", "score"), "id")
-    of_leaf = path.groupBy("leaf").agg(F.sum("score").alias("score"), F.max("height").alias("top"), F.max_by("id", "height").alias("tree"))
-    best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    chosen = of_leaf.withColumn("__rank", F.row_number().over(best)).where(F.col("__rank") <= per_tree)
-    return path.join(
-        chosen.select("leaf", "tree", "top", F.col("__rank").alias("branch"), F.col("score").alias("path_score")),
-        "leaf",
-    ).select("tree", "leaf", "branch", "path_score", (F.col("top") - F.col("height")).alias("depth"), "id")
+        if jump.isEmpty() or further.isEmpty():
+            return reach
+    if most:
+        raise RuntimeError("messages hang on a cycle of replies")
+    return reach
 
 
 def formatted(turns: DataFrame, keys: list[str], order: str) -> DataFrame:

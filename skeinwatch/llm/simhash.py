@@ -160,17 +160,19 @@ def links(fps: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id linked through near fingerprints."""
-    made = written(fingerprints(docs, ["doc_id"], size), "fingerprints")
-    classes = written(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = connected_components(links(classes.select("fp")))
-    labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp",
-        "least",
-        F.coalesce("component", "fp").alias("component"),
-    )
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = labelled.join(least, "component").select("fp", "component_id")
-    return made.join(of, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession):
+        made = written(fingerprints(docs, ["doc_id"], size), "fingerprints")
+        classes = written(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+        found = connected_components(links(classes.select("fp")))
+        labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp",
+            "least",
+            F.coalesce("component", "fp").alias("component"),
+        )
+        least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+        of = labelled.join(least, "component").select("fp", "component_id")
+        named = made.join(of, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        return written(named, "fingerprint-components", keep=True)
 
 
 # Near copies at a word-shingle similarity. Fingerprints of whole texts come within 3 bits for few pairs of similarity 0.8

@@ -4,13 +4,14 @@ import hashlib
 import itertools
 import math
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skeinwatch.llm import chat, components, mixing, packing, url_filter
+from skeinwatch.llm import chat, common, components, mixing, packing, url_filter
 from skeinwatch.llm.common import maybe_among
 
 
@@ -239,6 +240,24 @@ def test_reply_trees_choose_the_best_branch(spark):
     ] == [1, 8]
 
 
+def test_reply_cycles_are_on_no_path_and_what_hangs_on_one_is_an_error(spark):
+    kind = "id long, parent long, score double, role string, text string"
+    cycle = [(1, 3, 0.0, "user", "a"), (2, 1, 0.0, "user", "b"), (3, 2, 0.0, "user", "c")]
+    alone = [(7, None, 0.0, "user", "d"), (8, 7, 0.0, "assistant", "e")]
+    assert [r["leaf"] for r in chat.chat_paths(spark.createDataFrame(cycle + alone, kind)).collect()] == [8]
+    with pytest.raises(RuntimeError, match="cycle"):
+        chat.chat_paths(spark.createDataFrame([*cycle, (4, 1, 0.0, "user", "f")], kind))
+
+
+def test_long_chain_of_replies_leaves_one_table(spark):
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    rows = spark.range(1, 301).select("id", F.expr("nullif(id - 1, 0)").alias("parent"), F.lit(1.0).alias("score"))
+    got = chat.paths(rows).collect()
+    assert sorted((r["depth"], r["id"]) for r in got) == [(i, i + 1) for i in range(300)]
+    assert {r["path_score"] for r in got} == {300.0} and len(set(folder.iterdir()) - before) == 1
+
+
 def test_pipeline_stages(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language ID",
