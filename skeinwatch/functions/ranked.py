@@ -103,7 +103,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: tuple
     lo, hi, at = F.min_by(value, "r"), F.max_by(value, "r"), F.min("__at")
     between = (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi
     found = found.withColumn("__at", place).groupBy(*keys, "q")
-    return found.agg(F.when(F.floor(at) == at, lo).otherwise(between).alias(value))
+    # equal neighbours are what lies between them: their weighted sum may round away from both
+    return found.agg(F.when((F.floor(at) == at) | (lo == hi), lo).otherwise(between).alias(value))
 
 
 def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str, float]) -> DataFrame:

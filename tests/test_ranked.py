@@ -86,6 +86,14 @@ def test_quantiles_of_large_keys_come_from_brackets(spark, monkeypatch):
     assert len(near) == 4 * len(at)
 
 
+def test_quantiles_between_equal_values_are_these(spark):
+    df = spark.createDataFrame([(i / 100,) for i in (1, 3, 4, 6, 7) for _ in range(14)], "x double").repartition(3)
+    edges = psi.quantile_edges(df, ["x"], 10).first()["edges"]
+    assert edges[0] == 0.01 and edges[-1] == 0.07  # 0.1 * 69 falls between two equal values
+    counts = {r["id"]: r["count"] for r in psi.psi_bin_counts(df, psi.psi_profile(df, ["x"]), ["x"]).collect()}
+    assert counts[1] == 14 and counts[max(counts)] == 0 and sum(counts.values()) == 70
+
+
 def test_approximate_percentiles_are_near(spark):
     df = spark.range(100_000).select(F.lit("m").alias("metric"), ((F.col("id") * 7919) % 100_000).cast("double").alias("value"))
     row = df.groupBy("metric").agg(*metrics.percentiles("value"), F.approx_count_distinct("value").alias("n")).first()
