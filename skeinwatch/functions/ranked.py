@@ -50,6 +50,8 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "seq", keys:
 #: A sketch's rank is off by at most n / ACCURACY; a bracket reaches WIDTH of all ranks to each side, five times that. Keys
 #: of at most SMALL values are bracketed as a whole.
 ACCURACY, WIDTH, SMALL = 10_000, 0.0005, 5_000
+#: Sketches of up to so many keys go to every task, so that no key's rows are gathered in one; of more keys, rows meet by key.
+FEW_KEYS = 10_000
 
 
 def _picked(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...], ranks: Column) -> DataFrame:
@@ -72,8 +74,9 @@ def _picked(df: DataFrame, keys: list[str], value: str, quantiles: tuple[float,
         open_hi = whole | F.lit(q + WIDTH >= 1) | (hi == F.lit(float("inf")) if kind in ("double", "float") else F.lit(False))
         return F.struct(F.when(whole | F.lit(q - WIDTH <= 0), none).otherwise(lo).alias("lo"), F.when(open_hi, none).otherwise(hi).alias("hi"))
 
-    sketches = sketches.select(*keys, "__n", F.array(*(bracket(i, q) for i, q in enumerate(at))).alias("__in"))
-    rows = joined(held.select(*keys, value), sketches, keys)
+    sketches = written(sketches.select(*keys, "__n", F.array(*(bracket(i, q) for i, q in enumerate(at))).alias("__in")), "brackets")
+    few = sketches.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    rows = joined(held.select(*keys, value), F.broadcast(sketches) if few else sketches, keys)
     v = F.col(value)
     holds = lambda b: (b["lo"].isNull() | (v >= b["lo"])) & (b["hi"].isNull() | (v <= b["hi"]))
     behind = lambda b: F.coalesce(b["hi"] < v, F.lit(False))

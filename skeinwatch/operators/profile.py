@@ -58,7 +58,7 @@ def rank_quantiles(df: DataFrame, columns: list[str], quantiles: tuple[float, ..
         return got.select("feature", F.element_at(qs, F.col("i") + 1).alias("q"), "value")
     clean = held.groupBy("feature").agg(F.min(finite(F.col("value"))).alias("__clean")).where("__clean").select("feature")
     rank = F.floor(F.col("q") * (F.col("__n") - 1) + 0.5)
-    return nearest_ranks(held.where(finite(F.col("value"))), ["feature"], "value", tuple(quantiles), rank).join(clean, "feature")
+    return nearest_ranks(held.where(finite(F.col("value"))), ["feature"], "value", tuple(quantiles), rank).join(F.broadcast(clean), "feature")
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:

@@ -94,6 +94,18 @@ def test_quantiles_between_equal_values_are_these(spark):
     assert counts[1] == 14 and counts[max(counts)] == 0 and sum(counts.values()) == 70
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_gathers_the_rows_of_a_key(spark, keyed, monkeypatch):
+    found = ranked.nearest_ranks(keyed, ["k"], "v", (0.5,), F.floor(F.col("q") * (F.col("__n") - 1)))
+    assert "BroadcastHashJoin" in plan_of(found) and "SortMergeJoin" not in plan_of(found)
+    few = sorted(ranked.exact_quantiles(keyed, ["k"], "v", (0.1, 0.5)).collect())
+    monkeypatch.setattr(ranked, "FEW_KEYS", 2)
+    assert sorted(ranked.exact_quantiles(keyed, ["k"], "v", (0.1, 0.5)).collect()) == few
+
+
 def test_approximate_percentiles_are_near(spark):
     df = spark.range(100_000).select(F.lit("m").alias("metric"), ((F.col("id") * 7919) % 100_000).cast("double").alias("value"))
     row = df.groupBy("metric").agg(*metrics.percentiles("value"), F.approx_count_distinct("value").alias("n")).first()
