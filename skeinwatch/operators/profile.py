@@ -62,12 +62,15 @@ def rank_quantiles(df: DataFrame, columns: list[str], quantiles: tuple[float, ..
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
-    """feature, bin, left_edge, count: equal-width bins between min and max, the last one closed; empty bins included."""
+    """feature, bin, left_edge, count: equal-width bins between min and max, the last one closed; empty bins included.
+
+    The ends, a row a column, go to every task: no column's values are gathered in one.
+    """
     held = long_form(df, columns).where(finite(F.col("value")))
     ends = held.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
-    counts = held.join(ends, "feature").groupBy("feature", at.alias("bin")).agg(F.count("*").alias("count"))
+    counts = held.join(F.broadcast(ends), "feature").groupBy("feature", at.alias("bin")).agg(F.count("*").alias("count"))
     grid = ends.select("feature", "lo", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, ["feature", "bin"], "left").select(
         "feature",

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwatch.functions import ranked, shared
-from skeinwatch.operators import metrics, psi, spc, traces
+from skeinwatch.operators import metrics, profile, psi, spc, traces
 from skeinwatch.sources import tables
 from tests.test_drift import loop_rules, series
 
@@ -106,6 +106,13 @@ def test_no_task_gathers_the_rows_of_a_key(spark, keyed, monkeypatch):
     assert sorted(ranked.exact_quantiles(keyed, ["k"], "v", (0.1, 0.5)).collect()) == few
 
 
+def test_no_task_gathers_the_values_of_a_column(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y")).repartition(5)
+    bars = profile.histogram(df, ["x", "y"], 10)
+    assert "BroadcastHashJoin" in plan_of(bars)
+    assert {(r["feature"], r["bin"]): r["count"] for r in bars.collect() if r["count"]} == {("y", 0): 1000} | {("x", i): 100 for i in range(10)}
+
+
 def test_approximate_percentiles_are_near(spark):
     df = spark.range(100_000).select(F.lit("m").alias("metric"), ((F.col("id") * 7919) % 100_000).cast("double").alias("value"))
     row = df.groupBy("metric").agg(*metrics.percentiles("value"), F.approx_count_distinct("value").alias("n")).first()
