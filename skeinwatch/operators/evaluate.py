@@ -37,10 +37,10 @@ def _get(v: Column, path: str, kind: str) -> Column:
 
 
 class Value:
-    """A variant seen through its JSON type; every accessor is null where the type differs."""
+    """A variant seen through its JSON type; every accessor is null where the type differs. literal: its value, if it is fixed."""
 
-    def __init__(self, v: Column):
-        self.v = v
+    def __init__(self, v: Column, literal: object = None):
+        self.v, self.literal = v, literal
         self.kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
         self.is_null = v.isNull() | (self.kind == "VOID")
         self.is_string, self.is_boolean = self.kind == "STRING", self.kind == "BOOLEAN"
@@ -75,6 +75,32 @@ def _strings(items: Column) -> Column:
     return F.transform(items, lambda x: F.to_json(x))
 
 
+def _plain(value: object) -> bool:
+    """Whether a literal is a string that doesn't read as a number, so that only an equal string is the same."""
+    return isinstance(value, str) and not re.search(r"[0-9]", value) and value.strip().lstrip("+-").lower() not in ("inf", "infinity", "nan")
+
+
+def _texts(items: Column, e: Value) -> tuple[Column, Column] | None:
+    """The items and what is expected among them as JSON, each made once, so that sets of texts compare; None where the latter
+    aren't plain strings known beforehand."""
+    if not isinstance(e.literal, list) or not e.literal or not all(map(_plain, e.literal)):
+        return None
+    wanted = [F.to_json(F.parse_json(F.lit(json.dumps(x)))) for x in dict.fromkeys(e.literal)]
+    return F.transform(items, lambda x: F.coalesce(F.to_json(x), F.lit("null"))), F.array(*wanted)
+
+
+def _all_members(a: Value, e: Value) -> Column:
+    if (texts := _texts(a.items, e)) is not None:
+        return F.size(F.array_intersect(*texts)) == len(set(e.literal))
+    return F.forall(e.items, lambda x: _member(a.items, Value(x)))
+
+
+def _any_member(a: Value, e: Value) -> Column:
+    if (texts := _texts(a.items, e)) is not None:
+        return F.arrays_overlap(*texts)
+    return F.exists(e.items, lambda x: _member(a.items, Value(x)))
+
+
 # Patterns that results must agree on.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 URL = r"^https?://[a-zA-Z0-9][a-zA-Z0-9-]*(\.[a-zA-Z0-9][a-zA-Z0-9-]*)*(/.*)?$"
@@ -102,7 +128,7 @@ def _cased(case: str) -> Callable:
 
 def _any_of(a: Value, e: Value) -> Column:
     keyword = F.exists(e.items, lambda x: F.contains(a.text, _get(x, "$", "string")))
-    return F.when(a.is_string, keyword).otherwise(F.exists(e.items, lambda x: _member(a.items, Value(x))))
+    return F.when(a.is_string, keyword).otherwise(_any_member(a, e))
 
 
 OPERATORS: dict[str, Callable[[Value, Value], Column]] = {
@@ -143,9 +169,9 @@ OPERATORS: dict[str, Callable[[Value, Value], Column]] = {
         F.zip_with(a.items, e.items, lambda x, y: same(Value(x), Value(y))),
         lambda t: t,
     ),
-    "contains_all": lambda a, e: F.forall(e.items, lambda x: _member(a.items, Value(x))),
+    "contains_all": _all_members,
     "contains_any": _any_of,
-    "contains_none": lambda a, e: ~F.exists(e.items, lambda x: _member(a.items, Value(x))),
+    "contains_none": lambda a, e: ~_any_member(a, e),
     "has_unique_items": lambda a, e: F.size(F.array_distinct(_strings(a.items))) == F.size(a.items),
     "is_empty": lambda a, e: a.is_null | (a.length == 0),
     "is_not_empty": lambda a, e: ~a.is_null & (a.length > 0),
@@ -208,7 +234,7 @@ def assertion(context: Column, task: Task) -> Column:
         raise ValueError(f"unknown operator {task.operator!r}")
     check = OPERATORS[task.operator]
     actual = F.try_variant_get(context, json_path(task.path), "variant") if task.path else context
-    a, e = Value(actual), Value(_expected(context, task.expected))
+    a, e = Value(actual), Value(_expected(context, task.expected), task.expected)
     one = check(a, e)
     if task.operator not in WHOLE_ARRAY or task.item_path:
         item = lambda x: F.try_variant_get(x, json_path(task.item_path), "variant") if task.item_path else x

@@ -329,3 +329,20 @@ def test_scenarios_from_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
     for form in ("json", "jsonl"):
         assert [r["query"] for r in tables.read_scenarios(spark, str(tmp_path / f"a.{form}"), "d", form).collect()] == ["r"]
+
+
+def test_plain_strings_are_sought_as_texts(spark):
+    words = [["a", "b", "b"], ["c"], [], ["true", True, None, 3, "3"], "a b", None, {"a": 1}, ["\u00e9\"", "a"]]
+    rows = spark.createDataFrame([(i, json.dumps({"w": w})) for i, w in enumerate(words)], "record_id int, c string")
+    rows = rows.select("record_id", F.parse_json("c").alias("context"))
+    sought = [["a", "b"], ["b", "b"], ["true"], ["null"], ["\u00e9\""], ["3"], ["Infinity"], [3, "a"], []]
+    actual = evaluate.Value(F.try_variant_get("context", "$.w", "variant"))
+    for operator, made in (("contains_all", "array_intersect("), ("contains_any", "arrays_overlap("), ("contains_none", "arrays_overlap(")):
+        judged = []
+        for x in sought:
+            v = F.parse_json(F.lit(json.dumps(x)))
+            judged += [F.coalesce(evaluate.OPERATORS[operator](actual, e), F.lit(False)) for e in (evaluate.Value(v, x), evaluate.Value(v))]
+        for r in rows.select(*(c.alias(f"c{i}") for i, c in enumerate(judged))).collect():
+            assert r[::2] == r[1::2]
+        plan = evaluate.evaluate(rows, [Task("t", operator, ["a", "b"], "w")]).select("passed")._jdf.queryExecution().optimizedPlan().toString()
+        assert made in plan
