@@ -463,7 +463,7 @@ def trace_values(spans: DataFrame, asked: dict[str, tuple]) -> DataFrame:
         elif kind == "trace_error_count":
             value = F.count_if(F.col("status_code") == 2)
         elif kind == "trace_service_count":
-            value = F.count_distinct("service_name")
+            value = F.size(F.collect_set("service_name")).cast("long")  # a distinct count would shuffle all spans twice more
         elif kind == "trace_max_depth":
             value = F.max("depth")
         elif kind == "trace_attribute":

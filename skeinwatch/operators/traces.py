@@ -116,8 +116,8 @@ def _depth_first(ids: list, parents: list) -> Iterator[tuple[int, list]]:
 HELD_PATHS = 1_000_000
 
 
-def span_tree(spans: DataFrame, max_spans: int = MAX_SPANS) -> DataFrame:
-    """trace_id, span_id, depth, span_order (depth first, children by start time), path and root_span_id.
+def span_tree(spans: DataFrame, max_spans: int = MAX_SPANS, paths: bool = True) -> DataFrame:
+    """trace_id, span_id, depth, span_order (depth first, children by start time), path (unless not asked) and root_span_id.
 
     Spans that no root leads to come last at depth 0, with a path of themselves; without any root the first span is the
     root. Ties of start time go to the smaller span id. A trace of up to max_spans spans is one row's work, and many traces
@@ -125,9 +125,10 @@ def span_tree(spans: DataFrame, max_spans: int = MAX_SPANS) -> DataFrame:
     """
     large = written(spans.groupBy("trace_id").agg(F.count("*").alias("n")).where(F.col("n") > max_spans).select("trace_id"), "large-traces")
     if large.isEmpty():
-        return _gathered_tree(spans)
-    small = _gathered_tree(spans.join(large, "trace_id", "left_anti"))
-    return small.unionByName(joined_tree(spans.join(large, "trace_id", "left_semi")))
+        return _gathered_tree(spans, paths=paths)
+    small = _gathered_tree(spans.join(large, "trace_id", "left_anti"), paths=paths)
+    placed = joined_tree(spans.join(large, "trace_id", "left_semi"))
+    return small.unionByName(placed if paths else placed.drop("path"))
 
 
 def _tree_rows(batches, kinds: list[pa.Field], page: tuple[int, int] | None, paths: bool):

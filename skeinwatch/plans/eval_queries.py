@@ -256,7 +256,7 @@ _TREE = with_views("ranked", "spans").replace("WITH ", "WITH RECURSIVE ", 1) + "
     JOIN depths d ON s.trace_id = d.trace_id AND s.span_id = d.span_id GROUP BY s.trace_id""")
 def trace_values(spark, sf):
     spans = views.spans(spark, sf)
-    held = spans.join(traces.span_tree(spans).select("trace_id", "span_id", "depth", "span_order"), ["trace_id", "span_id"])
+    held = spans.join(traces.span_tree(spans, paths=False).select("trace_id", "span_id", "depth", "span_order"), ["trace_id", "span_id"])
     asked = {
         "op1": ("span_count", {"name": "op1"}),
         "returned": ("span_exists", {"attribute": ("flag", "R")}),

@@ -346,3 +346,16 @@ def test_plain_strings_are_sought_as_texts(spark):
             assert r[::2] == r[1::2]
         plan = evaluate.evaluate(rows, [Task("t", operator, ["a", "b"], "w")]).select("passed")._jdf.queryExecution().optimizedPlan().toString()
         assert made in plan
+
+
+def test_span_tree_without_paths_and_services_in_one_aggregation(spark):
+    rows = [("t", i, None if i == 0 else (i - 1) // 2, f"svc{i % 3}", T0 + timedelta(seconds=i)) for i in range(9)]
+    df = spark.createDataFrame([*rows, ("u", 1, None, None, T0)], "trace_id string, span_id long, parent_span_id long, service_name string, start_time timestamp")
+    columns = ["trace_id", "span_id", "depth", "span_order", "root_span_id"]
+    want = sorted(map(tuple, traces.span_tree(df).select(columns).collect()))
+    for most in (100_000, 3):
+        got = traces.span_tree(df, most, paths=False)
+        assert got.columns == columns and sorted(map(tuple, got.collect())) == want
+    made = evaluate.trace_values(df, {"services": ("trace_service_count",)})
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, made.collect())) == [("t", 3), ("u", 0)]
