@@ -484,12 +484,14 @@ def extract_ids(spans: DataFrame, entity_prefix: str = ENTITY_PREFIX, queue_key:
     valid = lambda v: v.rlike(anchored(UUID))
     entities = lambda m: F.filter(F.map_values(F.map_filter(m, lambda k, v: k.startswith(entity_prefix))), valid)
     queues = lambda m: F.filter(F.map_values(F.map_filter(m, lambda k, v: k == queue_key)), valid)
-    flat = lambda f, held: F.array_distinct(F.flatten(F.transform(held, f)))
-    return spans.withColumns({
-        "entity_ids": flat(entities, maps),
-        "queue_ids": flat(queues, maps),
-        "owned_ids": flat(entities, F.filter(maps, lambda m: F.size(queues(m)) > 0)),
-    })
+    found = F.transform(maps, lambda m: F.struct(entities(m).alias("e"), queues(m).alias("q")))  # each map is read once
+    flat = lambda name, held: F.array_distinct(F.flatten(F.transform(held, lambda x: x[name])))
+    held = F.col("__found")
+    return spans.withColumn("__found", found).withColumns({
+        "entity_ids": flat("e", held),
+        "queue_ids": flat("q", held),
+        "owned_ids": flat("e", F.filter(held, lambda x: F.size(x["q"]) > 0)),
+    }).drop("__found")
 
 
 def unowned_entities() -> Column:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from skeinwatch.functions import scalars
-from skeinwatch.functions.shared import new_folder
+from skeinwatch.functions.shared import new_folder, written
 from skeinwatch.functions.timeutil import after_cursor, opt_filter, time_filter, time_trunc, top_k
 from skeinwatch.operators import rollup, servicemap, traces
 from skeinwatch.plans import views
@@ -340,7 +340,7 @@ def lookup(spark, sf):
 @query("T14_synth_records", f"""{_SPANS}, {_LOG} SELECT trace_id || '-' || entity_id AS record_id, trace_id, 'pending' AS status FROM log
   WHERE event = 'candidate' AND right(entity_id, 1)::INTEGER % 2 = 0 AND trace_id % 3 > 0""")
 def synth_records(spark, sf):
-    log = _log(spark, sf)
+    log = written(_log(spark, sf), "log")  # read three times
     profiles = log.select("entity_id").distinct().withColumn("has_trace_tasks", F.substring("entity_id", 36, 1).cast("int") % 2 == 0)
     existing = log.where(F.col("trace_id") % 3 == 0)
     return traces.synth_eval_records(traces.pending_dispatch(log), profiles, existing)[0].select("record_id", "trace_id", "status")

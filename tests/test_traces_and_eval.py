@@ -359,3 +359,8 @@ def test_span_tree_without_paths_and_services_in_one_aggregation(spark):
     made = evaluate.trace_values(df, {"services": ("trace_service_count",)})
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, made.collect())) == [("t", 3), ("u", 0)]
+
+
+def test_synth_records_make_the_log_once(spark, sf):
+    made = registry.QUERIES["T14_synth_records"](spark, sf)
+    assert "l_orderkey" not in made._jdf.queryExecution().optimizedPlan().toString()  # only the written log is read
