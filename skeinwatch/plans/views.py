@@ -70,10 +70,25 @@ def even_profile(spark):
     )
 
 
+#: Line items in a partition of spans, about: a larger table makes more partitions.
+DEALT_ROWS = 500_000
+
+
+def dealt(lines: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Line items dealt by order to partitions of about DEALT_ROWS rows, and orders to be merged with them rather than sent whole
+    to every task, so that what a task holds doesn't grow with the tables; up to twice as many rows stay as they are."""
+    rows = lines.count()
+    if rows <= 2 * DEALT_ROWS:
+        return lines, orders
+    n = max(-(-rows // DEALT_ROWS), int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return lines.repartition(n, "l_orderkey"), orders.hint("merge")
+
+
 def spans(spark, sf_dir):
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    held = table(spark, sf_dir, "lineitem").withColumn("rk", F.row_number().over(order)).join(
-        table(spark, sf_dir, "orders"),
+    lines, orders = dealt(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+    held = lines.withColumn("rk", F.row_number().over(order)).join(
+        orders,
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
     start = F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("rk") * 1_000_000

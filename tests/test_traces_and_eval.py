@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skeinwatch.functions import scalars, timeutil
 from skeinwatch.operators import compare, evaluate, genai, traces
 from skeinwatch.operators.evaluate import Task
-from skeinwatch.plans import registry
+from skeinwatch.plans import registry, views
 from skeinwatch.sources import tables
 from skeinwatch.streaming import outbox, samples, streams
 
@@ -364,3 +364,13 @@ def test_span_tree_without_paths_and_services_in_one_aggregation(spark):
 def test_synth_records_make_the_log_once(spark, sf):
     made = registry.QUERIES["T14_synth_records"](spark, sf)
     assert "l_orderkey" not in made._jdf.queryExecution().optimizedPlan().toString()  # only the written log is read
+
+
+def test_spans_of_large_tables_make_more_partitions(spark, sf, monkeypatch):
+    """What a task holds of the spans stays about the same as line items grow; the rows stay the same."""
+    plain = views.spans(spark, sf).drop("attributes", "events")
+    few = plain.rdd.getNumPartitions()
+    monkeypatch.setattr(views, "DEALT_ROWS", 400)
+    many = views.spans(spark, sf).drop("attributes", "events")
+    assert few <= 4 and many.rdd.getNumPartitions() >= 12
+    assert plain.exceptAll(many).isEmpty() and many.exceptAll(plain).isEmpty()
