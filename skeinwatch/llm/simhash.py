@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwatch.llm.common import maybe_among, scratch, sliced, written
+from skeinwatch.llm.common import among_maybe, maybe_among, scratch, sliced, written
 from skeinwatch.llm.components import connected_components
 
 SEED = 42
@@ -369,26 +369,28 @@ def _meeting(made: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The prefix rows (rep, component, n, held, pos, shingle) of the shared shingles (a written table), and of each shingle
     its component with most rows (main) and how many rows the others have (rest)."""
     shared, rows = shared.select("shingle"), _prefix_rows(made)
-    rows = written(maybe_among(rows, shared, "shingle").where("__maybe").drop("__maybe").join(shared, "shingle", "left_semi"), "meeting")
+    rows = written(among_maybe(rows, shared, "shingle").join(shared, "shingle", "left_semi"), "meeting")
     each = rows.groupBy("shingle", "component").agg(F.count("*").alias("__m"))
     main = F.max_by("component", F.struct("__m", "component")).alias("main")
     return rows, written(each.groupBy("shingle").agg(main, (F.sum("__m") - F.max("__m")).alias("rest")), "mains")
 
 
-def _heavy(made: DataFrame, shared: DataFrame) -> DataFrame:
-    """The shared shingles on which more than HEAVY rows would meet all rows; written. Only those with more rows than that are
-    looked at, so the rows that meet are made once, after the order is settled."""
+def _heavy(made: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The shared shingles on which more than HEAVY rows would meet all rows, and the doc_id of the representatives with any of
+    them in their prefix; both written. Only shingles with more rows than that are looked at, so the rows that meet are made
+    once, after the order is settled."""
     many = written(shared.where(F.col("m") > HEAVY), "many")
     if many.isEmpty():
-        return many.select("shingle")
-    _, main = _meeting(made, many)
-    return written(main.where(F.col("rest") > HEAVY).select("shingle"), "heavy")
+        return many.select("shingle"), made.select(F.col("rep").alias("doc_id")).limit(0)
+    rows, main = _meeting(made, many)
+    heavy = written(main.where(F.col("rest") > HEAVY).select("shingle"), "heavy")
+    return heavy, written(rows.join(heavy, "shingle", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "holders")
 
 
 def _holders(made: DataFrame, shingles: DataFrame) -> DataFrame:
     """doc_id of the representatives with any of the shingles (a written table) in their prefix; written."""
     rows = made.select(F.col("rep").alias("doc_id"), F.explode("prefix").alias("shingle"))
-    found = maybe_among(rows, shingles, "shingle").where("__maybe").join(shingles, "shingle", "left_semi")
+    found = among_maybe(rows, shingles, "shingle").join(shingles, "shingle", "left_semi")
     return written(found.select("doc_id").distinct(), "holders")
 
 
@@ -398,13 +400,12 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return written(_shingle_sets(likely.join(ids, "doc_id", "left_semi"), size), "sets")
 
 
-def _reordered(made: DataFrame, docs: DataFrame, heavy: DataFrame, sketch: _Sketch) -> DataFrame:
+def _reordered(made: DataFrame, docs: DataFrame, heavy: DataFrame, holders: DataFrame, sketch: _Sketch) -> DataFrame:
     """made with new prefixes for an order in which the heavy shingles come last, and with them all other shingles that more
-    than HEAVY of the documents concerned have (a passage's shingles come up together).
+    than HEAVY of the documents concerned (holders) have (a passage's shingles come up together).
 
     A prefix without any of these stays as it is in the new order, so that only the others are made anew.
     """
-    holders = _holders(made, heavy)
     sets = _sets_of(docs, holders, sketch.size)
     counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("weight")).where(F.col("weight") > HEAVY)
     late = counts.unionByName(heavy.withColumn("weight", F.lit(1).cast("long"))).groupBy("shingle").agg(F.max("weight").alias("weight"))
@@ -412,7 +413,7 @@ def _reordered(made: DataFrame, docs: DataFrame, heavy: DataFrame, sketch: _Sket
     everyone = _holders(made, late.select("shingle"))
     sets = sets.unionByName(_sets_of(docs, written(everyone.join(holders, "doc_id", "left_anti"), "holders"), sketch.size))
     rows = sets.select("rep", F.explode("shingles").alias("shingle"))
-    rows = maybe_among(rows, late.select("shingle"), "shingle").where("__maybe").select("rep", "shingle").join(late, "shingle")
+    rows = among_maybe(rows, late.select("shingle"), "shingle").join(late, "shingle")
     own = rows.groupBy("rep").agg(F.collect_list("shingle").alias("late"), F.collect_list("weight").alias("weights"))
 
     def work(batches):
@@ -438,9 +439,9 @@ def _prefix_pairs(made: DataFrame, docs: DataFrame, sketch: _Sketch) -> DataFram
     """
     similarity = sketch.similarity
     shared = _shared(made)
-    heavy = _heavy(made, shared)
+    heavy, holders = _heavy(made, shared)
     if not heavy.isEmpty():
-        made = written(_reordered(made, docs, heavy, sketch), "prefixes")
+        made = written(_reordered(made, docs, heavy, holders, sketch), "prefixes")
         shared = _shared(made)
     rows, main = _meeting(made, shared)
     a, b = rows.join(main, "shingle").where("component <> main").alias("a"), rows.alias("b")

@@ -358,3 +358,35 @@ def test_rows_that_meet_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_meeting", counted)
     simhash.near_duplicate_groups(frame(spark, texts + pairs))
     assert len(met) == 2 and sum(met) < 2 * met[1]
+
+
+def joined_rows(spark, pattern, since=0):
+    """Rows that the joins of a matching description have made in the SQL executions from this number on, and their next number."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), 0
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    for run in (r for r in runs if r >= since):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name() and re.search(pattern, node.desc()):
+                metrics = map(node.metrics().apply, range(node.metrics().size()))
+                got = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                rows += sum(int(v.get().replace(",", "")) for v in got if v.isDefined())
+    return rows, max(runs, default=-1) + 1
+
+
+def test_joins_with_key_bitmaps_make_no_rows_of_other_keys(spark, monkeypatch):
+    """Heavy shingles or not, the prefix rows that share no shingle don't leave the joins that look for them."""
+    monkeypatch.setattr(simhash, "HEAVY", 6)
+    rng = np.random.default_rng(4)
+    family = [f"f{i}" for i in range(400)]
+    texts = [" ".join(changed(family, set(rng.choice(80, 11, replace=False) * 5), f"t{k}_")) for k in range(40)]
+    texts += [" ".join(f"u{k}_{i}" for i in range(300)) for k in range(600)]
+    docs, sketch = frame(spark, texts), simhash._Sketch(5, 0.8, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    made = simhash._sketches(docs, sketch).withColumnRenamed("doc_id", "rep").withColumn("component", F.col("rep"))
+    made = simhash.written(made.drop("x", "y", "fp", "bands"), "prefixes")
+    _, since = joined_rows(spark, "^$")
+    pairs = simhash._prefix_pairs(made, docs, sketch)
+    rows, _ = joined_rows(spark, "(?i)bitmap_?bucket_?number.*shingle", since)
+    assert pairs.where("b >= 40").count() == 0
+    assert 0 < rows < made.select(F.sum(F.size("prefix"))).first()[0]
