@@ -5,6 +5,7 @@ All take and give streaming frames (batch frames work too, where no state is kep
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
@@ -67,12 +68,25 @@ _PART = (
 )
 
 
-def _part_of(row) -> tuple:
-    bad = row["status_code"] == ERROR
-    root = (row["span_name"] or "") if row["rank"] == 0 else ""
-    first = (row["rank"], row["start"], row["span_id"], row["service_name"], root, row["status_code"])
-    error = (row["start"], row["span_id"], row["status_message"]) if bad else (None, None, None)
-    return (*first, row["start"], row["stop"], row["start"], 1, int(bad), *error)
+def _part_of(spans: Iterator[str]) -> tuple:
+    """The part of a trace's spans, each as running_summaries packs it; plain loops, since this runs for each span."""
+    first = lo = hi = latest = None
+    count, bad, error = 0, 0, (None, None, None)
+    for own in spans:
+        rank, span, service, name, status, message, start, stop = json.loads(own).values()
+        at = (rank, start, span)
+        if first is None:
+            first, lo, hi, latest = (at, service, name, status), start, stop, start
+        elif at < first[0]:
+            first = (at, service, name, status)
+        lo, hi, latest = min(lo, start), max(hi, stop), max(latest, start)
+        if status == ERROR:
+            if not bad or (start, span) > error[:2]:
+                error = (start, span, message)
+            bad += 1
+        count += 1
+    at, service, name, status = first
+    return (*at, service, (name or "") if at[0] == 0 else "", status, lo, hi, latest, count, bad, *error)
 
 
 def _merged(a: tuple, b: tuple) -> tuple:
@@ -91,8 +105,9 @@ class _Running(StatefulProcessor):
         self.handle, self.part = handle, handle.getValueState("part", _PART)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        parts = ([tuple(self.part.get())] if self.part.exists() else []) + [reduce(_merged, map(_part_of, rows))]
-        part = reduce(_merged, parts)
+        before, part = self.part.get(), _part_of(row["own"] for row in rows)
+        if before is not None:
+            part = _merged(tuple(before), part)
         self.part.update(part)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -118,11 +133,13 @@ def running_summaries(spans: DataFrame, gap: float = 10, delay: str = "15 second
     """
     kind = spans.schema["trace_id"].dataType.simpleString()
     spans.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    rows = spans.select(
-        "trace_id", F.when(F.col("parent_span_id").isNull(), 0).otherwise(1).alias("rank"), F.col("span_id").cast("string").alias("span_id"),
-        "service_name", "span_name", "status_code", "status_message", "start_time",
+    # Spark hands a row to the state value by value, so what a span has goes as one JSON text, its fields in this order.
+    own = F.struct(
+        F.when(F.col("parent_span_id").isNull(), 0).otherwise(1).alias("rank"), F.col("span_id").cast("string").alias("span_id"),
+        "service_name", "span_name", "status_code", "status_message",
         F.unix_micros("start_time").alias("start"), F.unix_micros("end_time").alias("stop"),
-    ).withWatermark("start_time", delay)
+    )
+    rows = spans.select("trace_id", "start_time", F.to_json(own, {"ignoreNullFields": "false"}).alias("own")).withWatermark("start_time", delay)
     processor = _Running(int(gap * 1000), event_time)
     mode = "EventTime" if event_time else "ProcessingTime"
     made = rows.groupBy("trace_id").transformWithState(processor, f"trace_id {kind}, {_PART}", "append", mode)

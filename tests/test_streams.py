@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,25 @@ def test_samples_over_batches_without_a_frame_a_feature(spark, folder):
     got = {(r["feature"], r["seq"]): r["value"] for r in samples.read_samples(spark, f"{folder}/out", 10).collect()}
     flat = [v for _, _, v in values[:103]]
     assert got == {("f", i): pytest.approx(sum(flat[10 * i : 10 * i + 10]) / 10) for i in range(10)}
+
+
+def test_running_summaries_hand_each_span_to_the_state_as_one_value(spark, folder):
+    """Spark converts a state's input value by value, which was most of the work."""
+    drop_in(spark, f"{folder}/in", spans_at("a", [0]), SPANS)
+    made = streams.running_summaries(stream(spark, f"{folder}/in", SPANS), 10, "15 seconds")
+    plan = made._jdf.queryExecution().analyzed()
+    while "TransformWithState" not in plan.nodeName():
+        plan = plan.children().head()
+    assert plan.children().head().output().size() <= 4  # the trace, its copy as the key, the time, and the span
+
+
+def test_a_part_of_spans_is_what_merging_them_one_by_one_gives():
+    own = [
+        json.dumps(dict(zip("abcdefgh", span, strict=True))) for span in (
+            (1, "s3", "x", "n1", 2, "late", 30, 35), (1, "s1", "y", None, 2, None, 10, 90), (0, "s2", None, None, 1, None, 20, 40),
+            (1, "s0", "z", "n2", 2, "same start", 30, 31), (0, "s9", "w", "n3", 0, "no error", 20, 21),
+        )
+    ]
+    for k in range(1, 6):
+        assert streams._part_of(iter(own[:k])) == reduce(streams._merged, (streams._part_of(iter([o])) for o in own[:k]))
+    assert streams._part_of(iter(own)) == (0, 20, "s2", None, "", 1, 10, 90, 30, 5, 3, 30, "s3", "late")
